@@ -378,8 +378,6 @@ FROM valued QUALIFY row_number() OVER (PARTITION BY trace_id, group_id ORDER BY
 BYTES = """bytes AS (SELECT trace_id, 2 * signal_id - 1 + half AS signal_id, signal_id AS storage_id, 8 * half AS bit_offset
   FROM layout, (SELECT unnest([0, 1]) AS half))"""
 
-SLICE = "least(cycle // 648000, 3)"
-
 
 def oracle() -> dict[str, str]:
     q: dict[str, str] = {}
@@ -578,6 +576,14 @@ FROM (SELECT *, unnest(range(0, least(tend, 2000000) // p + 1)) AS k FROM c, met
   WHEN radix = 'int' AND width = 64 THEN CAST({to_signed('u')} AS VARCHAR)
   WHEN radix IN ('int64', 'uint64') AND width <> 64 THEN 'N/A' WHEN radix = 'int64' THEN CAST({to_signed('u')} AS VARCHAR)
   ELSE CAST(u AS VARCHAR) END AS text FROM shown""")
+    q["format_floats"] = sql([*WIDE, """parts AS (
+  SELECT trace_id, signal_id, cycle, state, raw_bits & 4294967295 AS u, (raw_bits & 4294967295) >> 31 AS neg,
+         ((raw_bits >> 23) & 255) AS e, (raw_bits & 8388607) AS m FROM wide_t)""", """floats AS (
+  SELECT *, (CASE WHEN neg = 1 THEN -1 ELSE 1 END) * CASE WHEN e = 0 THEN m * pow(2.0, -149) ELSE (8388608 + m) * pow(2.0, e - 150) END AS f
+  FROM parts)""", """texts AS (
+  SELECT *, CASE WHEN e = 255 THEN CASE WHEN m <> 0 THEN 'nan' WHEN neg = 1 THEN '-inf' ELSE 'inf' END ELSE printf('%.8g', f) END AS t
+  FROM floats)"""], """SELECT trace_id, signal_id, cycle, CASE WHEN state = 1 THEN 'Z' WHEN contains(t, 'n') OR contains(split_part(t, 'e', 1), '.') THEN t
+  WHEN contains(t, 'e') THEN split_part(t, 'e', 1) || '.0e' || split_part(t, 'e', 2) ELSE t || '.0' END AS text FROM texts""")
     q["name_forms"] = sql([layout(16), """forms AS (
   SELECT trace_id, signal_id AS i, CASE i % 9 WHEN 0 THEN '' WHEN 1 THEN path || '.' WHEN 2 THEN name ELSE path END AS path,
          CASE WHEN i % 4 = 0 THEN 1 ELSE width END AS width FROM layout)""", """named_forms AS (
@@ -658,6 +664,23 @@ FROM g GROUP BY signal_id HAVING count(*) >= 6 AND min(gap) = max(gap)""")
     # Streaming
     q["stream_changes"] = sql(SMALL, f"""SELECT trace_id, signal_id AS storage_id, cycle, raw_bits, state FROM small_t
 QUALIFY NOT (lag(state) OVER ({by}) IS NULL AND state = 0 AND raw_bits = 0)""")
+    q["stream_ingest_guard"] = sql([RAW, layout(16), f"""arrived AS (
+  SELECT trace_id, cycle, seq, state, least(cycle // 648000 + CASE WHEN seq % 100 = 0 THEN 1 ELSE 0 END, 3) AS batch,
+         CASE WHEN seq % 83 = 0 THEN storage_id + 7000000 ELSE storage_id END AS storage_id,
+         CASE WHEN seq % 79 = 0 THEN raw_bits + 65536 ELSE raw_bits END AS raw_bits FROM raw)""", """ruled AS (
+  SELECT a.*, CASE WHEN l.signal_id IS NULL THEN 'signal_undefined' WHEN a.storage_id % 41 = 0 THEN 'signal_is_clock'
+              WHEN a.state = 0 AND a.raw_bits > 65535 THEN 'value_too_wide' END AS rule
+  FROM arrived a LEFT JOIN layout l ON l.signal_id = a.storage_id)""", """timely AS (
+  SELECT r.*, (SELECT max(p.cycle) FROM ruled p WHERE p.storage_id = r.storage_id AND p.rule IS NULL AND p.batch < r.batch) AS last
+  FROM ruled r)"""], """SELECT trace_id, storage_id, cycle, seq, coalesce(rule, 'late') AS reason FROM timely
+WHERE rule IS NOT NULL OR cycle <= last""")
+    turns = "SELECT event_id AS c, event_id % 994 + 7 AS id FROM events"
+    periods = " UNION ALL ".join(f"SELECT event_id, {i} FROM events WHERE event_id % {p} = 0" for i, p in
+                                 {1: 1, 2: 1, 3: 4, 4: 8, 5: 17, 6: 31}.items())
+    q["workload"] = sql([f"""updates AS ({turns} UNION ALL {periods}
+  UNION ALL SELECT event_id, (event_id + k) % 994 + 7 FROM events, (SELECT unnest(range(16)) AS k) WHERE event_id % 257 = 0)"""],
+                        """SELECT 'synthetic' AS trace_id, CAST(id AS BIGINT) AS storage_id, count(*) AS updates, min(c) AS first_cycle,
+  max(c) AS last_cycle FROM (SELECT DISTINCT c, id FROM updates) GROUP BY id""")
     q["stream_tiles"] = sql(SMALL, f"""SELECT * FROM {tiled('small_t')} WHERE cycle // {SPAN} < (SELECT max(cycle) // {SPAN} FROM small_t)""")
     q["stream_lod"] = sql(SMALL, """SELECT trace_id, signal_id, cycle // 32000 * 32000 AS window_start, max(cycle) AS cycle,
   arg_max(raw_bits, cycle) AS raw_bits, arg_max(state, cycle) AS state FROM small_t

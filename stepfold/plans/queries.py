@@ -825,8 +825,8 @@ def stream_lod(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query
-def synthetic_trace(spark: SparkSession, d: str) -> DataFrame:
-    """Generated workload, as many cycles as there are events, compacted and counted per signal."""
-    cycles = fx.table(spark, d, "events").count()
-    return synthetic.synthetic_trace(spark, cycles, 1000).groupBy("trace_id", "storage_id").agg(
+def workload(spark: SparkSession, d: str) -> DataFrame:
+    """The load at one cycle per event, counted per signal."""
+    cycles = fx.table(spark, d, "events").select(F.col("event_id").cast("bigint").alias("cycle"))
+    return synthetic.workload(cycles, 1000).groupBy("trace_id", "storage_id").agg(
         F.count("*").alias("updates"), F.min("cycle").alias("first_cycle"), F.max("cycle").alias("last_cycle"))

@@ -56,14 +56,13 @@ def synthetic_signals(spark: SparkSession, signals: int, trace_id: str = "synthe
             .withColumn("since_cycle", F.lit(0).cast("bigint")).withColumn("initial_bits", F.lit(0).cast("bigint")))
 
 
-def synthetic_trace(spark: SparkSession, cycles: int, signals: int, updates_per_cycle: int = 1,
-                    trace_id: str = "synthetic", partitions: int | None = None) -> DataFrame:
-    """Samples of a deterministic workload, generated in parallel over cycles.
+def workload(cycles: DataFrame, signals: int, updates_per_cycle: int = 1, trace_id: str = "synthetic") -> DataFrame:
+    """Samples of a deterministic load at the given cycles, one row of ``cycles`` (cycle) each.
 
     Signals 1 to 6 are updated at fixed periods, one or more ids from 7 on in rotation, and every
-    257 cycles a burst touches 16 consecutive ids. Values come from a hash of (signal, cycle).
+    257 cycles a burst touches 16 consecutive ids. Values come from a hash of (signal, cycle). Each
+    cycle is worked out on its own, so there is no shuffle.
     """
-    base = spark.range(0, cycles, 1, partitions) if partitions else spark.range(cycles)
     cycle = F.col("cycle")
     rotating = max(0, signals - 6)
     ids = [F.when(cycle % period == 0, F.lit(i).cast("bigint")) for i, period in PERIODS.items() if i <= signals]
@@ -73,10 +72,15 @@ def synthetic_trace(spark: SparkSession, cycles: int, signals: int, updates_per_
                            lambda k: (cycle * updates_per_cycle + k) % rotating + 7)
         burst = F.transform(F.sequence(F.lit(0), F.lit(BURST_SIZE - 1)), lambda k: (cycle + k) % rotating + 7)
         ids += [turn, F.when(cycle % BURST_EVERY == 0, burst).otherwise(F.array().cast("array<bigint>"))]
-    rows = base.select(F.col("id").alias("cycle")).select(
-        "cycle", F.posexplode(F.array_distinct(F.concat(*ids))).alias("seq", "storage_id"))
+    rows = cycles.select("cycle", F.posexplode(F.array_distinct(F.concat(*ids))).alias("seq", "storage_id"))
     digit = F.col("storage_id") % 10
     width = (F.when((digit == 0) | (F.col("storage_id") == 2), 1).when(digit <= 4, 32).otherwise(64))
     return rows.select(F.lit(trace_id).alias("trace_id"), "storage_id", "cycle", F.col("seq").cast("bigint").alias("seq"),
                        F.xxhash64("storage_id", "cycle").bitwiseAND(mask_of(width)).alias("raw_bits"),
                        state(KNOWN).alias("state"))
+
+
+def synthetic_trace(spark: SparkSession, cycles: int, signals: int, updates_per_cycle: int = 1,
+                    trace_id: str = "synthetic") -> DataFrame:
+    """The load over cycles 0 to ``cycles - 1``."""
+    return workload(spark.range(cycles).select(F.col("id").alias("cycle")), signals, updates_per_cycle, trace_id)
