@@ -8,14 +8,16 @@ carries what crosses a block edge through a table of one row per non-empty block
     edges   -> one row per (keys, block), pre-aggregated  at most ``spans[1]`` rows per group
     top     -> one row per (keys, block of blocks)        trace length / (spans[0] * spans[1])
 
-The bounds hold because ``order`` is unique per key. The carry is joined back on (keys, block),
-the partitioning the window already has, so the rows themselves are shuffled and sorted once.
+The bounds hold because ``order`` is unique per key. Rows are shuffled by (keys, block) and sorted
+once; the window and the join that brings the carry back both use that partitioning. The edges are
+aggregated from the input with a map-side half, so only one row per block and task moves for them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -87,13 +89,24 @@ def total(value: str, out: str) -> Carry:
 
 
 def scan(df: DataFrame, keys: Sequence[str], order: str, carries: Sequence[Carry],
-         spans: Sequence[int] = SPANS) -> DataFrame:
-    """Add the ``carries`` to ``df``; ``(keys, order)`` must be unique and ``order`` a BIGINT."""
+         spans: Sequence[int] = SPANS, fold: Sequence[Column] | None = None) -> DataFrame:
+    """Add the ``carries`` to ``df``; ``(keys, order)`` must be unique and ``order`` a BIGINT.
+
+    ``fold`` makes them unique: aggregates, aliased, for the rows of one (keys, order). They run in
+    the block's own partition, after the only shuffle of the rows, and are meant for inputs with a
+    small known number of rows per (keys, order); where that number has no bound, aggregate first.
+    """
     keys = list(keys)
     if not spans:
-        return df.withColumns({c.out: c.local(keys, order) for c in carries})
+        folded = df if fold is None else df.groupBy(*keys, order).agg(*fold)
+        return folded.withColumns({c.out: c.local(keys, order) for c in carries})
     block = f"__{order.strip('_')}_block"
-    blocked = df.withColumn(block, F.shiftright(order, spans[0]))
+    # The optimizer adds "key is not null" to the edges, whose keys are join keys. Stated here, and
+    # with a block that cannot be null, both uses of the rows have the same plan and share shuffles.
+    present = reduce(Column.__and__, [F.col(c).isNotNull() for c in keys])
+    blocked = df.where(present).withColumn(block, F.coalesce(F.shiftright(order, spans[0]), F.lit(0).cast("bigint")))
+    if fold is not None:
+        blocked = blocked.repartition(*keys, block).groupBy(*keys, block, order).agg(*fold)
     inner = blocked.withColumns({c.out: c.local([*keys, block], order) for c in carries})
     edges = blocked.groupBy(*keys, block).agg(*[c.edge(order).alias(f"__e_{c.out}") for c in carries])
     above = scan(edges, keys, block, [Carry(c.kind, f"__e_{c.out}", f"__c_{c.out}") for c in carries],

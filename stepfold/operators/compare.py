@@ -38,7 +38,8 @@ def diff_traces(a: DataFrame, signals_a: DataFrame, meta_a: DataFrame,
     differ are one region over the whole range.
     """
     span = _range(meta_a, meta_b)
-    common = _with_range(common_signals(signals_a, signals_b), span)
+    # One row per common path, read by five branches below.
+    common = cut(_with_range(common_signals(signals_a, signals_b), span))
     comparable = (F.col("a_kind") == F.col("b_kind")) & (F.col("a_width") == F.col("b_width"))
     mismatched = common.where(~comparable).select("path", F.col("lo").alias("start"), F.col("hi").alias("end"))
     pairs = common.where(comparable).select("path", "a_signal_id", "b_signal_id", "lo", "hi", "a_end", "b_end")
@@ -58,9 +59,9 @@ def diff_traces(a: DataFrame, signals_a: DataFrame, meta_a: DataFrame,
                                   f"{other}_state": F.lit(None).cast("tinyint")})
 
     columns = ["a_bits", "a_state", "b_bits", "b_state"]
-    rows = side(a, "a").unionByName(side(b, "b")).groupBy("pair", "cycle").agg(
-        *[F.max(c).alias(c) for c in columns])
-    seen = scan(rows, ["pair"], "cycle", [held(c, f"held_{c}") for c in columns], spans)
+    # A cycle has at most one row of each side.
+    seen = scan(side(a, "a").unionByName(side(b, "b")), ["pair"], "cycle", [held(c, f"held_{c}") for c in columns],
+                spans, fold=[F.max(c).alias(c) for c in columns])
 
     zero, absent = F.lit(0).cast("bigint"), state(ABSENT)
 

@@ -21,11 +21,12 @@ def value_at(transitions: DataFrame, probes: DataFrame, spans: Sequence[int] = S
     at = [*SIGNAL_KEY, "cycle"]
     nothing = F.lit(None)
     events = transitions.select(*at, "raw_bits", "state", nothing.cast("int").alias("asked"))
-    asked = probes.select(*at, nothing.cast("bigint").alias("raw_bits"), nothing.cast("tinyint").alias("state"),
-                          F.lit(1).alias("asked"))
-    rows = events.unionByName(asked).groupBy(*at).agg(
-        F.max("raw_bits").alias("raw_bits"), F.max("state").alias("state"), F.max("asked").alias("asked"))
-    found = scan(rows, SIGNAL_KEY, "cycle", [held("raw_bits", "held_bits"), held("state", "held_state")], spans)
+    # Distinct first, so that at most one event and one probe meet in a cycle.
+    asked = probes.select(*at).distinct().select(
+        *at, nothing.cast("bigint").alias("raw_bits"), nothing.cast("tinyint").alias("state"), F.lit(1).alias("asked"))
+    found = scan(events.unionByName(asked), SIGNAL_KEY, "cycle",
+                 [held("raw_bits", "held_bits"), held("state", "held_state")], spans,
+                 fold=[F.max(c).alias(c) for c in ("raw_bits", "state", "asked")])
     return found.where("asked = 1").select(
         *at,
         F.coalesce("raw_bits", "held_bits", F.lit(0).cast("bigint")).alias("raw_bits"),
@@ -64,12 +65,12 @@ def merge_states(transitions: DataFrame, deps: DataFrame, slots: int, starts: Da
     def of_slot(i: int, column: str) -> Column:
         return F.max(F.when(F.col("slot") == i, F.col(column)))
 
-    wide = rows.groupBy(*at).agg(
-        *[of_slot(i, "raw_bits").alias(f"__b{i}") for i in range(slots)],
-        *[of_slot(i, "state").alias(f"__s{i}") for i in range(slots)])
+    # A cycle has at most one row per slot and one start.
+    wide = [*[of_slot(i, "raw_bits").alias(f"__b{i}") for i in range(slots)],
+            *[of_slot(i, "state").alias(f"__s{i}") for i in range(slots)]]
     carries = [c for i in range(slots) for c in
                (held(f"__b{i}", f"prev_bits_{i}"), held(f"__s{i}", f"prev_state_{i}"))]
-    merged = scan(wide, ["trace_id", "group_id"], "cycle", carries, spans)
+    merged = scan(rows, ["trace_id", "group_id"], "cycle", carries, spans, fold=wide)
     zero, absent = F.lit(0).cast("bigint"), state(ABSENT)
     return merged.select(*at, *[c for i in range(slots) for c in (
         F.coalesce(f"__b{i}", f"prev_bits_{i}", zero).alias(f"bits_{i}"),

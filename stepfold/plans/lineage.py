@@ -29,12 +29,13 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and continue from the written rows.
+    """Write ``df`` once as a table in the shared folder and continue from that table.
 
     Used where a result feeds several branches of a later plan, so that the branches read it
-    instead of recomputing it, and in loops. The checkpoint is reliable: it outlives executors.
+    instead of recomputing it, and in loops. A table is computed once, where a checkpoint computes
+    its last stage twice; it outlives executors, and its size is known to the planner, which then
+    broadcasts it only if it is small.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = scratch(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -82,7 +82,7 @@ NAMED = """named AS (
 CLOSURE = "closure AS (SELECT node_id, unnest(list_append(anc, node_id)) AS root, node_kind FROM tree)"
 SEARCHED = "searched AS (SELECT node_id FROM named WHERE contains(lower(shown), 'nation_2') ORDER BY node_id LIMIT 5000)"
 
-SPAN, CHUNK, LO, HI = 86_400, 32, 86_400, 172_800
+SPAN, CHUNK, LO, HI = 259_200, 128, 86_400, 172_800
 
 
 def sql(ctes: list[str], body: str, recursive: bool = False) -> str:

@@ -20,8 +20,8 @@ from stepfold.streaming import ingest, sinks
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
-# Tile size of the registered queries: one day, 32 signals.
-SPAN, CHUNK = 86_400, 32
+# Tile size of the registered queries: three days, 128 signals.
+SPAN, CHUNK = 259_200, 128
 WINDOW = (86_400, 172_800)
 STREAM_SLICE = 648_000
 
@@ -83,7 +83,7 @@ def _wide(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _tiled(spark: SparkSession, d: str) -> DataFrame:
-    """The 16-bit trace in tiles of a day and 32 signals."""
+    """The 16-bit trace in tiles of three days and 128 signals."""
     return _stored(spark, d, "tiled", lambda path: tiles.write_tiled(_full(spark, d), path, span=SPAN, chunk=CHUNK))
 
 
