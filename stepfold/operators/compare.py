@@ -24,9 +24,9 @@ def _range(meta_a: DataFrame, meta_b: DataFrame) -> DataFrame:
     return row.withColumn("hi", F.greatest("a_end", "b_end", F.col("lo") + 1))
 
 
-def _with_range(df: DataFrame, span: DataFrame) -> DataFrame:
-    """Attach the one-row range by an equi join on a constant."""
-    return df.withColumn("__one", F.lit(1)).join(span.withColumn("__one", F.lit(1)), "__one").drop("__one")
+def _with_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row table as scalar subqueries, which is no join at all."""
+    return df.withColumns({c: row.select(c).scalar() for c in row.columns})
 
 
 def diff_traces(a: DataFrame, signals_a: DataFrame, meta_a: DataFrame,
@@ -39,7 +39,7 @@ def diff_traces(a: DataFrame, signals_a: DataFrame, meta_a: DataFrame,
     """
     span = _range(meta_a, meta_b)
     # One row per common path, read by five branches below.
-    common = cut(_with_range(common_signals(signals_a, signals_b), span))
+    common = cut(_with_row(common_signals(signals_a, signals_b), span))
     comparable = (F.col("a_kind") == F.col("b_kind")) & (F.col("a_width") == F.col("b_width"))
     mismatched = common.where(~comparable).select("path", F.col("lo").alias("start"), F.col("hi").alias("end"))
     pairs = common.where(comparable).select("path", "a_signal_id", "b_signal_id", "lo", "hi", "a_end", "b_end")
@@ -123,7 +123,7 @@ def compared_meta(meta_a: DataFrame, meta_b: DataFrame, signals_a: DataFrame, si
     head_b = meta_b.select(F.col("title").alias("tb"), F.col("timescale").alias("sb"))
     found = common_signals(signals_a, signals_b).agg(F.count("*").alias("common_paths"))
     differing = regions.agg(F.countDistinct("path").alias("differing_paths"))
-    row = _with_range(_with_range(_with_range(_with_range(head_a, head_b), _range(meta_a, meta_b)), found), differing)
+    row = _with_row(_with_row(_with_row(_with_row(head_a, head_b), _range(meta_a, meta_b)), found), differing)
     return row.select(
         F.concat(F.lit("Compare_"), "ta", F.lit("_vs_"), "tb").alias("title"),
         F.when(F.col("sa") == F.col("sb"), F.col("sa")).otherwise("cycle").alias("timescale"),

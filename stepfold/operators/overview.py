@@ -224,8 +224,8 @@ def tile_report(index: DataFrame, tile_times: DataFrame) -> DataFrame:
         F.sum("signal_count").cast("bigint").alias("slots"), F.sum("change_times").cast("bigint").alias("change_times"),
         F.sum("records").cast("bigint").alias("transitions"))
     columns = ["tiles", "active_records", "slots", "change_times", "transitions"]
-    whole = per.agg(*[F.sum(c).alias(f"all_{c}") for c in columns]).withColumn("__one", F.lit(1))
-    row = per.withColumn("__one", F.lit(1)).join(whole, "__one")
+    whole = per.agg(*[F.sum(c).alias(c) for c in columns])
+    row = per.withColumns({f"all_{c}": whole.select(c).scalar() for c in columns})
     return row.select("trace_id", *columns, _percent(F.col("active_records"), F.col("slots")).alias("active_slot_pct"),
                       *[_percent(F.col(c), F.col(f"all_{c}")).alias(f"{c}_pct") for c in columns])
 

@@ -613,7 +613,7 @@ def search_chain(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def search_chain_all(spark: SparkSession, d: str) -> DataFrame:
-    return tree.search_nodes(_named(spark, d), "top. America .nation_21.customer#000000021[15:0]", None, True)
+    return tree.search_nodes(_named(spark, d), " top. America .nation_21", None, True)
 
 
 @query

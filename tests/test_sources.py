@@ -81,7 +81,7 @@ def test_text_of_floats(spark):
     rows += [(struct.unpack("<q", struct.pack("<d", v))[0], 0, 64, "double") for v in values] + [(5, 0, 16, "float"), (5, 0, 32, "double")]
     df = spark.createDataFrame(rows, "b bigint, s tinyint, w int, r string")
     got = [r[0] for r in df.select(value_text(F.col("b"), F.col("s"), F.col("w"), F.col("r"))).collect()]
-    assert got[:10] == ["1.0", "-2.5", "1.0e+10", "3.4e+38", "1.5e-07", "0.1", "123456.78", "inf", "-0.0", "16777216.0"]
+    assert got[:10] == ["1.0", "-2.5", "1.0e+10", "3.4e+38", "1.5000001e-07", "0.1", "123456.78", "inf", "-0.0", "16777216.0"]
     assert got[10:20] == ["1.0", "-2.5", "10000000000.0", "3.4e+38", "1.5e-07", "0.1", "123456.78", "inf", "-0.0", "16777216.0"]
     assert got[20:] == ["N/A", "N/A"]
 
