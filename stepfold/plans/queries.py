@@ -48,6 +48,11 @@ def _stored(spark: SparkSession, d: str, name: str, write: Callable[[str], None]
     return spark.read.parquet(_STORED[key])
 
 
+def forget_stored() -> None:
+    """Write the stored tables again when they are next needed."""
+    _STORED.clear()
+
+
 def _trace(spark: SparkSession, d: str, name: str, raw: Callable[[], DataFrame]) -> DataFrame:
     """Compacted changes of ``raw`` samples, kept as tiles of a week."""
     def write(path: str) -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from stepfold.operators.blocks import spread_join
 from stepfold.schema import SIGNAL_KEY, TILE_CYCLES, TILE_SIGNALS
 from stepfold.sources.tiles import with_tiles
 
@@ -26,7 +27,7 @@ def stream_tiles(changes: DataFrame, path: str, checkpoint: str, signal: str = "
 def closed_tiles(tiled: DataFrame) -> DataFrame:
     """Rows of blocks that can no longer grow: all but the last block of each trace."""
     last = tiled.groupBy("trace_id").agg(F.max("time_block").alias("last_block"))
-    return tiled.join(last, "trace_id").where("time_block < last_block").drop("last_block")
+    return spread_join(tiled, last, ["trace_id"], "cycle").where("time_block < last_block").drop("last_block")
 
 
 def lod_windows(changes: DataFrame, bucket: int, delay: int = 0) -> DataFrame:
