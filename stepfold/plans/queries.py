@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stepfold.functions import bits as u
 from stepfold.functions.names import classify_signals, display_names
 from stepfold.functions.values import format_values, normalize_values
-from stepfold.operators import changes, checks, compare, derive, joins, overview, periodic, search, tree
+from stepfold.operators import blocks, changes, checks, compare, derive, joins, overview, periodic, search, tree
 from stepfold.plans import fixtures as fx
 from stepfold.plans.lineage import scratch
 from stepfold.schema import HIGH_Z, KNOWN, SAMPLES, TRANSITIONS, state
@@ -712,14 +712,13 @@ def _clock_like(spark: SparkSession, d: str) -> DataFrame:
 
     Customers differ in spacing, in how many orders they have, and some have one edge out of place.
     """
-    o = fx.table(spark, d, "orders")
-    c, k = F.col("o_custkey"), F.col("o_orderkey")
-    ranked = joins.first_per(o, ["o_custkey"], ["o_orderkey"], 1 << 30)
-    n = F.col("rank").cast("bigint")
+    o = fx.table(spark, d, "orders").select("o_custkey", "o_orderkey", F.lit(1).cast("bigint").alias("one"))
+    c = F.col("o_custkey")
+    ranked = blocks.scan(o, ["o_custkey"], "o_orderkey", [blocks.total("one", "earlier")])
+    n = F.col("earlier") + 1
     shifted = (c % 7 == 3) & (n == 4)
     cycle = n * (100 + c % 13) + F.when(shifted, 1).otherwise(0)
     z = (c % 11 == 5) & (n == 3)
-    del k
     return ranked.select(F.lit(fx.TRACE).alias("trace_id"), (c + 1).cast("bigint").alias("signal_id"),
                          cycle.cast("bigint").alias("cycle"), F.when(z, F.lit(0)).otherwise(n % 2).cast("bigint").alias("raw_bits"),
                          F.when(z, state(HIGH_Z)).otherwise(state(KNOWN)).alias("state"))
