@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -31,16 +32,29 @@ class Rules:
     max_repeat_percent: int = 50
 
 
+def has_word(text: Column) -> Column:
+    return F.btrim(text, F.lit(_BLANK_CHARS)) != ""
+
+
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, BLANKS), lambda w: w != "")
+    trimmed = F.btrim(text, F.lit(_BLANK_CHARS))
+    return F.when(trimmed != "", F.split(trimmed, BLANKS)).otherwise(F.array().cast("array<string>"))
+
+
+def any_of(text: Column, parts: Iterable[str]) -> Column:
+    found = F.lit(False)
+    for part in parts:
+        found = found | text.contains(part)
+    return found
 
 
 def n_symbols(text: Column) -> Column:
-    return F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))
+    """Characters of SYMBOLS; the search for one is cheaper than the count and most texts have none."""
+    return F.when(any_of(text, SYMBOLS), F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).otherwise(0)
 
 
-def word_chars(text: Column) -> Column:
-    return F.char_length(F.translate(text, _BLANK_CHARS, ""))
+def word_chars(word: Column) -> Column:
+    return F.char_length(F.array_join(word, ""))
 
 
 def n_dup_lines(lines: Column) -> Column:
@@ -48,40 +62,54 @@ def n_dup_lines(lines: Column) -> Column:
     return F.size(lines) - F.size(F.array_distinct(lines))
 
 
-def n_repeat_words(word: Column, n: Column) -> Column:
-    """Words in three-word windows that occur twice or more.
+def window_hashes(hashes: Column) -> Column:
+    """A hash of each window of three words; ``hashes`` are the words' own."""
+    two = F.zip_with(hashes, _from(hashes, 2), lambda a, b: F.xxhash64(a, b))
+    three = F.zip_with(two, _from(hashes, 3), lambda a, b: F.xxhash64(a, b))
+    return F.when(F.size(hashes) >= 3, F.slice(three, 1, F.size(hashes) - 2)).otherwise(F.array().cast("array<long>"))
+
 
-    Windows are hashed; where all differ the answer is 0. Otherwise they are sorted with their positions, equal neighbours
-    are kept, and the words they cover are summed from the gaps between positions, so the work is n log n.
+def _from(rows: Column, at: int) -> Column:
+    return F.slice(rows, at, F.greatest(F.size(rows) - (at - 1), F.lit(0)))
+
+
+def with_repeats(df: DataFrame, hashes: str, name: str) -> DataFrame:
+    """Adds the number of words in windows that occur twice or more.
+
+    Where all hashes differ it is 0. Otherwise they are sorted with their positions, equal neighbours are kept, and the words that they
+    cover are summed from the gaps between positions: n log n. Each step is a column, as a lambda computes any other
+    expression anew for every element.
     """
-    hashes = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(word, i), F.get(word, i + 1), F.get(word, i + 2))))
-    hashes = F.coalesce(hashes, F.array().cast("array<long>"))
+    ordered = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    none = F.array().cast("array<struct<h:long,i:int>>")
+    step = df.withColumn("__rows", F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), ordered).otherwise(none))
+    rows = F.col("__rows")
+    met = F.filter(rows, lambda row, i: ((i > 0) & (F.get(rows, i - 1)["h"] == row["h"])) | F.coalesce(F.get(rows, i + 1)["h"] == row["h"], F.lit(False)))
+    step = step.withColumn("__at", F.sort_array(F.transform(met, lambda row: row["i"])))
+    at = F.col("__at")
+    gaps = F.transform(at, lambda p, i: F.least(F.coalesce(F.get(at, i + 1) - p, F.lit(3)), F.lit(3)))
+    return step.withColumn(name, F.aggregate(gaps, F.lit(0), lambda a, b: a + b).cast("long")).drop("__rows", "__at")
 
-    def covered(rows: Column) -> Column:
-        met = F.filter(rows, lambda row, i: (F.get(rows, i - 1)["h"] == row["h"]) | (F.get(rows, i + 1)["h"] == row["h"]))
-        at = F.sort_array(F.transform(met, lambda row: row["i"]))
-        gaps = F.transform(at, lambda p, i: F.least(F.coalesce(F.get(at, i + 1) - p, F.lit(3)), F.lit(3)))
-        return F.aggregate(gaps, F.lit(0), lambda a, b: a + b)
 
-    return hashes, covered
+#: Shouts end a word; separators stand alone.
+_SHOUTS, _SEPARATORS = ("!!", "!?", "?!", "??", "...", "…"), "|/»·•>-"
 
 
-def line_failure(line: Column, rules: Rules) -> Column:
-    """The rule that a line breaks, else null. Lines without words break none."""
-    chars = word_chars(line)
-    separator = r"(?:^|(?<=\s))[|/»·•>\-](?=\s|$)"
-    n = F.size(F.split(line, BLANKS))
-    symbols = n_symbols(line)
+def line_fails(line: Column, rules: Rules) -> Column:
+    """Whether a line breaks a rule: navigation, punctuation or boilerplate. A line without words breaks none.
+
+    A rule is only evaluated if its marks occur in the text (columns __nav to __phrase), as most have none of them.
+    """
+    blank = F.translate(line, _BLANK_CHARS, "")
+    chars, n = F.char_length(blank), F.size(words(line))
+    symbols = F.char_length(line) - F.char_length(F.translate(line, SYMBOLS, ""))
     shouts = F.size(F.split(line, r"(?:[!?]{2,}|\.{3,}|…)(?=[\x20\x09-\x0D]|$)")) - 1
-    separators = F.size(F.split(line, separator)) - 1
-    low = F.lower(line)
-    phrase = F.lit(False)
-    for text in BOILERPLATE:
-        phrase = phrase | low.contains(text)
-    return (F.when((separators >= rules.min_separators) & (separators > rules.max_separator_share * n), "navigation")
-            .when((symbols > rules.max_symbol_share * chars) & (chars > 0), "punctuation")
-            .when((shouts >= rules.min_shout_words) & (shouts > rules.max_shout_share * n), "punctuation")
-            .when(phrase, "boilerplate"))
+    separators = F.size(F.split(line, r"(?:^|(?<=[\x20\x09-\x0D]))[|/»·•>\-](?=[\x20\x09-\x0D]|$)")) - 1
+    navigation = (separators >= rules.min_separators) & (separators > rules.max_separator_share * n)
+    noisy = (symbols > rules.max_symbol_share * chars) & (chars > 0)
+    shouting = (shouts >= rules.min_shout_words) & (shouts > rules.max_shout_share * n)
+    return (F.col("__nav") & navigation | F.col("__sym") & noisy | F.col("__shout") & shouting
+            | F.col("__phrase") & any_of(F.lower(line), BOILERPLATE))
 
 
 def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -95,22 +123,20 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_share", "clean_text", "kept"]
     own = [c for c in docs.columns if c not in made]
     text = F.coalesce(F.col("text"), F.lit(""))
-    step = docs.select(*own, text.alias("__text")).select(*own, "__text", words(F.col("__text")).alias("__words"), F.split("__text", "\n").alias("__lines"))
-    step = step.withColumn("__n", F.size("__words"))
-    hashes, covered = n_repeat_words(F.col("__words"), F.col("__n"))
-    step = step.withColumn("__hashes", hashes)
-    rows = F.when(F.size(F.array_distinct("__hashes")) < F.size("__hashes"),
-                  F.sort_array(F.transform("__hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-                  ).otherwise(F.array().cast("array<struct<h:long,i:int>>"))
-    step = step.withColumn("__rows", rows)
-    step = step.withColumn("__good", F.filter("__lines", lambda x: line_failure(x, rules).isNull()))
-    full = F.filter("__lines", lambda x: word_chars(x) > 0)
-    step = step.select(*own, F.col("__n").cast("long").alias("n_words"), word_chars(F.col("__text")).cast("long").alias("word_chars"),
-                       n_symbols(F.col("__text")).cast("long").alias("n_symbols"), n_dup_lines(full).cast("long").alias("n_dup_lines"),
-                       covered(F.col("__rows")).cast("long").alias("n_repeat_words"),
-                       F.when(F.col("__text").isNotNull(), F.array_join("__good", "\n")).alias("__clean"))
+    step = docs.select(*own, text.alias("__text")).withColumns({"__words": words(F.col("__text")), "__lines": F.split("__text", "\n"), "__low": F.lower("__text")})
+    marks = {"__nav": any_of(F.col("__text"), _SEPARATORS), "__sym": any_of(F.col("__text"), SYMBOLS),
+             "__shout": any_of(F.col("__text"), _SHOUTS), "__phrase": any_of(F.col("__low"), BOILERPLATE)}
+    step = step.withColumns(marks | {"__n": F.size("__words"), "__hash": F.transform("__words", lambda w: F.xxhash64(w))})
+    step = with_repeats(step.withColumn("__hashes", window_hashes(F.col("__hash"))), "__hashes", "n_repeat_words")
+    step = step.withColumn("__good", F.when(F.col("__nav") | F.col("__sym") | F.col("__shout") | F.col("__phrase"),
+                                            F.filter("__lines", lambda x: ~line_fails(x, rules))))
+    step = step.withColumns({"__full": F.filter("__lines", has_word), "word_chars": word_chars(F.col("__words")).cast("long"),
+                             "n_symbols": n_symbols(F.col("__text")).cast("long"), "__clean": F.coalesce(F.array_join("__good", "\n"), "__text")})
+    left = F.when(F.col("__good").isNotNull(), word_chars(words(F.col("__clean")))).otherwise(F.col("word_chars"))
+    step = step.select(*own, F.col("__n").cast("long").alias("n_words"), "word_chars", "n_symbols",
+                       n_dup_lines(F.col("__full")).cast("long").alias("n_dup_lines"), "n_repeat_words", "__clean", left.alias("__left"))
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
-    lost = F.when(F.col("word_chars") > 0, 1 - word_chars(F.col("__clean")) / F.col("word_chars")).otherwise(0.0)
+    lost = F.when(F.col("word_chars") > 0, 1 - F.col("__left") / F.col("word_chars")).otherwise(0.0)
     step = step.select("*", failed.alias("base_failed"), lost.alias("lost_share"))
     return step.select(*own, *made[:7], F.when(F.col("text").isNotNull(), F.col("__clean")).alias("clean_text"),
                        (~F.col("base_failed") & (F.col("lost_share") <= rules.max_lost_share)).alias("kept"))
