@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepfold.llm import mixing, packing, quality, token_cache, url_reputation
+from stepfold.llm import fingerprint, mixing, near_dedup, packing, quality, token_cache, url_reputation
 from stepfold.plans.lineage import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,11 @@ def op2_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+@query
+def op3_near_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return near_dedup.groups(table(spark, d, "documents"))
+
+
 @query
 def op4_source_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"))
@@ -54,6 +59,11 @@ def op5_url_reputation(spark: SparkSession, d: str) -> DataFrame:
     return url_reputation.judge(pages, outcomes, url_reputation.RULES).drop("url", "host_sd")
 
 
+@query
+def op6_paragraph_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, d, "documents"))
+
+
 @query
 def op8_token_counts(spark: SparkSession, d: str) -> DataFrame:
     """A cold cache, so that every distinct text is encoded; a pipeline names a lasting one."""
