@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepfold.llm import fingerprint, mixing, near_dedup, packing, quality, token_cache, url_reputation
+from stepfold.llm import fingerprint, license_scan, line_dedup, mixing, near_dedup, packing, quality, token_cache, toxicity, url_reputation
 from stepfold.plans.lineage import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,11 @@ def op6_paragraph_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, d, "documents"))
 
 
+@query
+def op7_license_scan(spark: SparkSession, d: str) -> DataFrame:
+    return license_scan.scan(table(spark, d, "documents")).drop("blocks")
+
+
 @query
 def op8_token_counts(spark: SparkSession, d: str) -> DataFrame:
     """A cold cache, so that every distinct text is encoded; a pipeline names a lasting one."""
@@ -71,6 +76,26 @@ def op8_token_counts(spark: SparkSession, d: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+@query
+def op9_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Of each document, the lines that go and the earlier lines that they match."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return (docs.select("doc_id").join(line_dedup.removed_lines(docs), "doc_id", "left")
+            .select("doc_id", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), "lines", "matches"))
+
+
+def held_out(doc_id: Column) -> Column:
+    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+
+
+@query
+def op10_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    """Learns from the labels that are not held out; a null doc_id is not."""
+    docs = table(spark, d, "documents")
+    model = toxicity.train(docs, table(spark, d, "labels").filter(~held_out(F.col("doc_id"))).select("doc_id", "toxic"))
+    return toxicity.scored(docs, model).select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 SQL: dict[str, str] = {
     "op1_quality_rules": quality.OP1_SQL,
     "op4_source_mixing": mixing.OP4_SQL,

@@ -43,3 +43,63 @@ def near_groups(docs: list[tuple[int, str | None]], percent: int = 75) -> dict[i
                 a, b = sorted((find(parent, i), find(parent, j)))
                 parent[b] = a
     return {i: (len(sets[i]), find(parent, i)) for i in ids}
+
+
+def line_tokens(line: str) -> frozenset:
+    words = BLANK.findall(lower(line))
+    return frozenset(tuple(words[i:i + 5]) for i in range(len(words) - 4))
+
+
+def later_lines(docs: list[tuple[int, str | None]], percent: int = 75) -> dict[tuple[int, int], tuple[int, int]]:
+    """(doc_id, line): the first earlier line with equal words or similar tokens."""
+    lines = []
+    for i, text in sorted((d for d in docs if d[0] is not None), key=lambda d: d[0]):
+        for n, line in enumerate((text or "").split("\n")):
+            words = tuple(BLANK.findall(lower(line)))
+            if len(words) >= 5:
+                lines.append(((i, n), words, line_tokens(line)))
+    seen: dict = {}
+    where: dict = {}
+    out = {}
+    for at, words, tokens in lines:
+        best = seen.get(words)
+        near: dict = {}
+        for t in tokens:
+            for other, size in where.get(t, ()):
+                near[other, size] = near.get((other, size), 0) + 1
+        for (other, size), n in near.items():
+            if 100 * n >= percent * (size + len(tokens) - n) and (best is None or other < best):
+                best = other
+        if best is not None:
+            out[at] = best
+        if words not in seen:
+            seen[words] = at
+            for t in tokens:
+                where.setdefault(t, []).append((at, len(tokens)))
+    return out
+
+
+_LICENSE_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def license_base(text: str | None) -> tuple[int, int, int | None, int | None, str]:
+    words = _LICENSE_WORD.findall(lower(text or ""))
+    starts, labels = [], set()
+    for phrase, label in (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")):
+        parts = phrase.split()
+        for i in range(len(words) - len(parts) + 1):
+            if words[i:i + len(parts)] == parts:
+                starts.append(i)
+                labels.add(label)
+    return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels))
+
+
+def license_blocks(text: str | None, templates, percent: int = 80) -> set[tuple[int, str]]:
+    found = set()
+    for n, line in enumerate((text or "").split("\n")):
+        words = set(_LICENSE_WORD.findall(lower(line)))
+        for label, template in templates:
+            own = set(_LICENSE_WORD.findall(lower(template)))
+            if 100 * len(own & words) >= percent * len(own):
+                found.add((n, label))
+    return found
