@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# All white space of Unicode.
+WHITE = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 # A display range such as "[15:0]" after at least one character, digits required.
 RANGE_PATTERN = r"^(.+?)\s*\[[0-9:\s]*[0-9][0-9:\s]*\]$"
 
 
+def trim(text: Column) -> Column:
+    """Text without white space at its ends."""
+    return F.btrim(text, F.lit(WHITE))
+
+
 def strip_range(name: Column) -> Column:
     """Drop a trailing display range and the blanks around the name."""
-    trimmed = F.trim(name)
+    trimmed = trim(name)
     hit = F.regexp_extract(trimmed, RANGE_PATTERN, 1)
     return F.when(F.length(hit) > 0, hit).otherwise(trimmed)
 
@@ -49,7 +56,7 @@ def with_range(name: Column, width: Column) -> Column:
 def display_names(signals: DataFrame) -> DataFrame:
     """All display forms of each signal's name."""
     path = F.coalesce("path", F.lit(""))
-    named = F.when(F.length(F.trim(path)) > 0, path).otherwise(
+    named = F.when(F.length(trim(path)) > 0, path).otherwise(
         F.concat(F.lit("sig_"), F.col("signal_id").cast("string")))
     return signals.select(
         "trace_id", "signal_id",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,9 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from stepfold.functions.bits import mask_of, unsigned_text
+from stepfold.functions.names import trim
+from stepfold.operators.blocks import spread_join
 from stepfold.schema import ABSENT, HIGH_Z, KNOWN, state
 
-# Default marker of an absent value in value texts; pass the one your files use where it differs.
+# Marker of an absent value in texts made here. Files have one of their own, which their reader and writer are told.
 ABSENT_TEXT = "__ABSENT__"
 # Display forms of an absent value and of Z.
 ABSENT_SHOWN, Z_SHOWN = "-", "Z"
@@ -36,7 +40,7 @@ def _digits(text: Column, pattern: str, base: int) -> Column:
 
 def text_bits(text: Column) -> Column:
     """Bits of a value text. Decimal is tried before hexadecimal; what is neither is 0."""
-    t = F.trim(text)
+    t = trim(text)
     number = (F.when(t.rlike("^0[xX]"), _digits(t, "^0[xX]([0-9a-fA-F]+)$", 16))
               .when(t.rlike("^0[bB]"), _digits(t, "^0[bB]([01]+)$", 2))
               .when(t.rlike("^[0-9]+$"), _digits(t, "^([0-9]+)$", 10))
@@ -45,7 +49,7 @@ def text_bits(text: Column) -> Column:
 
 
 def text_state(text: Column, absent_text: str = ABSENT_TEXT) -> Column:
-    t = F.trim(text)
+    t = trim(text)
     return (F.when(t == absent_text, state(ABSENT)).when(F.lower(t) == "z", state(HIGH_Z)).otherwise(state(KNOWN)))
 
 
@@ -53,7 +57,7 @@ def normalize_values(rows: DataFrame, absent_text: str = ABSENT_TEXT) -> DataFra
     """(kind, width, value text) to (raw_bits, state); a one-bit signal is 1 only for exactly ``1``."""
     st = text_state(F.col("value"), absent_text)
     bits = (F.when(st != KNOWN, F.lit(0).cast("bigint"))
-            .when(F.col("kind") == "bit", (F.trim("value") == "1").cast("bigint"))
+            .when(F.col("kind") == "bit", (trim(F.col("value")) == "1").cast("bigint"))
             .otherwise(text_bits(F.col("value")).bitwiseAND(mask_of(F.col("width")))))
     return rows.withColumns({"raw_bits": bits, "state": st})
 
@@ -92,7 +96,7 @@ def value_text(bits: Column, st: Column, width: Column, radix: Column, with_floa
     """Display text of a value.
 
     Text of 32 and 64 bit floats needs C-style ``%g`` digits, which Spark SQL has no function for;
-    it is the only part in Python, and only planned when ``with_floats`` says a float radix occurs.
+    it is the only part in Python, and only planned ``with_floats``, for rows that have such a radix.
     """
     masked = bits.bitwiseAND(mask_of(width))
     unsigned = unsigned_text(masked)
@@ -114,14 +118,21 @@ def value_text(bits: Column, st: Column, width: Column, radix: Column, with_floa
 
 def format_values(transitions: DataFrame, signals: DataFrame, radix: str | None = None) -> DataFrame:
     """Transitions with display text, in one radix or in each signal's own ``radix``."""
-    from stepfold.operators.blocks import spread_join
-
     own = F.col("radix") if radix is None else F.lit(radix)
     lookup = signals.select("trace_id", "signal_id", "width", own.alias("radix"))
     joined = spread_join(transitions, lookup, ["trace_id", "signal_id"], "cycle")
-    text = value_text(F.col("raw_bits"), F.col("state"), F.col("width"), F.col("radix"),
-                      with_floats=radix is None or radix in FLOAT_RADICES)
-    return joined.select("trace_id", "signal_id", "cycle", text.alias("text"))
+    columns = [F.col(c) for c in ("raw_bits", "state", "width", "radix")]
+    return with_text(joined, lambda floats: value_text(*columns, with_floats=floats), radix).select(
+        "trace_id", "signal_id", "cycle", "text")
+
+
+def with_text(rows: DataFrame, text: Callable[[bool], Column], radix: str | None = None) -> DataFrame:
+    """Add ``text``; only rows with a float radix go through Python. ``radix`` is known or each row's own."""
+    if radix is not None:
+        return rows.withColumn("text", text(radix in FLOAT_RADICES))
+    is_float = F.coalesce(F.col("radix").isin(*FLOAT_RADICES), F.lit(False))
+    return rows.where(~is_float).withColumn("text", text(False)).unionByName(
+        rows.where(is_float).withColumn("text", text(True)))
 
 
 def export_text(bits: Column, st: Column, kind: Column, width: Column, radix: Column, with_floats: bool = True,

@@ -47,6 +47,8 @@ class Carry:
             # A descending window keeps the running form; "following" frames are quadratic.
             back = Window.partitionBy(*keys).orderBy(F.col(order).desc())
             return F.last(self.value, ignorenulls=True).over(back.rowsBetween(*earlier))
+        if self.kind == "peak":
+            return F.max(self.value).over(w.rowsBetween(*earlier))
         return F.coalesce(F.sum(self.value).over(w.rowsBetween(*earlier)), F.lit(0))
 
     def edge(self, order: str) -> Column:
@@ -55,11 +57,13 @@ class Carry:
             return F.max_by(self.value, at)
         if self.kind in ("next", "ahead"):
             return F.min_by(self.value, at)
-        return F.sum(self.value)
+        return F.max(self.value) if self.kind == "peak" else F.sum(self.value)
 
     def merge(self, carried: Column) -> Column:
         if self.kind == "total":
             return F.col(self.out) + F.coalesce(carried, F.lit(0))
+        if self.kind == "peak":
+            return F.greatest(self.out, carried)
         return F.coalesce(F.col(self.out), carried)
 
 
@@ -88,6 +92,11 @@ def total(value: str, out: str) -> Carry:
     return Carry("total", value, out)
 
 
+def peak(value: str, out: str) -> Carry:
+    """Greatest ``value`` of the rows before."""
+    return Carry("peak", value, out)
+
+
 def scan(df: DataFrame, keys: Sequence[str], order: str, carries: Sequence[Carry],
          spans: Sequence[int] = SPANS, fold: Sequence[Column] | None = None) -> DataFrame:
     """Add the ``carries`` to ``df``; ``(keys, order)`` must be unique and ``order`` a BIGINT.
@@ -117,14 +126,20 @@ def scan(df: DataFrame, keys: Sequence[str], order: str, carries: Sequence[Carry
             .drop(block, *[f"__c_{c.out}" for c in carries]))
 
 
-def spread_join(rows: DataFrame, lookup: DataFrame, on: Sequence[str], spread_by: str,
-                salts: int = 16, how: str = "inner") -> DataFrame:
-    """Join many rows to a much smaller lookup when one key may hold a large share of the rows.
+def spread_join(rows: DataFrame, lookup: DataFrame, on: Sequence[str], spread_by: str, how: str = "inner",
+                bits: int = SPANS[0]) -> DataFrame:
+    """Join many rows to a lookup when one key may hold a large share of the rows.
 
-    The rows of a key are spread over ``salts`` partitions by a block of ``spread_by`` and the
-    lookup is repeated once per salt. A lookup under Spark's own size threshold is broadcast by
-    the planner as for any join.
+    The distinct (key, block of ``spread_by``) pairs of the rows, found with a map-side half, take what the
+    lookup has for their key; the rows then meet them by (key, block). So rows never move by the key
+    alone, and the lookup is repeated only for blocks that exist. ``how``: inner, left, left_semi, left_anti.
     """
-    salted = rows.withColumn("__salt", F.pmod(F.shiftright(spread_by, 8), F.lit(salts)).cast("int"))
-    copies = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*on, "__salt"], how).drop("__salt")
+    on = list(on)
+    block = F.coalesce(F.shiftright(F.col(spread_by).cast("bigint"), bits), F.lit(0).cast("bigint"))
+    blocked = rows.withColumn("__part", block)
+    pairs = blocked.select(*on, "__part").distinct()
+    if how in ("left_semi", "left_anti"):
+        placed = pairs.join(lookup.select(*on), on, "left_semi")
+    else:
+        placed = pairs.join(lookup, on)
+    return blocked.join(placed, [*on, "__part"], how).drop("__part")

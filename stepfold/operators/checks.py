@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepfold.functions.bits import mask_of
+from stepfold.operators.blocks import SPANS, peak, scan, spread_join
 from stepfold.operators.tree import node_paths
 from stepfold.schema import KNOWN, TYPE_BITS
 
@@ -145,8 +147,6 @@ def check_updates(samples: DataFrame, signals: DataFrame, clocks: DataFrame) ->
     ``seq`` is the order of submission. A cycle submitted after a later one, and a signal that
     appears twice in a cycle, are found by aggregates and one running maximum over submissions.
     """
-    from stepfold.operators.blocks import spread_join
-
     keyed = spread_join(samples, known_storages(signals, clocks), ["trace_id", "storage_id"], "cycle", how="left")
     rules = update_rules("byte_count" in samples.columns)
     broken = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in rules.items()]))
@@ -156,27 +156,12 @@ def check_updates(samples: DataFrame, signals: DataFrame, clocks: DataFrame) ->
     return local.unionByName(twice.select("trace_id", "storage_id", "cycle", "seq", F.lit("duplicate_in_cycle").alias("rule")))
 
 
-def check_submission_order(samples: DataFrame) -> DataFrame:
+def check_submission_order(samples: DataFrame, spans: Sequence[int] = SPANS) -> DataFrame:
     """Submissions (one per cycle) whose cycle is not above every cycle submitted before.
 
-    The running maximum over submissions is kept by blocks of ``seq``, so the whole trace is never
-    in one task.
+    The running maximum over submissions is kept by blocks of ``seq`` and blocks of blocks, so
+    neither the rows nor the blocks of a trace are in one task.
     """
-    from stepfold.operators.blocks import SPANS
-
     order = samples.groupBy("trace_id", "seq").agg(F.min("cycle").alias("cycle"))
-    return _running_max(order, SPANS)
-
-
-def _running_max(order: DataFrame, spans) -> DataFrame:
-    from pyspark.sql import Window
-
-    blocked = order.withColumn("block", F.shiftright("seq", spans[0]))
-    before = Window.partitionBy("trace_id", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    inner = blocked.withColumn("top", F.max("cycle").over(before))
-    tops = blocked.groupBy("trace_id", "block").agg(F.max("cycle").alias("cycle"))
-    over = Window.partitionBy("trace_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = tops.select("trace_id", "block", F.max("cycle").over(over).alias("carried"))
-    joined = inner.join(carried, ["trace_id", "block"], "left")
-    return joined.where(F.col("cycle") < F.greatest("top", "carried")).select(
+    return scan(order, ["trace_id"], "seq", [peak("cycle", "top")], spans).where("cycle < top").select(
         "trace_id", "seq", "cycle", F.lit("cycle_not_increasing").alias("rule"))

@@ -80,8 +80,8 @@ def merge_states(transitions: DataFrame, deps: DataFrame, slots: int, starts: Da
 
 
 def select_semi(rows: DataFrame, selection: DataFrame, on: Sequence[str] = ("trace_id", "signal_id")) -> DataFrame:
-    """Rows touched by a selection."""
-    return rows.join(selection.select(*on), list(on), "left_semi")
+    """Rows touched by a selection; a hot signal is split by cycle."""
+    return spread_join(rows, selection, on, "cycle", "left_semi")
 
 
 def tiles_for(tiles: DataFrame, signals: DataFrame, chunk: int) -> DataFrame:
@@ -93,21 +93,39 @@ def tiles_for(tiles: DataFrame, signals: DataFrame, chunk: int) -> DataFrame:
 def clip_regions(regions: DataFrame, windows: DataFrame, keys: Sequence[str], tile: int = 1 << 16) -> DataFrame:
     """Interval overlap join: regions that meet a window ``[start, end)``, clipped to it.
 
-    Both sides are cut into tiles of cycles and joined on the tile, so the join is an equi join
-    whose keys are spread over time; a pair is kept only in the tile where its overlap begins.
+    Cells come in levels, of ``tile`` cycles and 16 times as many each. An interval stands in the
+    cells, 17 at most, of its own level, the lowest at which they are so few, and in those of the
+    levels above, two each. Two intervals meet at the higher of their own levels, once, in the cell where
+    their overlap begins. So an interval costs a few dozen rows however long it is, and the join is an equi
+    join spread over time.
     """
-    shift = tile.bit_length() - 1
-
-    def tiled(df: DataFrame, start: str, end: str) -> DataFrame:
-        return df.where(F.col(end) > F.col(start)).withColumn(
-            "__tile", F.explode(F.sequence(F.shiftright(start, shift), F.shiftright(F.col(end) - 1, shift))))
-
-    r = tiled(regions, "start", "end")
-    w = tiled(windows.withColumnsRenamed({"start": "w_start", "end": "w_end"}), "w_start", "w_end")
-    pairs = r.join(w, [*keys, "__tile"]).where("start < w_end AND end > w_start")
+    base = tile.bit_length() - 1
+    levels = list(range(base, 63, 4))
+
+    def cells(df: DataFrame, start: str, end: str, own: bool | None) -> DataFrame:
+        """Cells at the own level, above it, or both (None)."""
+        df = df.where(F.col(end) > F.col(start))
+        last = F.col(end) - 1
+        level = F.lit(levels[-1])
+        for n in reversed(levels[:-1]):
+            level = F.when(F.shiftright(last, n) - F.shiftright(F.col(start), n) <= 16, n).otherwise(level)
+        at = df.withColumn("__own", level).withColumn("__level", F.explode(F.array(*[F.lit(n) for n in levels])))
+        kept = {True: F.col("__level") == F.col("__own"), False: F.col("__level") > F.col("__own"),
+                None: F.col("__level") >= F.col("__own")}[own]
+
+        def cell(t: Column) -> Column:
+            return F.call_function("shiftright", t, F.col("__level"))
+
+        return at.where(kept).withColumn("__cell", F.explode(F.sequence(cell(F.col(start)), cell(last)))).drop("__own")
+
+    named = windows.withColumnsRenamed({"start": "w_start", "end": "w_end"})
+    at = [*keys, "__level", "__cell"]
+    pairs = cells(regions, "start", "end", None).join(cells(named, "w_start", "w_end", True), at).unionByName(
+        cells(regions, "start", "end", True).join(cells(named, "w_start", "w_end", False), at))
     lo, hi = F.greatest("start", "w_start"), F.least("end", "w_end")
-    once = pairs.where(F.shiftright(lo, shift) == F.col("__tile"))
-    return once.withColumns({"clip_start": lo, "clip_end": hi}).drop("__tile")
+    once = pairs.where("start < w_end AND end > w_start").where(
+        F.call_function("shiftright", lo, F.col("__level")) == F.col("__cell"))
+    return once.withColumns({"clip_start": lo, "clip_end": hi}).drop("__level", "__cell")
 
 
 def resolve_names(names: DataFrame, signals: DataFrame) -> DataFrame:

@@ -134,28 +134,21 @@ def downsample(transitions: DataFrame, t0: int, t1: int, target: int = 1000) ->
     """About ``target`` samples of a window: first and last of each stride, with the carry-in.
 
     Strides are fixed buckets of ``max(1, (t1 - t0) div target)`` cycles. The sample before the
-    window and the last sample in it are always among the result; a signal with at most ``target``
-    samples in view keeps them all.
+    window and the last sample in it are always among the result. The rule is the same however many
+    samples a signal has.
     """
     stride = max(1, (t1 - t0) // max(1, target))
     inside = transitions.where((F.col("cycle") >= t0) & (F.col("cycle") <= t1))
     carry = transitions.where(F.col("cycle") < t0).groupBy(*SIGNAL_KEY).agg(
         F.max("cycle").alias("cycle"), F.max_by("raw_bits", "cycle").alias("raw_bits"),
         F.max_by("state", "cycle").alias("state"))
-    sizes = inside.groupBy(*SIGNAL_KEY).agg(F.count("*").alias("n"))
-    sizes = sizes.join(carry.select(*SIGNAL_KEY, F.lit(1).alias("c")), SIGNAL_KEY, "left").select(
-        *SIGNAL_KEY, (F.col("n") + F.coalesce("c", F.lit(0)) > target).alias("crowded"))
     picked = inside.groupBy(*SIGNAL_KEY, F.call_function("div", F.col("cycle") - t0, F.lit(stride)).alias("bucket")).agg(
         *[F.min_by(c, "cycle").alias(f"lo_{c}") for c in ("cycle", "raw_bits", "state")],
         *[F.max_by(c, "cycle").alias(f"hi_{c}") for c in ("cycle", "raw_bits", "state")])
     columns = ["cycle", "raw_bits", "state"]
     ends = picked.select(*SIGNAL_KEY, F.inline(F.array_distinct(F.array(*[
         F.struct(*[F.col(f"{end}_{c}").alias(c) for c in columns]) for end in ("lo", "hi")]))))
-    crowded = sizes.where("crowded").select(*SIGNAL_KEY)
-    sparse = sizes.where(~F.col("crowded")).select(*SIGNAL_KEY)
-    return (carry.select(*SIGNAL_KEY, *columns)
-            .unionByName(ends.join(crowded, SIGNAL_KEY, "left_semi"))
-            .unionByName(inside.join(sparse, SIGNAL_KEY, "left_semi").select(*SIGNAL_KEY, *columns)))
+    return carry.select(*SIGNAL_KEY, *columns).unionByName(ends)
 
 
 def lod_ranges(pyramid: DataFrame, spans: Sequence[int] = SPANS) -> DataFrame:
@@ -204,7 +197,7 @@ def overview(pyramid: DataFrame, transitions: DataFrame, t0: int, t1: int, width
     chosen = chosen.select(*SIGNAL_KEY, F.coalesce("best", "finest").alias("level"))
     leveled = spread_join(pyramid.where((F.col("cycle") >= t0) & (F.col("cycle") < t1)), chosen,
                           [*SIGNAL_KEY, "level"], "cycle")
-    rest = raw_in.join(chosen.select(*SIGNAL_KEY), SIGNAL_KEY, "left_anti")
+    rest = spread_join(raw_in, chosen, SIGNAL_KEY, "cycle", "left_anti")
     return leveled.select(*SIGNAL_KEY, "level", "cycle", "raw_bits", "state").unionByName(rest)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepfold.functions.rounding import floor_div
-from stepfold.operators.blocks import SPANS, next_, prev, scan
+from stepfold.operators.blocks import SPANS, next_, prev, scan, spread_join
 from stepfold.schema import KNOWN, SIGNAL_KEY
 
 # Fixed value: fewest toggles of a clock.
@@ -30,7 +30,7 @@ def detect_periodic(transitions: DataFrame, signals: DataFrame, block: int, min_
     bits = signals.where(F.col("kind") == "bit").select(*SIGNAL_KEY)
     # A zero at cycle 0 is the implicit start, not a toggle.
     toggles = transitions.where(~((F.col("cycle") == 0) & (F.col("raw_bits") == 0) & (F.col("state") == KNOWN)))
-    rows = toggles.join(bits, SIGNAL_KEY, "left_semi").withColumn("block", floor_div(F.col("cycle"), block))
+    rows = spread_join(toggles, bits, SIGNAL_KEY, "cycle", "left_semi").withColumn("block", floor_div(F.col("cycle"), block))
     near = scan(rows, SIGNAL_KEY, "cycle",
                 [prev("cycle", "prev_cycle"), prev("raw_bits", "prev_bits"), prev("state", "prev_state"),
                  next_("cycle", "next_cycle")], spans)

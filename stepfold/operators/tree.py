@@ -11,9 +11,8 @@ from stepfold.operators.joins import first_per
 from stepfold.operators.numbering import dense_number
 from stepfold.plans.lineage import cut
 
-# Fixed value: most search results shown.
-SEARCH_CAP = 5000
-MAX_DEPTH = 4096
+# log2 of the node ids that a hot ancestor's rows are split by.
+NODE_BITS = 12
 
 
 def _glue(head: Column, tail: Column) -> Column:
@@ -23,32 +22,30 @@ def _glue(head: Column, tail: Column) -> Column:
             .otherwise(F.concat(head, F.lit("."), tail)))
 
 
-def node_paths(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def node_paths(nodes: DataFrame) -> DataFrame:
     """Path, depth, ancestors (root first) and sibling order key of every node that reaches a root.
 
     Each node starts with a pointer to its parent; every round appends the pointed-to node's chain
     and takes over its pointer, so chains double and a tree of depth d is done in log2(d) joins
-    rather than d. Rounds are written out, and the loop ends when no node is open. Orphans and
-    nodes on or below a cycle have no path; the checks report them.
+    rather than d. Each round writes the nodes that were open; finished ones stay where they are. The
+    loop ends when no node is open. Orphans and nodes on or below a cycle leave it without a path;
+    the checks report them.
     """
-    def split(chains: DataFrame) -> tuple[DataFrame, DataFrame]:
-        return chains.where("pointer = 0"), chains.where("pointer <> 0")
-
     chains = nodes.select(
         "trace_id", "node_id", "parent_id", "ordinal", "name", "node_kind",
         F.coalesce("parent_id", F.lit(0)).alias("pointer"), F.coalesce("name", F.lit("")).alias("path"),
         F.array().cast("array<bigint>").alias("ancestors"),
         F.array(F.col("ordinal").cast("bigint")).alias("order_key"))
-    depth = 1
-    while depth <= max_depth:
+    done, open_ = chains.where("pointer = 0"), chains.where("pointer <> 0")
+    while not open_.isEmpty():
+        chains = done.unionByName(open_)
         # Only nodes with children are looked up: a small part of a tree, mostly made of leaves.
-        parents = chains.select("trace_id", F.col("pointer").alias("node_id")).distinct()
+        parents = open_.select("trace_id", F.col("pointer").alias("node_id")).distinct()
         targets = chains.join(parents, ["trace_id", "node_id"], "left_semi").select(
             "trace_id", F.col("node_id").alias("pointer"), F.col("pointer").alias("t_pointer"),
             F.col("path").alias("t_path"), F.col("ancestors").alias("t_ancestors"),
             F.col("order_key").alias("t_order"))
-        done, open_ = split(chains)
-        moved = spread_join(open_, targets, ["trace_id", "pointer"], "node_id").select(
+        moved = spread_join(open_, targets, ["trace_id", "pointer"], "node_id", bits=NODE_BITS).select(
             "trace_id", "node_id", "parent_id", "ordinal", "name", "node_kind", F.col("t_pointer").alias("pointer"),
             _glue(F.col("t_path"), F.col("path")).alias("path"),
             F.concat("t_ancestors", F.array("pointer"), "ancestors").alias("ancestors"),
@@ -56,11 +53,9 @@ def node_paths(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
         # Orphans have no target and drop out of the join. A node whose chain meets itself is on a
         # cycle and leaves here; what hangs below it becomes an orphan.
         looped = F.array_contains("ancestors", F.col("pointer")) | (F.col("pointer") == F.col("node_id"))
-        chains = cut(done.unionByName(moved.where(~looped)))
-        depth *= 2
-        if chains.where("pointer <> 0").isEmpty():
-            break
-    return chains.where("pointer = 0").select(
+        moved = cut(moved.where(~looped))
+        done, open_ = done.unionByName(moved.where("pointer = 0")), moved.where("pointer <> 0")
+    return done.select(
         "trace_id", "node_id", "parent_id", "ordinal", "name", "node_kind", "path",
         F.size("ancestors").alias("depth"), "ancestors", "order_key")
 
@@ -102,7 +97,7 @@ def _equals(segment: str) -> Column:
     return (bare == want) | (shown == want) | sided
 
 
-def search_nodes(nodes: DataFrame, query: str, cap: int | None = SEARCH_CAP, all_ends: bool = False) -> DataFrame:
+def search_nodes(nodes: DataFrame, query: str, all_ends: bool = False) -> DataFrame:
     """Nodes a search text leads to, in order of the node it starts from.
 
     One segment is a case-insensitive part of a name. Several are a chain of direct children that
@@ -132,8 +127,7 @@ def search_nodes(nodes: DataFrame, query: str, cap: int | None = SEARCH_CAP, all
         else:
             found = chain.groupBy("trace_id", "start_id").agg(
                 F.min(F.struct("way", "node_id")).alias("first")).select("trace_id", "start_id", "first.node_id")
-    found = found.orderBy("trace_id", "start_id", "node_id")
-    return found if cap is None else found.limit(cap)
+    return found.orderBy("trace_id", "start_id", "node_id")
 
 
 def search_visibility(paths: DataFrame, matches: DataFrame) -> DataFrame:
@@ -145,8 +139,8 @@ def search_visibility(paths: DataFrame, matches: DataFrame) -> DataFrame:
     hit = paths.join(matches.select(*key).distinct(), key, "left_semi")
     up = hit.select("trace_id", F.explode(F.concat("ancestors", F.array("node_id"))).alias("node_id"))
     modules = hit.where(F.col("signal_id").isNull()).select("trace_id", F.col("node_id").alias("ancestor"))
-    down = paths.select(*key, F.explode("ancestors").alias("ancestor")).join(
-        modules, ["trace_id", "ancestor"], "left_semi").select(*key)
+    below = paths.select(*key, F.explode("ancestors").alias("ancestor"))
+    down = spread_join(below, modules, ["trace_id", "ancestor"], "node_id", "left_semi", NODE_BITS).select(*key)
     return up.unionByName(down).distinct()
 
 
@@ -155,15 +149,15 @@ def signals_under(paths: DataFrame, roots: DataFrame) -> DataFrame:
     within = paths.where(F.col("signal_id").isNotNull()).select(
         "trace_id", "signal_id", "path", "order_key",
         F.explode(F.concat("ancestors", F.array("node_id"))).alias("root"))
-    picked = within.join(roots.select("trace_id", F.col("node_id").alias("root")).distinct(),
-                         ["trace_id", "root"], "left_semi")
+    picked = spread_join(within, roots.select("trace_id", F.col("node_id").alias("root")), ["trace_id", "root"],
+                         "signal_id", "left_semi", NODE_BITS)
     # A signal under two picked nodes is kept once; its order key is the same in both rows.
     once = picked.groupBy("trace_id", "signal_id").agg(F.min("path").alias("path"), F.min("order_key").alias("order_key"))
     return once.orderBy("trace_id", "order_key").select("trace_id", "signal_id", "path")
 
 
-def leaf_distribution(paths: DataFrame, leaves: DataFrame, top_n: int = 50) -> DataFrame:
-    """Per depth the ``top_n`` nodes with most leaves below them (a leaf counts for itself too).
+def leaf_distribution(paths: DataFrame, leaves: DataFrame, top_n: int | None = 50) -> DataFrame:
+    """Per depth the ``top_n`` nodes with most leaves below them (a leaf counts for itself too), or all.
 
     ``leaves`` has (trace_id, node_id), one row per leaf signal.
     """
@@ -173,6 +167,8 @@ def leaf_distribution(paths: DataFrame, leaves: DataFrame, top_n: int = 50) -> D
     # The root's key is in every row, but the map-side half leaves one row of it per task.
     counts = closure.groupBy("trace_id", "node_id").agg(F.sum("n").cast("bigint").alias("leaf_count"))
     shown = counts.join(paths.select("trace_id", "node_id", "depth", "path"), ["trace_id", "node_id"])
+    if top_n is None:
+        return shown
     return first_per(shown, ["trace_id", "depth"], [F.col("leaf_count").desc(), F.col("node_id")], top_n)
 
 

@@ -80,7 +80,7 @@ TREE = """tree AS (
 NAMED = """named AS (
   SELECT *, CASE WHEN node_kind = 'SignalLeaf' THEN name || '[15:0]' ELSE name END AS shown FROM nodes)"""
 CLOSURE = "closure AS (SELECT node_id, unnest(list_append(anc, node_id)) AS root, node_kind FROM tree)"
-SEARCHED = "searched AS (SELECT node_id FROM named WHERE contains(lower(shown), 'nation_2') ORDER BY node_id LIMIT 5000)"
+SEARCHED = "searched AS (SELECT node_id FROM named WHERE contains(lower(shown), 'nation_2'))"
 
 SPAN, CHUNK, LO, HI = 259_200, 128, 86_400, 172_800
 
@@ -210,12 +210,13 @@ def mask_sql() -> str:
     return "CASE WHEN state = 2 THEN 8 WHEN state = 1 THEN 4 WHEN raw_bits = 0 THEN 1 ELSE 2 END"
 
 
-def raster(source: str, t0: int, t1: int, width: int) -> list[str]:
-    span = t1 - t0
-    col = f"CAST((({{0}} - {t0}) * {2 * width} + {span}) // {2 * span} AS INTEGER)"
+def raster(source: str, t0: int, t1: int | str, width: int) -> list[str]:
+    """``t1`` may be tend, the end of the trace."""
+    span = f"({t1} - {t0})"
+    col = f"CAST((({{0}} - {t0}) * {2 * width} + {span}) // (2 * {span}) AS INTEGER)"
     w = "OVER (PARTITION BY trace_id, signal_id ORDER BY cycle)"
     return [META, f"""seg AS (
-  SELECT trace_id, signal_id, cycle, least(coalesce(lead(cycle) {w}, tend), tend) AS stop, {mask_sql()} AS mask,
+  SELECT trace_id, signal_id, cycle, tend, least(coalesce(lead(cycle) {w}, tend), tend) AS stop, {mask_sql()} AS mask,
          lag({mask_sql()}) {w} AS prev_mask
   FROM {source} JOIN meta USING (trace_id))""", f"""placed AS (
   SELECT trace_id, signal_id, mask, {col.format(f'greatest(cycle, {t0})')} AS x1, {col.format(f'least(stop, {t1})')} AS x2,
@@ -500,13 +501,12 @@ FROM compared c JOIN rerun_t t ON t.signal_id = c.source_id WHERE c.side = 'b'""
   SELECT trace_id, signal_id, cycle // 32000 * 32000 AS "start", arg_min(raw_bits, cycle) AS first_bits, arg_max(raw_bits, cycle) AS last_bits,
          arg_min(raw_bits, {order}) FILTER (state = 0) AS min_bits, arg_max(raw_bits, {order}) FILTER (state = 0) AS max_bits,
          count(*) AS transitions, CAST(bit_or({mask_sql()}) AS INTEGER) AS state_mask FROM wide_t GROUP BY trace_id, signal_id, "start")""")
-    q["viewport_raster"] = sql([*FLAG, *raster("flag_t", 0, 2_592_000, 1000)], RASTER_BODY)
+    q["viewport_raster"] = sql([*FLAG, *raster("flag_t", 0, "tend", 1000)], RASTER_BODY)
     q["viewport_raster_zoomed"] = sql([*SMALL, *raster("small_t", LO, HI, 500)], RASTER_BODY)
     q["lod_ranges"] = sql([*FULL, pyramid(), *RANGES], "SELECT * FROM ranges")
-    span, width = 2_592_000, 200
-    widest = -(-span // max(64, width // 2))
-    q["overview_rows"] = sql([*FULL, pyramid(), *RANGES, f"""chosen AS (
-  SELECT trace_id, signal_id, coalesce(max(level) FILTER (bucket <= {widest}), min(level)) AS level
+    width, span = 200, "(SELECT tend FROM meta)"
+    q["overview_rows"] = sql([*FULL, META, pyramid(), *RANGES, f"""chosen AS (
+  SELECT trace_id, signal_id, coalesce(max(level) FILTER (bucket <= ceil({span} / {max(64, width // 2)}.0)), min(level)) AS level
   FROM ranges WHERE "end" > 0 AND "start" < {span} GROUP BY ALL)"""], f"""SELECT trace_id, signal_id, level, cycle, raw_bits, state
 FROM pyramid JOIN chosen USING (trace_id, signal_id, level) WHERE cycle < {span}
 UNION ALL SELECT trace_id, signal_id, -1, cycle, raw_bits, state FROM full_t
@@ -516,11 +516,10 @@ WHERE cycle < {span} AND signal_id NOT IN (SELECT signal_id FROM chosen)""")
   SELECT trace_id, signal_id, max(cycle) AS cycle, arg_max(raw_bits, cycle) AS raw_bits, arg_max(state, cycle) AS state
   FROM full_t WHERE cycle < {t0} GROUP BY ALL)""", f"inside AS (SELECT * FROM full_t WHERE cycle BETWEEN {t0} AND {t1})",
                            f"""ranked AS (
-  SELECT i.*, count(*) OVER (PARTITION BY i.signal_id) + CASE WHEN c.signal_id IS NULL THEN 0 ELSE 1 END AS n,
-         row_number() OVER (PARTITION BY i.signal_id, (i.cycle - {t0}) // {(t1 - t0) // target} ORDER BY i.cycle) AS up,
+  SELECT i.*, row_number() OVER (PARTITION BY i.signal_id, (i.cycle - {t0}) // {(t1 - t0) // target} ORDER BY i.cycle) AS up,
          row_number() OVER (PARTITION BY i.signal_id, (i.cycle - {t0}) // {(t1 - t0) // target} ORDER BY i.cycle DESC) AS down
-  FROM inside i LEFT JOIN carry c ON i.signal_id = c.signal_id)"""],
-                          f"SELECT {event} FROM carry UNION ALL SELECT {event} FROM ranked WHERE n <= {target} OR up = 1 OR down = 1")
+  FROM inside i)"""],
+                          f"SELECT {event} FROM carry UNION ALL SELECT {event} FROM ranked WHERE up = 1 OR down = 1")
     pct = "round(CASE WHEN {1} = 0 THEN 0.0 ELSE 100.0::DOUBLE * {0} / {1} END, 6)"
     columns = ["tiles", "active_records", "slots", "change_times", "transitions"]
     shares = ", ".join(f"{pct.format(c, f'sum({c}) OVER ()')} AS {c}_pct" for c in columns)
@@ -542,6 +541,7 @@ FROM items WHERE bad_time""")
 FROM (SELECT trace_id, day, min(cycle) FILTER (NOT bad_time) AS lo, max(cycle) FILTER (NOT bad_time) AS hi FROM items GROUP BY ALL)""")
     q["write_json_trace"] = sql(FULL, """SELECT trace_id, 'u' || signal_id AS name, 'bus' AS kind, 16 AS width, 'hex' AS radix,
   CAST(cycle AS VARCHAR) AS time, CASE WHEN state = 1 THEN 'Z' ELSE '0x' || lpad(hex(raw_bits), 4, '0') END AS text FROM full_t""")
+    q["json_round_trip"] = sql(FULL, f"SELECT {event} FROM full_t")
     q["write_tiled"] = sql(FULL, f"SELECT * FROM {tiled('full_t')}")
     q["tile_index"] = sql([*FULL, layout(16), tile_index("full_t", "layout")], "SELECT * EXCLUDE (change_times) FROM idx")
     q["load_signals"] = sql(FULL, f"SELECT * FROM full_t WHERE signal_id IN (3, 5, 8, 40, 41, 77) AND cycle BETWEEN {LO} AND {HI}")
@@ -616,7 +616,7 @@ FROM typed""")
                                 "numbered AS (SELECT *, row_number() OVER (ORDER BY path) AS id FROM prefixes)"],
                                """SELECT 't' AS trace_id, n.id AS node_id, coalesce(u.id, 0) AS parent_id, n.name, n.path, CAST(n.depth AS INTEGER) AS depth,
   l.signal_id, l.width FROM numbered n LEFT JOIN numbered u ON u.path = n.parent LEFT JOIN layout l ON l.path = n.path""")
-    found = "SELECT 't' AS trace_id, node_id AS start_id, node_id FROM named WHERE contains(lower(shown), '{}') ORDER BY node_id LIMIT 5000"
+    found = "SELECT 't' AS trace_id, node_id AS start_id, node_id FROM named WHERE contains(lower(shown), '{}') ORDER BY node_id"
     q["search_name"] = sql([NODES, NAMED], found.format("nation_2"))
     q["search_range"] = sql([NODES, NAMED], found.format("[15:0]"))
     q["search_chain"] = sql([NODES, NAMED], """SELECT 't' AS trace_id, a.node_id AS start_id, b.node_id FROM named a JOIN named b ON b.parent_id = a.node_id
@@ -634,6 +634,9 @@ WHERE node_kind = 'SignalLeaf' AND node_id IN (SELECT node_id FROM closure WHERE
                                  """SELECT 't' AS trace_id, node_id, leaf_count, depth, path,
   CAST(row_number() OVER (PARTITION BY depth ORDER BY leaf_count DESC, node_id) AS INTEGER) AS rank
 FROM counted JOIN tree USING (node_id) QUALIFY row_number() OVER (PARTITION BY depth ORDER BY leaf_count DESC, node_id) <= 50""", True)
+    q["leaf_counts"] = sql([NODES, TREE, CLOSURE, """counted AS (
+  SELECT root AS node_id, count(*) AS leaf_count FROM closure WHERE node_kind = 'SignalLeaf' GROUP BY root)"""],
+                           "SELECT 't' AS trace_id, node_id, leaf_count, depth, path FROM counted JOIN tree USING (node_id)", True)
     q["leaf_totals"] = sql([NODES, TREE, CLOSURE], """SELECT 't' AS trace_id, count(*) AS leaves_at_roots, max(depth) AS max_depth,
   (SELECT count(DISTINCT root) FROM closure WHERE node_kind = 'SignalLeaf') AS active_nodes FROM tree WHERE node_kind = 'SignalLeaf'""", True)
     q["check_topology"] = sql(BROKEN, TOPOLOGY, True)
@@ -674,15 +677,7 @@ QUALIFY NOT (lag(state) OVER ({by}) IS NULL AND state = 0 AND raw_bits = 0)""")
   SELECT r.*, (SELECT max(p.cycle) FROM ruled p WHERE p.storage_id = r.storage_id AND p.rule IS NULL AND p.batch < r.batch) AS last
   FROM ruled r)"""], """SELECT trace_id, storage_id, cycle, seq, coalesce(rule, 'late') AS reason FROM timely
 WHERE rule IS NOT NULL OR cycle <= last""")
-    turns = "SELECT event_id AS c, event_id % 994 + 7 AS id FROM events"
-    periods = " UNION ALL ".join(f"SELECT event_id, {i} FROM events WHERE event_id % {p} = 0" for i, p in
-                                 {1: 1, 2: 1, 3: 4, 4: 8, 5: 17, 6: 31}.items())
-    q["workload"] = sql([f"""updates AS ({turns} UNION ALL {periods}
-  UNION ALL SELECT event_id, (event_id + k) % 994 + 7 FROM events, (SELECT unnest(range(16)) AS k) WHERE event_id % 257 = 0)"""],
-                        """SELECT 'synthetic' AS trace_id, CAST(id AS BIGINT) AS storage_id, count(*) AS updates, min(c) AS first_cycle,
-  max(c) AS last_cycle FROM (SELECT DISTINCT c, id FROM updates) GROUP BY id""")
-    q["stream_tiles"] = sql(SMALL, f"""SELECT * FROM {tiled('small_t')} WHERE cycle // {SPAN} < (SELECT max(cycle) // {SPAN} FROM small_t)""")
+    q["stream_tiles"] = sql(SMALL, f"""SELECT * FROM {tiled('small_t')}""")
     q["stream_lod"] = sql(SMALL, """SELECT trace_id, signal_id, cycle // 32000 * 32000 AS window_start, max(cycle) AS cycle,
-  arg_max(raw_bits, cycle) AS raw_bits, arg_max(state, cycle) AS state FROM small_t
-WHERE (cycle // 32000 + 1) * 32000 <= (SELECT max(cycle) FROM small_t) GROUP BY ALL""")
+  arg_max(raw_bits, cycle) AS raw_bits, arg_max(state, cycle) AS state FROM small_t GROUP BY ALL""")
     return q

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepfold.functions import bits as u
 from stepfold.functions.names import classify_signals, display_names
-from stepfold.functions.values import format_values, normalize_values
+from stepfold.functions.values import ABSENT_TEXT, format_values, normalize_values
 from stepfold.operators import blocks, changes, checks, compare, derive, joins, overview, periodic, search, tree
 from stepfold.plans import fixtures as fx
 from stepfold.plans.lineage import scratch
@@ -346,6 +346,12 @@ def compared_meta(spark: SparkSession, d: str) -> DataFrame:
 # Overviews
 
 
+def _extent(raw: DataFrame) -> tuple[int, int]:
+    """Start and end in the header of the only trace; one cycle where there are no rows."""
+    head = fx.meta(raw).first()
+    return (head["start"], head["end"]) if head else (0, 1)
+
+
 @query
 def lod_pyramid(spark: SparkSession, d: str) -> DataFrame:
     return overview.lod_pyramid(_full(spark, d))
@@ -366,7 +372,7 @@ def lod_buckets(spark: SparkSession, d: str) -> DataFrame:
 @query
 def viewport_raster(spark: SparkSession, d: str) -> DataFrame:
     raw = fx.one_bit(_raw(spark, d))
-    return overview.viewport_raster(changes.segments(_flag(spark, d), fx.meta(raw)), 0, 2_592_000, 1000)
+    return overview.viewport_raster(changes.segments(_flag(spark, d), fx.meta(raw)), *_extent(raw), 1000)
 
 
 @query
@@ -382,7 +388,7 @@ def lod_ranges(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def overview_rows(spark: SparkSession, d: str) -> DataFrame:
-    return overview.overview(_pyramid(spark, d), _full(spark, d), 0, 2_592_000, 200)
+    return overview.overview(_pyramid(spark, d), _full(spark, d), *_extent(_raw(spark, d)), 200)
 
 
 @query
@@ -434,7 +440,7 @@ def read_json_trace(spark: SparkSession, d: str) -> DataFrame:
     """Documents written as lines and read back."""
     path = scratch(spark, "documents")
     _documents(spark, d).select("text").write.text(path)
-    return json_trace.read_json_trace(spark, path, lines=True).samples.select(
+    return json_trace.read_json_trace(spark, path, ABSENT_TEXT, lines=True).samples.select(
         "trace_id", "signal_id", "cycle", "seq", "raw_bits", "state")
 
 
@@ -452,13 +458,21 @@ def trace_extents(spark: SparkSession, d: str) -> DataFrame:
 def write_json_trace(spark: SparkSession, d: str) -> DataFrame:
     """Lines of the export, written and read back."""
     path = scratch(spark, "export")
-    json_trace.write_json_trace(fx.layout(spark, d, 16), _full(spark, d), path)
-    line = "name STRING, kind STRING, width INT, radix STRING, samples ARRAY<ARRAY<STRING>>"
-    read = spark.read.text(path).select("trace_id", F.from_json("value", line).alias("j"))
+    json_trace.write_json_trace(fx.meta(_raw(spark, d)), fx.layout(spark, d, 16), _full(spark, d), path, ABSENT_TEXT)
+    line = "signals ARRAY<STRUCT<name: STRING, kind: STRING, width: INT, radix: STRING, samples: ARRAY<ARRAY<STRING>>>>"
+    read = spark.read.text(path).select("trace_id", F.explode(F.from_json("value", line)["signals"]).alias("j"))
     return read.select("trace_id", "j.name", "j.kind", "j.width", "j.radix", F.explode("j.samples").alias("s")).select(
         "trace_id", "name", "kind", "width", "radix", F.get("s", F.lit(0)).alias("time"), F.get("s", F.lit(1)).alias("text"))
 
 
+@query
+def json_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The transitions of the export as the reader sees them."""
+    path = scratch(spark, "export")
+    json_trace.write_json_trace(fx.meta(_raw(spark, d)), fx.layout(spark, d, 16), _full(spark, d), path, ABSENT_TEXT)
+    return json_trace.read_json_trace(spark, path, ABSENT_TEXT, lines=True).samples.select(*TRANSITIONS.names)
+
+
 @query
 def write_tiled(spark: SparkSession, d: str) -> DataFrame:
     """Tiles as read back from disk."""
@@ -618,7 +632,7 @@ def search_chain(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def search_chain_all(spark: SparkSession, d: str) -> DataFrame:
-    return tree.search_nodes(_named(spark, d), " top. America .nation_21", None, True)
+    return tree.search_nodes(_named(spark, d), " top. America .nation_21", True)
 
 
 @query
@@ -636,6 +650,12 @@ def leaf_distribution(spark: SparkSession, d: str) -> DataFrame:
     return tree.leaf_distribution(_plain_paths(spark, d), fx.node_signals(spark, d))
 
 
+@query
+def leaf_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Leaves below every node."""
+    return tree.leaf_distribution(_plain_paths(spark, d), fx.node_signals(spark, d), None)
+
+
 @query
 def leaf_totals(spark: SparkSession, d: str) -> DataFrame:
     return tree.leaf_totals(_plain_paths(spark, d), fx.node_signals(spark, d))
@@ -770,12 +790,16 @@ def derive_wide_signal(spark: SparkSession, d: str) -> DataFrame:
 # Streaming
 
 
+def _slice_of(cycle: Column) -> Column:
+    """Slice of a row: what comes before the first or after the last one belongs to it."""
+    return F.least(F.greatest(F.call_function("div", cycle, F.lit(STREAM_SLICE).cast("bigint")), F.lit(0)), F.lit(3))
+
+
 def _slices(spark: SparkSession, rows: DataFrame, name: str) -> str:
     """Rows written as four folders' worth of files in time order, four files each."""
     path = scratch(spark, name)
     for i in range(4):
-        part = rows.where(F.col("cycle").between(i * STREAM_SLICE, (i + 1) * STREAM_SLICE - 1))
-        part.repartition(4).write.mode("append").parquet(path)
+        rows.where(_slice_of(rows["cycle"]) == i).repartition(4).write.mode("append").parquet(path)
     return path
 
 
@@ -794,10 +818,9 @@ def stream_changes(spark: SparkSession, d: str) -> DataFrame:
 @query
 def stream_ingest_guard(spark: SparkSession, d: str) -> DataFrame:
     """Refused rows of a stream with late, undefined, clocked and too wide updates."""
-    slice_of = F.call_function("div", F.col("cycle"), F.lit(STREAM_SLICE).cast("bigint"))
     seq = F.col("seq")
     rows = _raw(spark, d).withColumns({
-        "arrival": F.least(slice_of + F.when(seq % 100 == 0, 1).otherwise(0), F.lit(3)),
+        "arrival": F.least(_slice_of(F.col("cycle")) + F.when(seq % 100 == 0, 1).otherwise(0), F.lit(3)),
         "storage_id": F.when(seq % 83 == 0, F.col("storage_id") + 7_000_000).otherwise(F.col("storage_id")),
         "raw_bits": F.when(seq % 79 == 0, F.col("raw_bits") + 65_536).otherwise(F.col("raw_bits"))})
     path = scratch(spark, "late")
@@ -815,22 +838,19 @@ def stream_tiles(spark: SparkSession, d: str) -> DataFrame:
     source = ingest.replay(spark, _slices(spark, rows, "changes"), TRANSITIONS, 4)
     out = scratch(spark, "tiled")
     sinks.stream_tiles(source, out, scratch(spark, "progress"), span=SPAN, chunk=CHUNK).awaitTermination()
-    return sinks.closed_tiles(spark.read.parquet(out)).select(
+    written = spark.read.parquet(out)
+    return sinks.closed_tiles(written, written.select("trace_id")).select(
         "trace_id", "signal_id", "cycle", "raw_bits", "state", F.col("time_block").cast("bigint"), F.col("signal_chunk").cast("bigint"))
 
 
 @query
 def stream_lod(spark: SparkSession, d: str) -> DataFrame:
     rows = _small(spark, d).select(*TRANSITIONS.names)
-    source = ingest.replay(spark, _slices(spark, rows, "changes"), TRANSITIONS, 4)
+    path = _slices(spark, rows, "changes")
+    end = fx.meta(_raw(spark, d)).first()
+    marks = [sinks.end_mark(end["trace_id"], end["end"], 32_000)] if end else []
+    spark.createDataFrame(marks, TRANSITIONS).coalesce(1).write.mode("append").parquet(path)
+    source = ingest.replay(spark, path, TRANSITIONS, 4)
     out = scratch(spark, "windows")
     sinks.stream_lod(source, 32_000, out, scratch(spark, "progress")).awaitTermination()
     return spark.read.parquet(out)
-
-
-@query
-def workload(spark: SparkSession, d: str) -> DataFrame:
-    """The load at one cycle per event, counted per signal."""
-    cycles = fx.table(spark, d, "events").select(F.col("event_id").cast("bigint").alias("cycle"))
-    return synthetic.workload(cycles, 1000).groupBy("trace_id", "storage_id").agg(
-        F.count("*").alias("updates"), F.min("cycle").alias("first_cycle"), F.max("cycle").alias("last_cycle"))

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stepfold.functions.values import ABSENT_TEXT, export_text, normalize_values
+from stepfold.functions.names import trim
+from stepfold.functions.values import ABSENT_TEXT, export_text, normalize_values, with_text
 from stepfold.operators.blocks import spread_join
 from stepfold.schema import DEFAULT_END, DEFAULT_START, DEFAULT_TIMESCALE, DEFAULT_TITLE
 
@@ -16,10 +17,10 @@ from stepfold.schema import DEFAULT_END, DEFAULT_START, DEFAULT_TIMESCALE, DEFAU
 # read as variants that keep their JSON type.
 DOCUMENT = T.StructType([
     T.StructField("meta", T.StructType([
-        T.StructField("title", T.VariantType()), T.StructField("timescale", T.VariantType()),
+        T.StructField("id", T.StringType()), T.StructField("title", T.VariantType()), T.StructField("timescale", T.VariantType()),
         T.StructField("start", T.VariantType()), T.StructField("end", T.VariantType())])),
     T.StructField("signals", T.ArrayType(T.StructType([
-        T.StructField("name", T.VariantType()), T.StructField("kind", T.VariantType()),
+        T.StructField("id", T.LongType()), T.StructField("name", T.VariantType()), T.StructField("kind", T.VariantType()),
         T.StructField("width", T.VariantType()), T.StructField("radix", T.VariantType()),
         T.StructField("samples", T.ArrayType(T.ArrayType(T.VariantType())))]))),
 ])
@@ -44,7 +45,7 @@ def _text(v: Column) -> Column:
 
 def _tick(v: Column) -> Column:
     """A 64-bit time written as a string; null for anything else."""
-    return F.trim(_text(v)).try_cast("bigint")
+    return trim(_text(v)).try_cast("bigint")
 
 
 def _value_text(v: Column) -> Column:
@@ -58,7 +59,10 @@ def _value_text(v: Column) -> Column:
 
 
 def parse_json_traces(documents: DataFrame, absent_text: str = ABSENT_TEXT) -> JsonTrace:
-    """Tables from documents (trace_id, text)."""
+    """Tables from documents (trace_id, text). Documents of one trace are parts of it.
+
+    A signal is numbered by its place in the document, or has the ``id`` that an export in parts gives it.
+    """
     parsed = documents.select("trace_id", F.from_json("text", DOCUMENT, {"mode": "PERMISSIVE"}).alias("d"))
     meta = parsed.select(
         "trace_id", F.col("d.meta").isNotNull().alias("has_meta"),
@@ -67,17 +71,18 @@ def parse_json_traces(documents: DataFrame, absent_text: str = ABSENT_TEXT) -> J
         _tick(F.col("d.meta.start")).alias("start"), _tick(F.col("d.meta.end")).alias("end"),
         F.coalesce(F.size("d.signals"), F.lit(-1)).alias("n"))
     signal = parsed.select("trace_id", F.posexplode("d.signals").alias("i", "s"))
-    kind = F.when(F.lower(F.trim(_text(F.col("s.kind")))) == "bus", "bus").otherwise("bit")
-    given = F.lower(F.trim(_text(F.col("s.radix"))))
+    number = F.coalesce(F.col("s.id"), (F.col("i") + 1).cast("bigint")).alias("signal_id")
+    kind = F.when(F.lower(trim(_text(F.col("s.kind")))) == "bus", "bus").otherwise("bit")
+    given = F.lower(trim(_text(F.col("s.radix"))))
     radix = (F.when(given.isNull(), F.when(kind == "bus", "hex").otherwise("bin"))
              .when(given.isin(RADICES), given).otherwise("bin"))
     width = F.try_variant_get(F.col("s.width"), "$", "int")
     signals = signal.select(
-        "trace_id", (F.col("i") + 1).cast("bigint").alias("signal_id"), _text(F.col("s.name")).alias("name"), kind.alias("kind"),
+        "trace_id", number, _text(F.col("s.name")).alias("name"), kind.alias("kind"),
         F.greatest(F.coalesce(width, F.lit(1)), F.lit(1)).alias("width"), radix.alias("radix"),
         F.col("s.samples").isNull().alias("no_samples"))
     sample = signal.select(
-        "trace_id", (F.col("i") + 1).cast("bigint").alias("signal_id"), kind.alias("kind"),
+        "trace_id", number, kind.alias("kind"),
         F.greatest(F.coalesce(width, F.lit(1)), F.lit(1)).alias("width"), F.posexplode("s.samples").alias("seq", "item"))
     sample = sample.select(
         "trace_id", "signal_id", "kind", "width", F.col("seq").cast("bigint").alias("seq"), F.size("item").alias("parts"),
@@ -99,22 +104,27 @@ def parse_json_traces(documents: DataFrame, absent_text: str = ABSENT_TEXT) -> J
              .unionByName(errors(signals.where("no_samples"), "samples_missing", sid))
              .unionByName(errors(sample.where("parts < 2"), "sample_too_short", sid, seq))
              .unionByName(errors(sample.where("parts >= 2 AND cycle IS NULL"), "time_not_text", sid, seq)))
-    heads = meta.select("trace_id", "title", "timescale",
-                        F.coalesce("start", F.lit(DEFAULT_START).cast("bigint")).alias("start"),
-                        F.coalesce("end", F.lit(DEFAULT_END).cast("bigint")).alias("end"))
-    return JsonTrace(trace_extents(heads, samples), signals.drop("no_samples"), samples, found)
+    heads = meta.select("trace_id", F.struct(
+        "title", "timescale", F.coalesce("start", F.lit(DEFAULT_START).cast("bigint")).alias("start"),
+        F.coalesce("end", F.lit(DEFAULT_END).cast("bigint")).alias("end")).alias("head"))
+    heads = heads.groupBy("trace_id").agg(F.min("head").alias("head")).select("trace_id", "head.*")
+    # One row per signal: its parts carry the same columns.
+    columns = [F.min(c).alias(c) for c in ("name", "kind", "width", "radix")]
+    return JsonTrace(trace_extents(heads, samples), signals.groupBy("trace_id", "signal_id").agg(*columns), samples, found)
+
 
+def read_json_trace(spark: SparkSession, path: str, absent_text: str, lines: bool = False) -> JsonTrace:
+    """Read one document per file, or with ``lines`` one per line, in parallel over them.
 
-def read_json_trace(spark: SparkSession, path: str, lines: bool = False) -> JsonTrace:
-    """Read one document per file, or with ``lines`` one per line, in parallel over them."""
-    files = spark.read.text(path, wholetext=not lines).select(
-        F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.col("value"))
+    ``absent_text`` is the marker of an absent value in these files. A file is named by its full path; a line names its
+    trace by ``meta.id``, else its title, else its file.
+    """
+    files = spark.read.text(path, wholetext=not lines).select(F.col("_metadata.file_path").alias("file"), F.col("value"))
     if lines:
-        # A line names its trace by the title; whole files are named by the file.
-        named = files.select(F.get_json_object("value", "$.meta.title").alias("trace_id"), F.col("value").alias("text"))
+        name = F.coalesce(F.get_json_object("value", "$.meta.id"), F.get_json_object("value", "$.meta.title"), "file")
     else:
-        named = files.select(F.col("file").alias("trace_id"), F.col("value").alias("text"))
-    return parse_json_traces(named)
+        name = F.col("file")
+    return parse_json_traces(files.select(name.alias("trace_id"), F.col("value").alias("text")), absent_text)
 
 
 def trace_extents(meta: DataFrame, samples: DataFrame) -> DataFrame:
@@ -131,38 +141,44 @@ def trace_extents(meta: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def export_rows(signals: DataFrame, transitions: DataFrame, absent_text: str = ABSENT_TEXT) -> DataFrame:
-    """Export text of every transition: (trace_id, signal_id, name, kind, width, radix, cycle, text)."""
-    lookup = signals.select("trace_id", "signal_id", "name", "kind", "width", "radix")
-    joined = spread_join(transitions, lookup, ["trace_id", "signal_id"], "cycle")
-    text = export_text(F.col("raw_bits"), F.col("state"), F.col("kind"), F.col("width"), F.col("radix"),
-                       absent_text=absent_text)
-    return joined.select("trace_id", "signal_id", "name", "kind", "width", "radix", "cycle", text.alias("text"))
+    """Export text of every transition: the columns of ``signals``, cycle and text."""
+    joined = spread_join(transitions, signals, ["trace_id", "signal_id"], "cycle")
+    columns = [F.col(c) for c in ("raw_bits", "state", "kind", "width", "radix")]
+    texts = with_text(joined, lambda floats: export_text(*columns, with_floats=floats, absent_text=absent_text))
+    return texts.select(*signals.columns, "cycle", "text")
 
 
-def json_lines(signals: DataFrame, transitions: DataFrame, part_cycles: int = 1 << 16,
+def json_lines(meta: DataFrame, signals: DataFrame, transitions: DataFrame, part_cycles: int = 1 << 16,
                absent_text: str = ABSENT_TEXT) -> DataFrame:
-    """JSON lines of a trace, each with the samples of one signal in one stretch of cycles.
+    """JSON lines of a trace: each a document with the header and one signal's samples of one stretch of cycles.
 
     A line never holds more than ``part_cycles`` samples, so a signal with 10^8 events is many
     lines and no group grows with the trace. ``part`` orders the lines of a signal. Signals
-    without samples get one empty line.
+    without samples get one empty line. ``id`` tells the parts of a trace and of a signal that belong together.
     """
-    rows = export_rows(signals, transitions, absent_text)
+    head = meta.select("trace_id", F.struct(
+        F.col("trace_id").alias("id"), "title", "timescale", F.col("start").cast("string").alias("start"),
+        F.col("end").cast("string").alias("end")).alias("meta"))
     shift = part_cycles.bit_length() - 1
-    key = ["trace_id", "signal_id"]
-    pairs = rows.groupBy(*key, F.shiftright("cycle", shift).alias("part")).agg(
+    key, own = ["trace_id", "signal_id"], ["name", "kind", "width", "radix", "meta"]
+    described = signals.select(*key, *own[:-1]).join(head, "trace_id", "left").select(*key, *own)
+    pairs = export_rows(described, transitions, absent_text).groupBy(*key, *own, F.shiftright("cycle", shift).alias("part")).agg(
         F.array_sort(F.collect_list(F.struct("cycle", "text"))).alias("pairs"))
-    lines = signals.select(*key, "name", "kind", "width", "radix").join(pairs, key, "left")
-    samples = F.transform(F.coalesce("pairs", F.array().cast("array<struct<cycle:bigint,text:string>>")),
-                          lambda p: F.array(p["cycle"].cast("string"), p["text"]))
-    body = F.to_json(F.struct("name", "kind", "width", "radix", samples.alias("samples")))
-    return lines.select(*key, F.coalesce("part", F.lit(0).cast("bigint")).alias("part"), body.alias("line"))
+    silent = described.join(transitions.select(*key).distinct(), key, "left_anti").select(
+        *key, *own, F.lit(0).cast("bigint").alias("part"), F.array().cast("array<struct<cycle:bigint,text:string>>").alias("pairs"))
+    samples = F.transform("pairs", lambda p: F.array(p["cycle"].cast("string"), p["text"]))
+    signal = F.struct(F.col("signal_id").alias("id"), "name", "kind", "width", "radix", samples.alias("samples"))
+    body = F.to_json(F.struct("meta", F.array(signal).alias("signals")))
+    return pairs.unionByName(silent).select(*key, "part", body.alias("line"))
+
 
+def write_json_trace(meta: DataFrame, signals: DataFrame, transitions: DataFrame, path: str, absent_text: str,
+                     part_cycles: int = 1 << 16) -> None:
+    """Write traces as gzipped JSON lines in signal and time order, one folder per trace.
 
-def write_json_trace(signals: DataFrame, transitions: DataFrame, path: str, part_cycles: int = 1 << 16,
-                     absent_text: str = ABSENT_TEXT) -> None:
-    """Write a trace as gzipped JSON lines in signal and time order, one folder per trace."""
-    lines = json_lines(signals, transitions, part_cycles, absent_text)
+    ``read_json_trace`` with ``lines`` and the same ``absent_text`` reads them back.
+    """
+    lines = json_lines(meta, signals, transitions, part_cycles, absent_text)
     (lines.repartitionByRange("trace_id", "signal_id", "part").sortWithinPartitions("trace_id", "signal_id", "part")
      .select("trace_id", F.col("line").alias("value"))
      .write.mode("overwrite").partitionBy("trace_id").option("compression", "gzip").text(path))

@@ -24,22 +24,36 @@ def stream_tiles(changes: DataFrame, path: str, checkpoint: str, signal: str = "
             .trigger(availableNow=True).start())
 
 
-def closed_tiles(tiled: DataFrame) -> DataFrame:
-    """Rows of blocks that can no longer grow: all but the last block of each trace."""
+def closed_tiles(tiled: DataFrame, ended: DataFrame | None = None) -> DataFrame:
+    """Rows of blocks that can no longer grow: all but the last block of each trace.
+
+    Traces in ``ended`` (trace_id) will get no more rows, so their last block is closed as well.
+    """
     last = tiled.groupBy("trace_id").agg(F.max("time_block").alias("last_block"))
+    if ended is not None:
+        over = ended.select("trace_id", F.lit(True).alias("over")).distinct()
+        last = last.join(over, "trace_id", "left").withColumn(
+            "last_block", F.when(F.col("over"), F.col("last_block") + 1).otherwise(F.col("last_block"))).drop("over")
     return spread_join(tiled, last, ["trace_id"], "cycle").where("time_block < last_block").drop("last_block")
 
 
+def end_mark(trace_id: str, end: int, bucket: int, delay: int = 0) -> tuple[str, None, int, None, None]:
+    """The row that a writer sends after the last one of a trace: it closes all windows and is in none."""
+    return trace_id, None, end + bucket + delay + 1, None, None
+
+
 def lod_windows(changes: DataFrame, bucket: int, delay: int = 0) -> DataFrame:
     """Last transition of each closed window of ``bucket`` cycles, as a streaming aggregate.
 
     A cycle is one millisecond of event time, the unit in which watermarks advance. A window is
-    emitted once no row within ``delay`` cycles can still fall into it.
+    emitted once no row within ``delay`` cycles can still fall into it, and the last ones by ``end_mark``.
     """
     timed = changes.withColumn("at", F.timestamp_millis("cycle")).withWatermark("at", f"{delay} milliseconds")
     windows = timed.groupBy(F.window("at", f"{bucket} milliseconds").alias("w"), *SIGNAL_KEY).agg(
         F.max("cycle").alias("last_cycle"), F.max_by("raw_bits", "cycle").alias("raw_bits"),
         F.max_by("state", "cycle").alias("state"))
+    # On the aggregate: a filter on the key would move below the watermark, and the mark would not move it.
+    windows = windows.where(F.col("state").isNotNull())
     return windows.select(*SIGNAL_KEY, F.unix_millis("w.start").alias("window_start"),
                           F.col("last_cycle").alias("cycle"), "raw_bits", "state")
 

@@ -1,12 +1,14 @@
 """Files, tiles, documents and generated rows."""
 
 import json
+import os
 
 from pyspark.sql import functions as F
 
 from stepfold.functions.values import normalize_values, value_text
 from stepfold.operators.periodic import detect_periodic
 from stepfold.plans.lineage import scratch
+from stepfold.schema import TRANSITIONS
 from stepfold.sources import json_trace, synthetic, tiles
 from tests import models
 
@@ -63,8 +65,10 @@ def test_export_round_trip(spark):
     events = {1: {c: (c * 37 % 256, 0) for c in range(0, 300, 11)}, 2: {4: (0, 1), 9: (1, 0), 11: (0, 2)}}
     signals = spark.createDataFrame([("t", 1, "a", "bus", 8, "hex"), ("t", 2, "b", "bit", 1, "bin"), ("t", 3, "c", "bit", 1, "bin")],
                                     "trace_id string, signal_id bigint, name string, kind string, width int, radix string")
-    lines = json_trace.json_lines(signals, models.events_table(spark, events), part_cycles=64)
-    bodies = [(r.signal_id, r.part, json.loads(r.line)) for r in lines.collect()]
+    meta = spark.createDataFrame([("t", "run", "1ns", 3, 400)], "trace_id string, title string, timescale string, start bigint, end bigint")
+    rows = models.events_table(spark, events)
+    lines = json_trace.json_lines(meta, signals, rows, part_cycles=64)
+    bodies = [(r.signal_id, r.part, json.loads(r.line)["signals"][0]) for r in lines.collect()]
     assert max(len(b["samples"]) for _, _, b in bodies) <= 64
     assert [b["samples"] for s, _, b in bodies if s == 3] == [[]]
     texts = spark.createDataFrame([(b["kind"], b["width"], s, t, v) for s, _, b in bodies for t, v in b["samples"]],
@@ -72,6 +76,26 @@ def test_export_round_trip(spark):
     back = sorted((r.signal_id, int(r.time), r.raw_bits, r.state) for r in normalize_values(texts).collect())
     assert back == sorted((s, c, *v) for s, e in events.items() for c, v in e.items())
 
+    path = scratch(spark, "export")
+    json_trace.write_json_trace(meta, signals, rows, path, "(none)", part_cycles=64)
+    read = json_trace.read_json_trace(spark, path, "(none)", lines=True)
+    assert [tuple(r) for r in read.meta.collect()] == [("t", "run", "1ns", 3, 400)]
+    assert sorted(read.samples.select(*TRANSITIONS.names).collect()) == sorted(rows.select(*TRANSITIONS.names).collect())
+    assert sorted(tuple(r) for r in read.signals.collect()) == sorted(tuple(r) for r in signals.collect())
+    assert read.errors.isEmpty()
+
+
+def test_files_of_one_name_are_two_traces(spark):
+    path = scratch(spark, "runs")
+    for folder, value in (("a", "\\t0x1F\\n"), ("b", "2")):
+        os.makedirs(f"{path}/{folder}")
+        with open(f"{path}/{folder}/run.json", "w") as f:
+            f.write('{"meta":{"title":"x","timescale":"1s","start":"0","end":"9"},"signals":[{"name":"s","kind":" BUS\\n","width":8,'
+                    '"samples":[["\\t0 ","%s"],["5","(none)"]]}]}' % value)
+    read = json_trace.read_json_trace(spark, f"{path}/*", "(none)")
+    got = sorted((r.trace_id.rsplit("/", 2)[-2], r.cycle, r.raw_bits, r.state) for r in read.samples.collect())
+    assert got == [("a", 0, 31, 0), ("a", 5, 0, 2), ("b", 0, 2, 0), ("b", 5, 0, 2)]
+
 
 def test_text_of_floats(spark):
     import struct

@@ -40,3 +40,13 @@ def test_topology_report_is_empty_for_a_sound_layout(spark):
                                     "value_type string, radix string, storage_only boolean")
     clocks = spark.createDataFrame([("t", 1, True, 5)], "trace_id string, signal_id bigint, initial_value boolean, period_ticks bigint")
     assert checks.check_topology(layout, signals, clocks).isEmpty()
+
+
+def test_chain_deeper_than_4096_and_more_than_5000_hits(spark):
+    n = 4500
+    deep = spark.range(1, n + 1).selectExpr("'t' AS trace_id", "id AS node_id", "id - 1 AS parent_id", "0 AS ordinal", "'n' AS name", "'Object' AS node_kind")
+    paths = tree.node_paths(deep)
+    assert paths.selectExpr("count(*)", "max(depth)").first() == (n, n - 1)
+    wide = spark.range(1, 6002).selectExpr("'t' AS trace_id", "id AS node_id", "IF(id = 1, 0, 1) AS parent_id", "0 AS ordinal", "'leaf' AS name",
+                                           "CAST(NULL AS BIGINT) AS signal_id", "1 AS width")
+    assert tree.search_nodes(wide, "leaf").count() == 6001
