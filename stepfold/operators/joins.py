@@ -33,17 +33,23 @@ def value_at(transitions: DataFrame, probes: DataFrame, spans: Sequence[int] = S
         F.coalesce("state", "held_state", state(ABSENT)).alias("state"))
 
 
-def common_signals(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Signals of two traces matched on full path; the first of equal paths wins, empty ones drop."""
+def common_signals(left: DataFrame, right: DataFrame, traces: DataFrame | None = None) -> DataFrame:
+    """Signals of traces of two sides matched on full path; the first of equal paths wins, empty ones drop.
+
+    Traces of equal id are matched, or those that ``traces`` pairs (trace_id, b_trace_id).
+    """
 
     def first_of_path(signals: DataFrame, side: str) -> DataFrame:
         # min_by keeps a map-side half, where row_number would sort every path.
-        return signals.where(F.length("path") > 0).groupBy("path").agg(
+        return signals.where(F.length("path") > 0).groupBy("trace_id", "path").agg(
             F.min("signal_id").alias(f"{side}_signal_id"),
             F.min_by("kind", "signal_id").alias(f"{side}_kind"),
             F.min_by("width", "signal_id").alias(f"{side}_width"))
 
-    return first_of_path(left, "a").join(first_of_path(right, "b"), "path")
+    a, b = first_of_path(left, "a"), first_of_path(right, "b").withColumnRenamed("trace_id", "b_trace_id")
+    if traces is None:
+        return a.join(b.withColumn("trace_id", F.col("b_trace_id")), ["trace_id", "path"])
+    return a.join(traces.select("trace_id", "b_trace_id"), "trace_id").join(b, ["b_trace_id", "path"])
 
 
 def merge_states(transitions: DataFrame, deps: DataFrame, slots: int, starts: DataFrame | None = None,

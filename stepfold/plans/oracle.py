@@ -420,7 +420,7 @@ FROM raw r JOIN bytes b USING (storage_id)""")
     q["value_at"] = sql([*FULL, PROBES], """SELECT p.trace_id, p.signal_id, p.cycle, coalesce(t.raw_bits, 0) AS raw_bits,
   coalesce(t.state, CAST(2 AS TINYINT)) AS state
 FROM (SELECT DISTINCT * FROM probes) p ASOF LEFT JOIN full_t t ON p.signal_id = t.signal_id AND p.cycle >= t.cycle""")
-    q["common_signals"] = sql(DIFF[:len(RERUN) + 2], """SELECT l.path, l.signal_id AS a_signal_id, l.kind AS a_kind, l.width AS a_width,
+    q["common_signals"] = sql(DIFF[:len(RERUN) + 2], """SELECT 't' AS trace_id, 't' AS b_trace_id, l.path, l.signal_id AS a_signal_id, l.kind AS a_kind, l.width AS a_width,
   r.signal_id AS b_signal_id, r.kind AS b_kind, r.width AS b_width FROM layout l JOIN right_layout r USING (path)""")
     g = "trace_id, group_id"
     both = "\n  ".join(
@@ -476,18 +476,18 @@ QUALIFY row_number() OVER ({by}) <= 12""")
     q["union_times"] = sql(FULL, "SELECT DISTINCT trace_id, cycle FROM full_t ORDER BY cycle")
 
     # Compare
-    q["diff_traces"] = sql(DIFF, "SELECT * FROM regions")
-    q["diff_summary"] = sql(DIFF, """SELECT path, count(*) AS regions, CAST(sum("end" - "start") AS BIGINT) AS differing_cycles,
+    q["diff_traces"] = sql(DIFF, "SELECT 't' AS trace_id, * FROM regions")
+    q["diff_summary"] = sql(DIFF, """SELECT 't' AS trace_id, path, count(*) AS regions, CAST(sum("end" - "start") AS BIGINT) AS differing_cycles,
   min("start") AS first_cycle, max("end") AS last_cycle FROM regions GROUP BY path""")
     starts = 'starts AS (SELECT "start" AS cycle FROM regions)'
     q["next_diff"] = sql([*DIFF, PROBES, starts], neighbour("starts", "ASOF", "<"))
     q["prev_diff"] = sql([*DIFF, PROBES, starts], neighbour("starts", "ASOF", ">="))
-    q["compared_signals"] = sql(COMPARED, "SELECT * FROM compared")
-    q["compared_trace"] = sql(COMPARED, """SELECT c.signal_id, c.side_path AS path, t.cycle, t.raw_bits, t.state
+    q["compared_signals"] = sql(COMPARED, "SELECT 't' AS trace_id, 't' AS source_trace, * FROM compared")
+    q["compared_trace"] = sql(COMPARED, """SELECT 't' AS trace_id, c.signal_id, c.side_path AS path, t.cycle, t.raw_bits, t.state
 FROM compared c JOIN small_t t ON t.signal_id = c.source_id WHERE c.side = 'a'
-UNION ALL SELECT c.signal_id, c.side_path, t.cycle, t.raw_bits, t.state
+UNION ALL SELECT 't', c.signal_id, c.side_path, t.cycle, t.raw_bits, t.state
 FROM compared c JOIN rerun_t t ON t.signal_id = c.source_id WHERE c.side = 'b'""")
-    q["compared_meta"] = sql(DIFF, """SELECT 'Compare_events_vs_rerun' AS title, '1s' AS timescale, CAST(0 AS BIGINT) AS "start", a_end AS "end",
+    q["compared_meta"] = sql(DIFF, """SELECT 't' AS trace_id, 'Compare_events_vs_rerun' AS title, '1s' AS timescale, CAST(0 AS BIGINT) AS "start", a_end AS "end",
   (SELECT count(*) FROM both_sides) AS common_paths, (SELECT count(DISTINCT path) FROM regions) AS differing_paths, 'ok' AS status FROM ends""")
 
     # Overviews

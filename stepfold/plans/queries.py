@@ -314,13 +314,13 @@ def diff_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def next_diff(spark: SparkSession, d: str) -> DataFrame:
-    regions = compare.diff_traces(*_runs(spark, d)).withColumn("trace_id", F.lit(fx.TRACE))
+    regions = compare.diff_traces(*_runs(spark, d))
     return search.next_diff(regions, fx.order_probes(spark, d))
 
 
 @query
 def prev_diff(spark: SparkSession, d: str) -> DataFrame:
-    regions = compare.diff_traces(*_runs(spark, d)).withColumn("trace_id", F.lit(fx.TRACE))
+    regions = compare.diff_traces(*_runs(spark, d))
     return search.prev_diff(regions, fx.order_probes(spark, d))
 
 

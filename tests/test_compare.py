@@ -8,16 +8,19 @@ from stepfold.operators import compare
 from tests import models
 
 META = "trace_id string, title string, timescale string, start bigint, end bigint"
-SIGNAL = "signal_id bigint, path string, kind string, width int"
+SIGNAL = "trace_id string, signal_id bigint, path string, kind string, width int"
 
 
 def run(spark, a, b, start, a_end, b_end, spans, signals_a=None, signals_b=None):
+    def tables(signals):
+        return spark.createDataFrame([("t", *x) for x in signals], SIGNAL)
+
     layout = [(s, f"top.s{s}", "bus", 2) for s in range(1, 5)]
     return compare.diff_traces(
-        models.events_table(spark, a), spark.createDataFrame(signals_a or layout, SIGNAL),
-        spark.createDataFrame([("a", "a", "1ns", start, a_end)], META),
-        models.events_table(spark, b), spark.createDataFrame(signals_b or layout, SIGNAL),
-        spark.createDataFrame([("b", "b", "1ns", start, b_end)], META), spans)
+        models.events_table(spark, a), tables(signals_a or layout),
+        spark.createDataFrame([("t", "a", "1ns", start, a_end)], META),
+        models.events_table(spark, b), tables(signals_b or layout),
+        spark.createDataFrame([("t", "b", "1ns", start, b_end)], META), spans)
 
 
 def regions(df):
@@ -57,3 +60,25 @@ def test_width_mismatch_and_duplicate_paths(spark):
     events = {3: {0: (1, 0)}, 8: {0: (1, 0), 5: (2, 0)}}
     got = run(spark, {3: events[3]}, {8: events[8]}, 0, 10, 10, (2,), left, right)
     assert regions(got) == [("p", 0, 10), ("q", 5, 10)]
+
+
+def test_three_traces_per_side(spark):
+    """Of three pairs one is equal, one differs in a value, and one ends early; ids of the right side are its own."""
+    event, signal = "trace_id string, signal_id bigint, cycle bigint, raw_bits bigint, state tinyint", SIGNAL
+    a = [(t, 1, 0, 1, 0) for t in "xyz"] + [("y", 1, 20, 2, 0)]
+    b = [(t, 5, 0, 1, 0) for t in "XYZ"] + [("Y", 5, 20, 3, 0)]
+    left = spark.createDataFrame([(t, 1, "p", "bus", 2) for t in "xyz"], signal), spark.createDataFrame([(t, t, "1ns", 0, 50) for t in "xyz"], META)
+    right = (spark.createDataFrame([(t, 5, "p", "bus", 2) for t in "XYZ"], signal),
+             spark.createDataFrame([(t, t, "1ns", 0, 40 if t == "Z" else 50) for t in "XYZ"], META))
+    traces = spark.createDataFrame([(t, t.upper()) for t in "xyz"], "trace_id string, b_trace_id string")
+    rows = spark.createDataFrame(a, event), spark.createDataFrame(b, event)
+    found = compare.diff_traces(rows[0], *left, rows[1], *right, traces=traces)
+    assert sorted(tuple(r) for r in found.collect()) == [("y", "p", 20, 50), ("z", "p", 40, 50)]
+    signals = compare.compared_signals(left[0], right[0], found, traces)
+    assert sorted((r.trace_id, r.source_trace, r.signal_id) for r in signals.collect()) == [("y", "Y", 2), ("y", "y", 1), ("z", "Z", 2), ("z", "z", 1)]
+    combined = compare.compared_trace(*rows, signals)
+    assert sorted((r.trace_id, r.signal_id, r.cycle, r.raw_bits) for r in combined.collect()) == [
+        ("y", 1, 0, 1), ("y", 1, 20, 2), ("y", 2, 0, 1), ("y", 2, 20, 3), ("z", 1, 0, 1), ("z", 2, 0, 1)]
+    heads = compare.compared_meta(left[1], right[1], left[0], right[0], found, traces)
+    assert sorted((r.trace_id, r.title, r.end, r.status) for r in heads.collect()) == [
+        ("x", "Compare_x_vs_X", 50, "no_difference"), ("y", "Compare_y_vs_Y", 50, "ok"), ("z", "Compare_z_vs_Z", 50, "ok")]
