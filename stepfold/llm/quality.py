@@ -139,7 +139,8 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     lost = F.when(F.col("word_chars") > 0, 1 - F.col("__left") / F.col("word_chars")).otherwise(0.0)
     step = step.select("*", failed.alias("base_failed"), lost.alias("lost_share"))
     return step.select(*own, *made[:7], F.when(F.col("text").isNotNull(), F.col("__clean")).alias("clean_text"),
-                       (~F.col("base_failed") & (F.col("lost_share") <= rules.max_lost_share)).alias("kept"))
+                       # The id is never negative; with it, a filter on kept is not moved down and spelled out in terms of the text.
+                       (~F.col("base_failed") & (F.col("lost_share") <= rules.max_lost_share) & (F.monotonically_increasing_id() >= 0)).alias("kept"))
 
 
 def clean(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
