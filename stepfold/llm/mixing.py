@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stepfold.plans.lineage import cut
+
 #: The largest mean that is inverted at once; larger means are sums of equal parts, each with a hash of its own.
 PART = 16.0
 #: Terms of a distribution with mean PART or less; what is left beyond them is below 2^-52.
@@ -55,10 +57,11 @@ def repeated(docs: DataFrame, rate: DataFrame, seed: int = 17) -> DataFrame:
     depends on nothing else: a lost task repeats it. Equal rows are drawn alike. Rows with a null doc_id draw as one id; rows whose
     source has no rate are left out. The order is by a hash of seed, doc_id and copy, dealt over all partitions.
     """
-    own = [c for c in docs.columns if c not in ("copy", "repeats", "rate")]
+    own = [c for c in docs.columns if c not in ("copy", "repeats")]
     parts = rate.select(F.col("source").alias("__source"), F.greatest(F.ceil(F.col("rate") / PART).cast("int"), F.lit(1)).alias("__parts"),
                         F.col("rate").alias("__rate"))
-    parts = parts.withColumn("__cdf", poisson_cdf(F.col("__rate") / F.col("__parts")))
+    # Written first: computed once per source, and Spark knows its size before it plans to move the documents.
+    parts = cut(parts.withColumn("__cdf", poisson_cdf(F.col("__rate") / F.col("__parts"))))
     joined = docs.join(parts, F.col("source").eqNullSafe(F.col("__source")))
     draws = F.transform(F.sequence(F.lit(1), F.col("__parts")),
                         lambda part: F.size(F.filter("__cdf", lambda p: p <= uniform(F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
@@ -75,6 +78,12 @@ def mix(docs: DataFrame, temperature: float = 0.5, weights: dict[str | None, flo
     return repeated(docs, rates(docs, temperature, weights, size), seed)
 
 
+def mixed(docs: DataFrame, temperature: float = 0.5, weights: dict[str | None, float] | None = None, size: float = 1.0, seed: int = 17) -> DataFrame:
+    """As ``mix``, with the columns of ``docs`` and no others, whatever their names."""
+    rows = docs.select("doc_id", "source", F.struct(*[f"`{c}`" for c in docs.columns]).alias("__row"))
+    return repeated(rows, rates(docs, temperature, weights, size), seed).select("__row.*")
+
+
 OP4_SQL = f"""
 WITH sums AS (SELECT source, sum(coalesce(length(text), 0)) AS chars FROM documents GROUP BY source),
 shares AS (SELECT source, chars, sqrt(chars::DOUBLE) AS weight FROM sums),
