@@ -9,7 +9,7 @@ each batch takes effect once.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +28,7 @@ LAST = T.StructType([
     T.StructField("state", T.ByteType()), T.StructField("batch", T.LongType())])
 # A batch reads the table of the batch before and writes its own, so three places are enough.
 PLACES = 3
+ALL_THERE_IS = {"availableNow": True}
 
 
 def replay(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1) -> DataFrame:
@@ -63,34 +64,44 @@ def guard(rows: DataFrame, last: DataFrame, streams: DataFrame | None) -> DataFr
     return joined.withColumn("reason", F.when(overtaken, "duplicate_in_cycle").otherwise(F.col("reason"))).drop("last_seq")
 
 
-def changes_after(accepted: DataFrame, last: DataFrame, spans: Sequence[int] = SPANS) -> DataFrame:
-    """Changes in ``accepted`` given each signal's last value; a first zero is the implied start."""
+def changes_after(accepted: DataFrame, last: DataFrame, spans: Sequence[int] = SPANS, starts: DataFrame | None = None) -> DataFrame:
+    """Changes in ``accepted`` given each signal's last value.
+
+    A first value equal to the declared start is no change: that of ``starts`` (trace_id, storage_id, initial_bits), else zero.
+    """
     rows = last_writes(accepted).withColumn("new", F.lit(True))
     touched = last.join(rows.select(*KEY).distinct(), KEY, "left_semi").select(
         *KEY, "cycle", "raw_bits", "state", F.lit(False).alias("new"))
     scanned = scan(rows.unionByName(touched), KEY, "cycle",
                    [prev("raw_bits", "prev_bits"), prev("state", "prev_state")], spans)
-    first_zero = F.col("prev_state").isNull() & (F.col("state") == KNOWN) & (F.col("raw_bits") == 0)
+    if starts is None:
+        scanned = scanned.withColumn("initial_bits", F.lit(0).cast("bigint"))
+    else:
+        scanned = spread_join(scanned, starts, KEY, "cycle", "left")
+    initial = F.coalesce("initial_bits", F.lit(0).cast("bigint"))
+    implied = F.col("prev_state").isNull() & (F.col("state") == KNOWN) & (F.col("raw_bits") == initial)
     repeat = F.col("prev_state").isNotNull() & same(
         F.col("raw_bits"), F.col("state"), F.col("prev_bits"), F.col("prev_state"))
-    return scanned.where(F.col("new") & ~first_zero & ~repeat).select(*KEY, "cycle", "raw_bits", "state")
+    return scanned.where(F.col("new") & ~implied & ~repeat).select(*KEY, "cycle", "raw_bits", "state")
 
 
 def stream_changes(updates: DataFrame, path: str, signals: DataFrame | None = None, clocks: DataFrame | None = None,
-                   spans: Sequence[int] = SPANS) -> StreamingQuery:
+                   spans: Sequence[int] = SPANS, trigger: Mapping[str, object] = ALL_THERE_IS) -> StreamingQuery:
     """Run updates (trace_id, storage_id, cycle, seq, raw_bits, state) into tables under ``path``.
 
     ``path/changes`` gets the changes, ``path/quarantine`` the refused rows with their reason. With
-    ``signals`` and ``clocks`` the layout rules apply as well.
+    ``signals`` and ``clocks`` the layout rules apply as well, and a stream starts from its declared value.
+    ``trigger`` is that of ``DataStreamWriter.trigger``: all there is, or for instance every few seconds.
     """
     streams = None if signals is None else known_storages(signals, clocks)
+    starts = None if signals is None else signals.groupBy(*KEY).agg(F.max("initial_bits").alias("initial_bits"))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         last = _last_values(spark, path, batch_id - 1)
         judged = guard(batch, last, streams).persist()
         accepted = judged.where(F.col("reason").isNull()).drop("reason")
-        found = changes_after(accepted, last, spans)
+        found = changes_after(accepted, last, spans, starts)
         found.write.mode("overwrite").parquet(f"{path}/changes/batch={batch_id}")
         judged.where(F.col("reason").isNotNull()).write.mode("overwrite").parquet(f"{path}/quarantine/batch={batch_id}")
         newest = last.select(*KEY, "cycle", "raw_bits", "state").unionByName(last_writes(accepted)).groupBy(*KEY).agg(
@@ -101,7 +112,7 @@ def stream_changes(updates: DataFrame, path: str, signals: DataFrame | None = No
         judged.unpersist()
 
     return (updates.writeStream.foreachBatch(handle).option("checkpointLocation", f"{path}/checkpoint")
-            .trigger(availableNow=True).start())
+            .trigger(**trigger).start())
 
 
 def read_changes(spark: SparkSession, path: str) -> DataFrame:

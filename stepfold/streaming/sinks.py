@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,10 +11,11 @@ from pyspark.sql.streaming import StreamingQuery
 from stepfold.operators.blocks import spread_join
 from stepfold.schema import SIGNAL_KEY, TILE_CYCLES, TILE_SIGNALS
 from stepfold.sources.tiles import with_tiles
+from stepfold.streaming.ingest import ALL_THERE_IS
 
 
 def stream_tiles(changes: DataFrame, path: str, checkpoint: str, signal: str = "signal_id", span: int = TILE_CYCLES,
-                 chunk: int = TILE_SIGNALS) -> StreamingQuery:
+                 chunk: int = TILE_SIGNALS, trigger: Mapping[str, object] = ALL_THERE_IS) -> StreamingQuery:
     """Append changes to tiles. The sink's commit log makes each batch visible as a whole, once.
 
     Rows are brought together by tile first, so a batch adds one file per tile it touches and not
@@ -21,7 +24,7 @@ def stream_tiles(changes: DataFrame, path: str, checkpoint: str, signal: str = "
     tiled = with_tiles(changes, signal, span, chunk).repartition("time_block", "signal_chunk")
     return (tiled.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
             .option("compression", "zstd").partitionBy("time_block", "signal_chunk")
-            .trigger(availableNow=True).start())
+            .trigger(**trigger).start())
 
 
 def closed_tiles(tiled: DataFrame, ended: DataFrame | None = None) -> DataFrame:
@@ -58,6 +61,7 @@ def lod_windows(changes: DataFrame, bucket: int, delay: int = 0) -> DataFrame:
                           F.col("last_cycle").alias("cycle"), "raw_bits", "state")
 
 
-def stream_lod(changes: DataFrame, bucket: int, path: str, checkpoint: str, delay: int = 0) -> StreamingQuery:
+def stream_lod(changes: DataFrame, bucket: int, path: str, checkpoint: str, delay: int = 0,
+               trigger: Mapping[str, object] = ALL_THERE_IS) -> StreamingQuery:
     return (lod_windows(changes, bucket, delay).writeStream.outputMode("append").format("parquet")
-            .option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+            .option("path", path).option("checkpointLocation", checkpoint).trigger(**trigger).start())

@@ -38,3 +38,11 @@ def test_stream_equals_batch_over_a_restart(spark):
     assert {r for _, r in refused} == {"late", "duplicate_in_cycle"}
     batch = changes.compact_changes(spark.createDataFrame(rows, ROW), spans=(3,)).count()
     assert batch >= len(got)
+
+
+def test_declared_start(spark):
+    """A first value equal to the start that is declared is no change; a first zero after another start is one."""
+    start = spark.createDataFrame([("t", 1, 7), ("t", 2, 7)], "trace_id string, storage_id bigint, initial_bits bigint")
+    rows = spark.createDataFrame([("t", 1, 3, 0, 7, 0), ("t", 1, 4, 1, 8, 0), ("t", 2, 3, 2, 0, 0), ("t", 3, 3, 3, 0, 0), ("t", 3, 5, 4, 1, 0)], ROW)
+    found = ingest.changes_after(rows, spark.createDataFrame([], ingest.LAST), (3,), start)
+    assert sorted((r.storage_id, r.cycle, r.raw_bits) for r in found.collect()) == [(1, 4, 8), (2, 3, 0), (3, 5, 1)]
