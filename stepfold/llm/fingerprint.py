@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepfold.llm.text import column, hash_spans, in_batches, mix, raw, words
+from stepfold.plans.lineage import cut
 
 CELLS = 24  # of the sketch that is the fingerprint; in HASHES tables
 HASHES = 3
@@ -157,7 +158,8 @@ def _with_next(docs: DataFrame) -> DataFrame:
     ends = ends.select("span", F.coalesce(F.lag("top").over(whole), F.max("top").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("before_span"))
     before = F.lag("bucket").over(Window.partitionBy("span").orderBy("bucket"))
     placed = spans.withColumn("before", before).join(ends, "span")
-    placed = placed.select(F.when(~F.col("no_id"), F.col("head")).alias("head"), F.coalesce("before", "before_span").alias("bucket"))
+    # Written first, so that Spark knows how small it is before it plans to move the texts.
+    placed = cut(placed.select(F.when(~F.col("no_id"), F.col("head")).alias("head"), F.coalesce("before", "before_span").alias("bucket")))
     first = rows.select("doc_id", "text").join(placed, F.col("doc_id").eqNullSafe(F.col("head"))).select("doc_id", "text", "bucket", F.lit(1).alias("extra"))
     both = rows.select("doc_id", "text", "bucket", F.lit(0).alias("extra")).union(first)
     return both.repartition("bucket").sortWithinPartitions("bucket", "extra", F.col("doc_id").asc_nulls_first(), "text")
