@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepfold.plans.lineage import cut
+from stepfold.llm.tables import settle
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,7 +15,7 @@ def components(edges: DataFrame) -> DataFrame:
     edge points at its component's smallest node. Edges never grow in number, hot nodes only meet in minima that are
     summed before rows move, and each round is a table in the shared folder. Loops and repeated edges are ignored.
     """
-    stars = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    stars = settle(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = _mark(stars)
     while before[0]:
         both = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -23,7 +23,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        stars = cut(small.filter("a <> b").distinct())
+        stars = settle(small.filter("a <> b").distinct())
         after = _mark(stars)
         if after == before:
             break

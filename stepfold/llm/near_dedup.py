@@ -10,20 +10,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepfold.llm.components import components
+from stepfold.llm.tables import settle
 from stepfold.llm.text import column, hash_spans, in_batches, lowered, mix, raw, words
-from stepfold.plans.lineage import cut
 
 WIDTH = 5  # words of a shingle
-SKETCH = 64  # minwise tokens of a set
+SKETCH = 64  # minwise tokens of a set that trees branch by
+FINE = 512  # minwise tokens of a set, of which a byte each is compared in the second pass; the first SKETCH of them in the first
 TREES = 12  # a pair of similarity 0.75 shares no root branch with probability 0.25 ** 12, 6e-8
 NODE = 4096  # members of a node that are compared exhaustively
-BRANCHES = 6  # paths by which a larger node is split: a pair of similarity 0.75 shares none of them with probability 2e-4 per tree
+BRANCHES = 2  # paths by which a larger node is split: a pair of similarity 0.75 stays together with probability 0.94 per level and tree
 DEPTH = 4
-LEAST = 32  # agreeing sketch bytes of a candidate: at similarity 0.75, fewer have a probability below 1e-6
+#: Agreeing bytes of a candidate in either pass: at similarity 0.75, fewer have a probability of about 1e-6.
+LEAST, LEAST_FINE = 32, 337
 
 _RANDOM = np.random.Generator(np.random.PCG64(11))
-_TURNS = _RANDOM.integers(1, 2**63, SKETCH, dtype=np.uint64) | np.uint64(1)
-_MASKS = _RANDOM.integers(0, 2**63, SKETCH, dtype=np.uint64)
+_TURNS = _RANDOM.integers(1, 2**63, FINE, dtype=np.uint64) | np.uint64(1)
+_MASKS = _RANDOM.integers(0, 2**63, FINE, dtype=np.uint64)
 _STEPS = _RANDOM.integers(1, 2**63, WIDTH, dtype=np.uint64) | np.uint64(1)
 
 
@@ -50,10 +52,10 @@ def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
 
 
 def _minwise(own: np.ndarray) -> np.ndarray:
-    """The smallest of the set's hashes under each of SKETCH orders, upper 32 bits."""
-    low = np.full(SKETCH, np.iinfo(np.uint64).max)
-    for i in range(0, len(own), 1024):
-        low = np.minimum(low, ((own[None, i:i + 1024] ^ _MASKS[:, None]) * _TURNS[:, None]).min(axis=1))
+    """The smallest of the set's hashes under each of FINE orders, upper 32 bits."""
+    low = np.full(FINE, np.iinfo(np.uint64).max)
+    for i in range(0, len(own), 256):
+        low = np.minimum(low, ((own[None, i:i + 256] ^ _MASKS[:, None]) * _TURNS[:, None]).min(axis=1))
     return (low >> np.uint64(32)).astype("<u4")
 
 
@@ -62,24 +64,27 @@ def _batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, digest, sketch): digest names the set; both are null for an empty one."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("sketch", pa.binary())])
+    """(doc_id, n_shingles, digest, sketch, fine): digest names the set; the last three are null for an empty one."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("sketch", pa.binary()),
+                        ("fine", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, digests, marks = [], [], []
+            sizes, digests, marks, fine = [], [], [], []
             for own in shingle_sets(column(batch, "text")):
                 sizes.append(len(own))
                 if len(own):
                     sums = [len(own), int(own.sum(dtype=np.uint64)), int(mix(own ^ _MASKS[0]).sum(dtype=np.uint64))]
                     digests.append(np.array(sums, "<u8").tobytes())
-                    marks.append(_minwise(own).tobytes())
+                    low = _minwise(own)
+                    marks.append(low[:SKETCH].tobytes())
+                    fine.append(low.astype(np.uint8).tobytes())
                 else:
-                    digests.append(None)
-                    marks.append(None)
-            yield _batch(schema, [column(batch, "doc_id"), sizes, digests, marks])
+                    for rows in (digests, marks, fine):
+                        rows.append(None)
+            yield _batch(schema, [column(batch, "doc_id"), sizes, digests, marks, fine])
 
-    return in_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, sketch binary")
+    return in_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, sketch binary, fine binary")
 
 
 def _position(k: int):
@@ -89,11 +94,11 @@ def _position(k: int):
 def _rows(docs: DataFrame) -> DataFrame:
     """A row per tree and set: the root branch is the set's minwise token of that tree."""
     keys = F.array(*[F.xxhash64(F.lit(k), _position(k)) for k in range(TREES)])
-    return docs.select(F.explode(keys).alias("key"), "rep", "label", "sketch")
+    return docs.select(F.explode(keys).alias("key"), "rep", "label", "sketch", "marks")
 
 
 def _nodes(docs: DataFrame, node: int, joined: bool) -> DataFrame:
-    """Rows (key, rep, label, sketch) of small nodes: those above ``node`` members branch again, by BRANCHES further tokens each.
+    """Rows (key, rep, label, sketch, marks) of small nodes: those above ``node`` members branch again, by BRANCHES further tokens each.
 
     What is still too large after DEPTH rounds is a dense group. It is dealt into blocks of about ``node`` / 2, with a pivot in every
     one. Once components are ``joined``, each member outside the pivot's stands in every block too, so that members of
@@ -101,7 +106,7 @@ def _nodes(docs: DataFrame, node: int, joined: bool) -> DataFrame:
     """
     rows, small = _rows(docs), []
     for depth in range(DEPTH):
-        large = cut(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > node))
+        large = settle(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > node))
         if large.isEmpty():
             return _all([*small, rows])
         small.append(rows.join(large, "key", "left_anti"))
@@ -109,9 +114,9 @@ def _nodes(docs: DataFrame, node: int, joined: bool) -> DataFrame:
         # Which tokens a path goes on with is drawn from the path: any of those that no root uses.
         paths = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BRANCHES - 1)),
                                       lambda b: TREES + F.pmod(F.xxhash64(F.lit(depth), F.col("key"), b), F.lit(SKETCH - TREES)))).alias("at")
-        step = inner.select("key", "rep", "label", "sketch", paths)
-        rows = cut(step.select(F.xxhash64("key", "at", F.expr("substring(sketch, int(4 * at + 1), 4)")).alias("key"), "rep", "label", "sketch").distinct())
-    large = cut(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).filter(F.col("n") > node)
+        step = inner.select("key", "rep", "label", "sketch", "marks", paths)
+        rows = settle(step.select(F.xxhash64("key", "at", F.expr("substring(sketch, int(4 * at + 1), 4)")).alias("key"), "rep", "label", "sketch", "marks").distinct())
+    large = settle(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).filter(F.col("n") > node)
                 .withColumn("blocks", F.ceil(F.col("n") * 2 / node)))
     small.append(rows.join(large, "key", "left_anti"))
     pivots = rows.join(large, "key").filter("rep = pivot").select("key", F.col("label").alias("main"))
@@ -119,8 +124,8 @@ def _nodes(docs: DataFrame, node: int, joined: bool) -> DataFrame:
     everywhere = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     strays = (F.col("rep") == F.col("pivot")) | (F.lit(joined) & (F.col("label") != F.col("main")))
     own = F.array(F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    dealt = inner.select("key", "rep", "label", "sketch", F.explode(F.when(strays, everywhere).otherwise(own)).alias("block"))
-    small.append(dealt.select(F.xxhash64("key", "block").alias("key"), "rep", "label", "sketch"))
+    dealt = inner.select("key", "rep", "label", "sketch", "marks", F.explode(F.when(strays, everywhere).otherwise(own)).alias("block"))
+    small.append(dealt.select(F.xxhash64("key", "block").alias("key"), "rep", "label", "sketch", "marks"))
     return _all(small)
 
 
@@ -131,34 +136,38 @@ def _all(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _compare(forest: bool):
+def _compare(forest: bool, width: int, least: int):
     """Candidates of each node. ``forest``: each member's nearest earlier and nearest later one; else all that differ in label."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("agree", pa.int32())])
 
     def node(rep: np.ndarray, label: np.ndarray, marks: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        if not forest and (label == label[0]).all():
-            return []
         n, found = len(rep), []
+        if not forest:  # pairs of members of the largest component need no comparison
+            names, place, size = np.unique(label, return_inverse=True, return_counts=True)
+            main = place == size.argmax()
+            for i in np.flatnonzero(~main).tolist():
+                other = np.flatnonzero((main | (np.arange(n) < i)) & (label != label[i]))
+                for j in range(0, len(other), 4096):
+                    part = other[j:j + 4096]
+                    same = np.count_nonzero(marks[part] == marks[i], axis=1)
+                    part, same = part[same >= least], same[same >= least]
+                    found.append((np.minimum(rep[part], rep[i]), np.maximum(rep[part], rep[i]), same))
+            return found
         later_best, later_at = np.zeros(n, np.int64), np.zeros(n, np.int64)
         for i in range(0, n, 128):
             j = min(n, i + 128)
             same = np.count_nonzero(marks[i:j, None, :] == marks[None, :j, :], axis=2)
             same[np.arange(j)[None, :] >= np.arange(i, j)[:, None]] = 0
-            if forest:
-                best = same.argmax(axis=1)
-                value = same[np.arange(j - i), best]
-                ok = value >= LEAST
-                found.append((best[ok], np.arange(i, j)[ok], value[ok]))
-                top = same.max(axis=0)
-                better = top > later_best[:j]
-                later_at[:j][better] = same.argmax(axis=0)[better] + i
-                later_best[:j][better] = top[better]
-            else:
-                y, x = np.nonzero((same >= LEAST) & (label[i:j, None] != label[None, :j]))
-                found.append((x, y + i, same[y, x]))
-        if forest:
-            ok = later_best >= LEAST
-            found.append((np.flatnonzero(ok), later_at[ok], later_best[ok]))
+            best = same.argmax(axis=1)
+            value = same[np.arange(j - i), best]
+            ok = value >= least
+            found.append((best[ok], np.arange(i, j)[ok], value[ok]))
+            top = same.max(axis=0)
+            better = top > later_best[:j]
+            later_at[:j][better] = same.argmax(axis=0)[better] + i
+            later_best[:j][better] = top[better]
+        ok = later_best >= least
+        found.append((np.flatnonzero(ok), later_at[ok], later_best[ok]))
         return [(rep[a], rep[b], v) for a, b, v in found]
 
     def nodes(key: np.ndarray, rep: np.ndarray, label: np.ndarray, marks: np.ndarray) -> pa.RecordBatch:
@@ -166,7 +175,7 @@ def _compare(forest: bool):
         sizes = np.diff(np.append(at, len(key)))
         a = at[sizes == 2]
         same = np.count_nonzero(marks[a] == marks[a + 1], axis=1) if len(a) else np.zeros(0, np.int64)
-        ok = (same >= LEAST) & (label[a] != label[a + 1]) & (rep[a] != rep[a + 1]) if len(a) else np.zeros(0, bool)
+        ok = (same >= least) & (label[a] != label[a + 1]) & (rep[a] != rep[a + 1]) if len(a) else np.zeros(0, bool)
         found = [(rep[a[ok]], rep[a[ok] + 1], same[ok])] if len(a) else []
         for b, n in zip(at[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
             found += node(rep[b:b + n], label[b:b + n], marks[b:b + n])
@@ -179,7 +188,7 @@ def _compare(forest: bool):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            marks = np.frombuffer(b"".join(column(batch, "marks").to_pylist()), np.uint8).reshape(-1, SKETCH)
+            marks = np.frombuffer(b"".join(column(batch, "marks").to_pylist()), np.uint8).reshape(-1, width)
             now = [column(batch, c).to_numpy(zero_copy_only=False) for c in ("key", "rep", "label")] + [marks]
             if held is not None:
                 now = [np.concatenate(pair) for pair in zip(held, now, strict=True)]
@@ -194,10 +203,10 @@ def _compare(forest: bool):
 
 
 def _candidates(rows: DataFrame, forest: bool) -> DataFrame:
-    """Pairs (a, b, agree), a < b; the sketch's lowest byte of each token is enough to compare."""
-    byte = F.concat(*[F.expr(f"substring(sketch, {4 * k + 1}, 1)") for k in range(SKETCH)])
-    sent = rows.select("key", "rep", "label", byte.alias("marks")).repartition("key").sortWithinPartitions("key", "rep")
-    return sent.mapInArrow(_compare(forest), "a long, b long, agree int")
+    """Pairs (a, b, agree), a < b."""
+    sent = rows.select("key", "rep", "label", "marks").repartition("key").sortWithinPartitions("key", "rep")
+    width, least = (SKETCH, LEAST) if forest else (FINE, LEAST_FINE)
+    return sent.mapInArrow(_compare(forest, width, least), "a long, b long, agree int")
 
 
 def _sets(docs: DataFrame, active: DataFrame) -> DataFrame:
@@ -208,7 +217,8 @@ def _sets(docs: DataFrame, active: DataFrame) -> DataFrame:
         for batch in batches:
             yield _batch(schema, [column(batch, "doc_id"), [s.view(np.int64) for s in shingle_sets(column(batch, "text"))]])
 
-    chosen = docs.select("doc_id", "text").join(active.select(F.col("rep").alias("doc_id"), "digest"), "doc_id", "left_semi")
+    # Texts always move here, whatever the size of ``active``, so the plan is the same at every size.
+    chosen = docs.select("doc_id", "text").join(active.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
     return in_batches(chosen).mapInArrow(run, "rep long, own array<bigint>")
 
 
@@ -232,23 +242,23 @@ def groups(docs: DataFrame, percent: int = 75, node: int = NODE) -> DataFrame:
     Null and empty texts, and those without words, are linked with nothing. Repeated rows get the same answer, each. A row with a null
     doc_id has a component only through others with the same set. ``kept``: doc_id = component_id, or there is no component.
     """
-    marked = cut(sketches(docs))
-    named = cut(marked.filter("digest is not null and doc_id is not null").groupBy("digest")
-                .agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")))
-    members = named.select("rep", F.col("rep").alias("label"), "sketch")
+    marked = settle(sketches(docs))
+    named = settle(marked.filter("digest is not null and doc_id is not null").groupBy("digest")
+                .agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("fine").alias("fine")))
+    members = named.select("rep", F.col("rep").alias("label"), "sketch", F.expr(f"substring(fine, 1, {SKETCH})").alias("marks"))
 
-    found = cut(_candidates(_nodes(members, node, False), True).groupBy("a", "b").agg(F.max("agree").alias("agree")))
+    found = settle(_candidates(_nodes(members, node, False), True).groupBy("a", "b").agg(F.max("agree").alias("agree")))
     ends = found.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    active = cut(named.join(ends, "rep"))
+    active = settle(named.join(ends, "rep"))
     # A rep's rows may be repeated; they have one text's set, and one is enough.
-    sets = cut(_sets(docs, active).groupBy("rep").agg(F.first("own").alias("own")))
+    sets = settle(_sets(docs, active).groupBy("rep").agg(F.first("own").alias("own")))
     nearest = found.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a")).select("a", "b")
-    edges = cut(_confirm(nearest, sets, percent))
+    edges = settle(_confirm(nearest, sets, percent))
     first = components(edges).select(F.col("node").alias("rep"), F.col("component").alias("label"))
 
-    labelled = cut(active.select("rep", "sketch").join(first, "rep", "left").select("rep", F.coalesce("label", "rep").alias("label"), "sketch"))
+    labelled = settle(active.join(first, "rep", "left").select("rep", F.coalesce("label", "rep").alias("label"), "sketch", F.col("fine").alias("marks")))
     open_ = _candidates(_nodes(labelled, node, True), False).select("a", "b").distinct()
-    more = cut(_confirm(open_.join(nearest, ["a", "b"], "left_anti"), sets, percent))
+    more = settle(_confirm(open_.join(nearest, ["a", "b"], "left_anti"), sets, percent))
     if not more.isEmpty():
         edges = edges.union(more)
         first = components(edges).select(F.col("node").alias("rep"), F.col("component").alias("label"))
