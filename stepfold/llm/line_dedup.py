@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stepfold.llm.tables import settle
 from stepfold.llm.text import column, hash_spans, in_batches, lowered, mix, raw, words
-from stepfold.plans.lineage import cut
 
 WIDTH = 5  # words of a token; lines with fewer are left alone
 BUCKETS = 1 << 16  # of words, when their frequencies are counted: 512 KiB whatever the input
@@ -204,8 +204,8 @@ def _token_sets(docs: DataFrame, chosen: DataFrame, rank: np.ndarray) -> DataFra
             yield _record(schema, [lines.digests()[0][take], [token[b:b + n] for b, n in zip(begin.tolist(), count.tolist(), strict=True)]])
 
     per_doc = chosen.groupBy("doc_id").agg(F.collect_set("line").alias("wanted"))
-    texts = docs.select("doc_id", "text").join(per_doc, "doc_id")
-    return in_batches(texts).mapInArrow(run, "d1 long, own array<bigint>").groupBy("d1").agg(F.first("own").alias("own"))
+    texts = docs.select("doc_id", "text").join(per_doc.hint("merge"), "doc_id")
+    return in_batches(texts).mapInArrow(run, "d1 long, own array<bigint>")
 
 
 def _enough(percent: int):
@@ -229,29 +229,35 @@ def later_matches(docs: DataFrame, percent: int = 75) -> DataFrame:
     Earlier is by doc_id, then line. A line matches if its words are the same, or if the Jaccard similarity of its tokens (five words
     in a row) is at least ``percent``, whether or not the earlier line is itself removed. Lines of fewer than five words never match.
 
-    Equal lines are one by digest. Each line sends the prefix of its tokens, rarest first; a line is compared with the
-    earliest line that shares a prefix token, then, if none of those was similar, with all earlier ones that pass
-    the length and position filters. Full sets decide. A dense group costs its first comparison, not all its pairs.
+    Equal lines are one by digest. Each line sends the prefix of its tokens, rarest first. Of the earliest lines that have its
+    prefix tokens, a line is compared with the one that shares most of them, then, if that is not similar, with all earlier
+    lines that pass the length and position filters. Full sets decide. A dense group costs a comparison each, not all its pairs.
     Rows with a null doc_id are left alone; a repeated doc_id counts as one document with the rows' lines.
     """
-    rows = cut(_occurrences(docs.filter("doc_id is not null")))
+    rows = settle(_occurrences(docs.filter("doc_id is not null")))
     rank = _ranks(_add_up(rows))
     occurrence = rows.filter("d1 is not null").drop("counts")
-    classes = cut(occurrence.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "line")).alias("first")))
-    met = cut(_met(_prefixes(docs.filter("doc_id is not null"), rank, percent)))
+    classes = settle(occurrence.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "line")).alias("first")))
+    met = settle(_met(_prefixes(docs.filter("doc_id is not null"), rank, percent)))
     firsts = classes.groupBy("d1").agg(F.min("first").alias("first"))
-    live = cut(met.join(firsts, "d1"))
+    live = settle(met.join(firsts, "d1"))
     lines = live.select("d1", "first").distinct()
-    sets = cut(_token_sets(docs, lines.select("first.doc_id", "first.line", "d1"), rank))
+    sets = settle(_token_sets(docs, lines.select("first.doc_id", "first.line", "d1"), rank))
 
     head = live.groupBy("token").agg(F.min(F.struct("first", "d1", "size", "at")).alias("h"))
     nearest = live.join(head, "token").filter(F.col("h.first") < F.col("first")).withColumns({"__size": F.col("h.size"), "__at": F.col("h.at")})
-    pairs = cut(nearest.filter(_enough(percent)).select("d1", F.col("h.d1").alias("other")).distinct())
-    found = cut(_verified(pairs, sets, percent))
+    counted = nearest.filter(_enough(percent)).groupBy("d1", F.col("h.d1").alias("other")).agg(F.count("*").alias("n"))
+    pairs = settle(counted.groupBy("d1").agg(F.max_by("other", F.struct("n", "other")).alias("other")))
+    found = settle(_verified(pairs, sets, percent))
     left = live.join(found.select("d1").distinct(), "d1", "left_anti")
     other = live.select("token", F.col("d1").alias("other"), F.col("first").alias("__first"), F.col("size").alias("__size"), F.col("at").alias("__at"))
-    rest = left.join(other, "token").filter((F.col("__first") < F.col("first")) & _enough(percent)).select("d1", "other").distinct()
-    more = _verified(rest.join(pairs, ["d1", "other"], "left_anti"), sets, percent)
+    low, high = F.least("size", "__size"), F.greatest("size", "__size")
+    shared = left.join(other, "token").filter((F.col("__first") < F.col("first")) & (100 * low >= percent * high)).groupBy("d1", "other").agg(
+        F.count("*").alias("n"), F.max("at").alias("at"), F.max("__at").alias("__at"), F.max("size").alias("size"), F.max("__size").alias("__size"))
+    # What comes before the last shared prefix token is in both prefixes, so it is counted; after it no more than the shorter rest is shared.
+    after = F.least(F.col("size") - F.col("at"), F.col("__size") - F.col("__at")) - 1
+    rest = shared.filter(F.col("n") + after >= F.ceil(F.lit(percent) * (F.col("size") + F.col("__size")) / (100 + percent))).select("d1", "other")
+    more = settle(_verified(rest.join(pairs, ["d1", "other"], "left_anti"), sets, percent))
     similar = (found.union(more).join(firsts.select(F.col("d1").alias("other"), F.col("first").alias("match")), "other")
                .groupBy("d1").agg(F.min("match").alias("match")))
     named = classes.join(similar, "d1", "left").select("d1", "d2", F.least("first", F.coalesce("match", "first")).alias("match"))
