@@ -136,7 +136,7 @@ SCANS = ("doc_id long, n_words long, n_base long, first_word long, last_word lon
          "blocks array<struct<line:long,label:string,share:double>>")
 
 
-def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, phrases: Sequence[tuple[str, str]] = PHRASES, percent: int = 80) -> DataFrame:
+def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, phrases: Sequence[tuple[str, str]] = PHRASES, percent: int = 90) -> DataFrame:
     """License phrases and templates of each text.
 
     Words are runs of ASCII letters and digits and of anything beyond ASCII, in lower case. Phrases: all places where their words

@@ -71,11 +71,11 @@ def test_line_rules(spark):
     body = "\n".join(" ".join(f"word{i * 12 + k}" for k in range(12)) + "." for i in range(8))
     menu, shout, foot = "Home | News | Sport | Weather | Contact", "BUY!! NOW!! CHEAP!! PILLS!! HERE!!", "All rights reserved."
     rows = [(1, f"{menu}\n{body}\n{foot}"), (2, "\n".join([menu] * 20)), (3, "\n".join([shout] * 20) + "\n" + prose), (4, "$$$ %%% ab*** cd### " * 40),
-            (5, body + "\n" + "a | b")]
+            (5, body + "\n" + "a / b")]
     got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1].kept and got[1].clean_text == body
     assert not got[2].kept and not got[3].kept and not got[4].kept
-    assert got[5].clean_text == body + "\na | b"  # one separator is not a menu
+    assert got[5].clean_text == body + "\na / b"  # one separator is not a menu
 
 
 def test_packing_places_every_piece(spark, edge):
