@@ -37,6 +37,9 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 #: Phrases that name a license by themselves.
 PHRASES: tuple[tuple[str, str], ...] = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
+#: Places of prefix words whose surroundings are looked at together, so that a batch full of them stays small.
+CHUNK = 1 << 14
+
 _WORD = np.zeros(256, bool)
 _WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
@@ -65,6 +68,8 @@ class Index:
     labels: tuple[str, ...]
     prefixes: Mapping[int, Sequence[tuple[int, int]]]  # word: templates with it in their prefix, and where
     need: tuple[int, ...]  # tokens that a block must share
+    lengths: tuple[int, ...]  # words of each template, repeated ones too
+    bits: tuple[np.ndarray, ...]  # of each template: a row of 64-bit masks per word of the vocabulary, and a last one of zeros for other words
 
 
 def vocabulary(templates: Sequence[tuple[str, str]]) -> np.ndarray:
@@ -100,19 +105,25 @@ def index(templates: Sequence[tuple[str, str]], words: np.ndarray, counts: np.nd
     """Tokens of each template by rising frequency (ties by hash). A block that holds ``percent`` of them holds one of the prefix."""
     rank = np.empty(len(words), np.int64)
     rank[np.lexsort((words, counts))] = np.arange(len(words))
-    tokens, need, prefixes = [], [], {}
+    tokens, need, prefixes, lengths, bits = [], [], {}, [], []
     for k, (_, text) in enumerate(templates):
-        own = np.unique(_places(_hashes(text), words))
+        whole = _places(_hashes(text), words)
+        own = np.unique(whole)
         own = own[np.argsort(rank[own])]
         least = -(-percent * len(own) // 100)
         for at, word in enumerate(own[:len(own) - least + 1].tolist()):
             prefixes.setdefault(word, []).append((k, at))
         tokens.append(own)
         need.append(least)
-    return Index(words, tuple(tokens), rank, tuple(label for label, _ in templates), prefixes, tuple(need))
+        lengths.append(len(whole))
+        number = np.arange(len(own))
+        mask = np.zeros((len(words) + 1, -(-len(own) // 64)), np.uint64)
+        mask[own, number // 64] = np.uint64(1) << (number % 64).astype(np.uint64)
+        bits.append(mask)
+    return Index(words, tuple(tokens), rank, tuple(label for label, _ in templates), prefixes, tuple(need), tuple(lengths), tuple(bits))
 
 
-def match(block: np.ndarray, n_distinct: int, of: Index) -> Iterator[tuple[str, float]]:
+def match(block: np.ndarray, n_distinct: int, of: Index) -> Iterator[tuple[int, float]]:
     """Templates that a block holds enough of. ``block``: its words' places in the vocabulary; ``n_distinct``: of all its words."""
     own = np.unique(block)
     own = own[np.argsort(of.rank[own])]
@@ -129,7 +140,57 @@ def match(block: np.ndarray, n_distinct: int, of: Index) -> Iterator[tuple[str,
             seen.add(k)
             shared = len(held.intersection(of.tokens[k].tolist()))
             if shared >= least:
-                yield of.labels[k], shared / total
+                yield k, shared / total
+
+
+def windows(place: np.ndarray, text: np.ndarray, first: np.ndarray, of: Index) -> Iterator[tuple[int, str, float]]:
+    """Stretches of words, as many as a template has, that hold enough of it, wherever lines end: first shared word, label and share.
+
+    Of stretches that overlap, the one that shares most is named. ``place``, ``text``: of each word of a batch; ``first``: of each text.
+    """
+    for k, least in enumerate(of.need):
+        size, bits = of.lengths[k], of.bits[k]
+        if not size:
+            continue
+        prefix = np.zeros(len(of.vocabulary) + 1, bool)
+        prefix[of.tokens[k][:len(of.tokens[k]) - least + 1]] = True
+        met = np.flatnonzero(prefix[place])
+        begins, counts = [], []
+        for c in range(0, len(met), CHUNK):
+            at = met[c:c + CHUNK]
+            low, high = first[text[at]], first[text[at] + 1]
+            # Length and position: what stands around the word, within its text, must hold enough of the template's words.
+            near = at[:, None] + np.arange(1 - size, size)
+            inside = (near >= low[:, None]) & (near < high[:, None])
+            known = bits[place[near.clip(0, len(place) - 1)]].any(axis=2) & inside
+            enough = known.sum(axis=1) >= least
+            at, low = at[enough], low[enough]
+            begin = np.unique(np.maximum(at[:, None] - np.arange(size), low[:, None]))
+            for b in range(0, len(begin), CHUNK):
+                some = begin[b:b + CHUNK]
+                shared = np.bitwise_count(np.bitwise_or.reduce(_masks(some, size, place, text, first, bits), axis=1)).sum(axis=1)
+                begins.append(some[shared >= least])
+                counts.append(shared[shared >= least])
+        if not begins:
+            continue
+        begin, where = np.unique(np.concatenate(begins), return_index=True)
+        shared = np.concatenate(counts)[where].astype(np.int64)
+        taken = np.zeros(len(place), bool)
+        for i in np.lexsort((begin, -shared)).tolist():
+            b = int(begin[i])
+            e = min(b + size, int(first[text[b] + 1]))
+            if not (taken[b] or taken[e - 1]):
+                taken[b:e] = True
+                known = bits[place[b:e]].any(axis=1)
+                yield b + int(known.argmax()), of.labels[k], int(shared[i]) / len(of.tokens[k])
+
+
+def _masks(begin: np.ndarray, size: int, place: np.ndarray, text: np.ndarray, first: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Masks of the words of each stretch of ``size`` words; zeros beyond the text's end."""
+    at = begin[:, None] + np.arange(size)
+    out = bits[place[at.clip(0, len(place) - 1)]]
+    out[at >= first[text[begin] + 1][:, None]] = 0
+    return out
 
 
 SCANS = ("doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, "
@@ -140,8 +201,10 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, phra
     """License phrases and templates of each text.
 
     Words are runs of ASCII letters and digits and of anything beyond ASCII, in lower case. Phrases: all places where their words
-    follow each other. Templates: ``blocks`` names each line that holds ``percent`` of a template's distinct words, with the share. A
-    first pass counts, over the whole corpus, the lines with each word of a template; the words of templates, rarest first, give
+    follow each other. Templates: a block is a line, a paragraph (lines with words that follow each other), or a stretch of as many words
+    as the template has, across lines and paragraphs. ``blocks`` names each that holds ``percent`` of a template's distinct words, by the
+    line of the first of them, with the share; the largest share if several have the same line and label, and a paragraph only if nothing
+    in it has its share. A first pass counts, over the whole corpus, the lines with each word of a template; the words of templates, rarest first, give
     the prefixes that the second pass looks for. Templates are a parameter, so the index has a fixed size. score: the largest share, 1
     with a phrase, else 0. Null and empty texts have no words, no labels ('') and score 0. Repeated rows get a row each.
     """
@@ -171,13 +234,31 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, phra
             np.maximum.at(high, text[at], inside)
             for i in np.unique(text[at]).tolist():
                 base[i].add(label)
-        blocks: list[list[dict]] = [[] for _ in range(n)]
-        for number in np.unique(line[(place >= 0) & starts[place]]).tolist():
-            b, e = np.searchsorted(line, number), np.searchsorted(line, number, side="right")
-            own = place[b:e]
-            i = int(text[b])
-            for label, share in match(own[own >= 0], len(np.unique(hashes[b:e])), of):
-                blocks[i].append({"line": number - int(top[i]), "label": label, "share": share})
+        shares: list[dict[tuple[int, str], float]] = [{} for _ in range(n)]
+
+        def found(word: int, label: str, share: float) -> None:
+            i = int(text[word])
+            key = int(line[word]) - int(top[i]), label
+            shares[i][key] = max(share, shares[i].get(key, 0.0))
+
+        # A text's first line has a number of its own, so two lines of a paragraph are one apart and of the same text.
+        edge = np.append(True, (line[1:] - line[:-1] > 1) | (text[1:] != text[:-1]))[:len(line)]
+        paragraph = np.cumsum(edge)
+        hit = (place >= 0) & starts[place]
+        for word, label, share in windows(place, text, first, of):
+            found(word, label, share)
+        for group in (line, paragraph):
+            for number in np.unique(group[hit]).tolist():
+                b, e = (int(x) for x in (np.searchsorted(group, number), np.searchsorted(group, number, side="right")))
+                begin, end = line[b], line[e - 1]
+                if group is paragraph and begin == end:
+                    continue
+                own, i = place[b:e], int(text[b])
+                for k, share in match(own[own >= 0], len(np.unique(hashes[b:e])), of):
+                    # A paragraph is named only where no line or stretch of words in it says as much.
+                    if group is line or not any(x == of.labels[k] and begin <= at + top[i] <= end and y >= share for (at, x), y in shares[i].items()):
+                        found(b + int(of.bits[k][own].any(axis=1).argmax()), of.labels[k], share)
+        blocks = [[{"line": at, "label": label, "share": share} for (at, label), share in sorted(x.items())] for x in shares]
         labels = [sorted(base[i] | {x["label"] for x in blocks[i]}) for i in range(n)]
         score = [1.0 if base[i] else max((x["share"] for x in blocks[i]), default=0.0) for i in range(n)]
         met = n_base > 0
