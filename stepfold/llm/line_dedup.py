@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from stepfold.llm.tables import settle
 from stepfold.llm.text import column, hash_spans, in_batches, lowered, mix, raw, words
 
-WIDTH = 5  # words of a token; lines with fewer are left alone
+WIDTH = 5  # words of a token; lines with fewer match by digest only
 BUCKETS = 1 << 16  # of words, when their frequencies are counted: 512 KiB whatever the input
 SEEN = 1_000_000  # lines that a task remembers, so as to send a repeated line's tokens once
 
@@ -22,9 +22,9 @@ _TURN, _TURN2 = (_RANDOM.integers(1, 2**63, 2, dtype=np.uint64) | np.uint64(1))
 
 
 class Lines:
-    """The lines of a batch that have WIDTH words: A-Z in lower case, words between blanks."""
+    """The lines of a batch that have ``shortest`` words: A-Z in lower case, words between blanks."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, shortest: int = WIDTH):
         data, at = raw(texts)
         data = lowered(data)
         begins, ends, _ = words(data, at)
@@ -35,7 +35,7 @@ class Lines:
         of_word = breaks[begins] + np.searchsorted(at, begins, side="right") - 1
         first = np.flatnonzero(np.concatenate([[True], of_word[1:] != of_word[:-1]])) if len(of_word) else np.zeros(0, np.int64)
         size = np.diff(np.append(first, len(of_word)))
-        keep = size >= WIDTH
+        keep = size >= shortest
         self.first, self.size = first[keep], size[keep]
         number = of_word[self.first]
         self.text = np.searchsorted(top, number, side="right") - 1
@@ -90,14 +90,14 @@ def _record(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def _occurrences(docs: DataFrame) -> DataFrame:
+def _occurrences(docs: DataFrame, shortest: int) -> DataFrame:
     """A row per line with enough words (doc_id, line, d1, d2), and per task one that holds the words' counts by bucket."""
     schema = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            lines = Lines(column(batch, "text"))
+            lines = Lines(column(batch, "text"), shortest)
             counts += np.bincount((lines.hashes >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
             d1, d2 = lines.digests()
             ids = column(batch, "doc_id").take(pa.array(lines.text, pa.int64()))
@@ -223,18 +223,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * shared >= percent * (F.size("__a") + F.size("__b") - shared)).select("d1", "other")
 
 
-def later_matches(docs: DataFrame, percent: int = 75) -> DataFrame:
+def later_matches(docs: DataFrame, percent: int = 75, shortest: int = WIDTH) -> DataFrame:
     """(doc_id, line, first_doc, first_line): lines that match an earlier one, and that one. Lines count from 0.
 
     Earlier is by doc_id, then line. A line matches if its words are the same, or if the Jaccard similarity of its tokens (five words
-    in a row) is at least ``percent``, whether or not the earlier line is itself removed. Lines of fewer than five words never match.
+    in a row) is at least ``percent``, whether or not the earlier line is itself removed. A line of one to four words is a single token, its whole sequence, so it matches
+    equal lines only. Lines of fewer than ``shortest`` words never match; 1 leaves out blank lines alone.
 
     Equal lines are one by digest. Each line sends the prefix of its tokens, rarest first. Of the earliest lines that have its
     prefix tokens, a line is compared with the one that shares most of them, then, if that is not similar, with all earlier
     lines that pass the length and position filters. Full sets decide. A dense group costs a comparison each, not all its pairs.
     Rows with a null doc_id are left alone; a repeated doc_id counts as one document with the rows' lines.
     """
-    rows = settle(_occurrences(docs.filter("doc_id is not null")))
+    rows = settle(_occurrences(docs.filter("doc_id is not null"), max(1, shortest)))
     rank = _ranks(_add_up(rows))
     occurrence = rows.filter("d1 is not null").drop("counts")
     classes = settle(occurrence.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "line")).alias("first")))
@@ -266,8 +267,8 @@ def later_matches(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 
 def removed_lines(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """(doc_id, n_removed, lines, matches): of each document that loses lines, their numbers in order and the earlier lines."""
-    found = later_matches(docs, percent).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("line", "first_doc", "first_line"))).alias("all"))
+    """(doc_id, n_removed, lines, matches): of each document that loses lines, short ones too, their numbers in order and the earlier lines."""
+    found = later_matches(docs, percent, shortest=1).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("line", "first_doc", "first_line"))).alias("all"))
     return found.select("doc_id", F.size("all").cast("long").alias("n_removed"), F.col("all.line").alias("lines"),
                         F.transform("all", lambda x: F.struct(x["first_doc"].alias("doc_id"), x["first_line"].alias("line"))).alias("matches"))
 
