@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepfold.llm import fingerprint, license_scan, line_dedup, mixing, near_dedup, packing, quality, token_cache, toxicity, url_reputation
+from stepfold.llm import fingerprint, hard_negatives, license_scan, line_dedup, mixing, near_dedup, packing, piece_codec, quality, token_cache, toxicity, url_reputation
 from stepfold.plans.lineage import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,8 +96,22 @@ def op10_toxicity(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.scored(docs, model).select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+@query
+def op11_hard_negatives(spark: SparkSession, d: str) -> DataFrame:
+    return hard_negatives.mined(table(spark, d, "embeddings").select("vec_id", "label", "embedding"))
+
+
+@query
+def op13_piece_codec(spark: SparkSession, d: str) -> DataFrame:
+    """Digests of the ids and of what they decode to."""
+    rows = piece_codec.encoded(table(spark, d, "documents").select("doc_id", "text"), tokenizer_file("piece_bpe_32k.model"))
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 SQL: dict[str, str] = {
     "op1_quality_rules": quality.OP1_SQL,
     "op4_source_mixing": mixing.OP4_SQL,
     "op5_url_reputation": url_reputation.OP5_SQL,
+    "op11_hard_negatives": hard_negatives.OP11_SQL,
 }
