@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepfold.llm import fingerprint, hard_negatives, license_scan, line_dedup, mixing, near_dedup, packing, piece_codec, quality, token_cache, toxicity, url_reputation
+from stepfold.llm import collocations, fingerprint, hard_negatives, license_scan, line_dedup, mixing, near_dedup, packing, piece_codec, quality, token_cache, toxicity, url_reputation
 from stepfold.plans.lineage import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,6 +101,11 @@ def op11_hard_negatives(spark: SparkSession, d: str) -> DataFrame:
     return hard_negatives.mined(table(spark, d, "embeddings").select("vec_id", "label", "embedding"))
 
 
+@query
+def op12_collocations(spark: SparkSession, d: str) -> DataFrame:
+    return collocations.collocations(table(spark, d, "documents").select("lang", "text"))
+
+
 @query
 def op13_piece_codec(spark: SparkSession, d: str) -> DataFrame:
     """Digests of the ids and of what they decode to."""
@@ -114,4 +119,5 @@ SQL: dict[str, str] = {
     "op4_source_mixing": mixing.OP4_SQL,
     "op5_url_reputation": url_reputation.OP5_SQL,
     "op11_hard_negatives": hard_negatives.OP11_SQL,
+    "op12_collocations": collocations.OP12_SQL,
 }
