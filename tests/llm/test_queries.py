@@ -27,7 +27,7 @@ def test_against_sql(spark, name):
 
 
 def test_there_is_one_query_of_each_number():
-    assert sorted(int(n[2:].split("_")[0]) for n in REGISTRY) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in REGISTRY) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("node", [near_dedup.NODE, 3])
