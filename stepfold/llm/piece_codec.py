@@ -59,6 +59,8 @@ class PieceCodec:
         self.names = [p.piece for p in model.pieces]
         self.rank = {p: r for r, p in enumerate(sorted(self.pieces, key=lambda p: -model.pieces[self.pieces[p]].score))}
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == kind.BYTE} if train.byte_fallback else {}
+        self.never = len(self.rank)
+        self.histories = Kept(self._history, len(self.pieces))
         self.known = {p for p in self.pieces if len(p) == 1}
         if not self.known.issuperset("".join(self.pieces)):
             raise ValueError(f"{path}: a piece has a character that is no piece")
@@ -77,23 +79,47 @@ class PieceCodec:
         self.surface = [plain.get(p.type, lambda p: b"")(p) for p in model.pieces]
         self.controls = {i for i, p in enumerate(model.pieces) if p.type == kind.CONTROL}
 
-    def _merged(self, text: str) -> list[str]:
-        """What the merges leave of a short text: the best-ranked piece that two neighbours form first, the leftmost of equal ones."""
-        parts, rank = list(text), self.rank
-        worst = len(rank)
+    def _history(self, piece: str) -> tuple[list[int], list[str], list[str]] | None:
+        """The ranks of the merges of a piece by itself, in order, and its first and last part before each and after all; None if it isn't left whole.
+
+        A merge joins the neighbours that form the best-ranked piece, the leftmost of equal ones.
+        """
+        parts, rank = list(piece), self.rank
+        ranks, firsts, lasts = [], [parts[0]], [parts[-1]]
         while len(parts) > 1:
-            ranks = [rank.get(a + b, worst) for a, b in zip(parts, parts[1:])]
-            best = min(ranks)
-            if best == worst:
-                break
-            k = ranks.index(best)
+            found = [rank.get(a + b, self.never) for a, b in zip(parts, parts[1:])]
+            best = min(found)
+            if best == self.never:
+                return None
+            k = found.index(best)
             parts[k:k + 2] = [parts[k] + parts[k + 1]]
-        return parts
+            ranks.append(best)
+            firsts.append(parts[0])
+            lasts.append(parts[-1])
+        return [*ranks, self.never], firsts, lasts
 
     def _fits(self, pair: tuple[int, int]) -> bool:
-        """Whether the merges leave the second token whole behind the first one (-1: at the start)."""
-        tokens = [self.names[t] for t in pair if t >= 0]
-        return self._merged("".join(tokens)) == tokens
+        """Whether the merges leave the second token whole behind the first one (-1: at the start).
+
+        The merges of both run side by side, the better rank first and the left one of equal ranks, until the parts beside the boundary are merged
+        or nothing is left to do.
+        """
+        token = self.histories[self.names[pair[1]]]
+        if token is None or pair[0] < 0:
+            return token is not None
+        left, _, lasts = self.histories[self.names[pair[0]]]
+        right, firsts, _ = token
+        i = j = 0
+        while True:
+            across = self.rank.get(lasts[i] + firsts[j], self.never)
+            if across < left[i] and across <= right[j] and across < self.never:
+                return False
+            if left[i] <= right[j]:
+                if left[i] == self.never:
+                    return True
+                i += 1
+            else:
+                j += 1
 
     def _table(self, text: str) -> list[int]:
         """Ids of a string of known characters."""
