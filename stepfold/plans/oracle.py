@@ -680,4 +680,18 @@ WHERE rule IS NOT NULL OR cycle <= last""")
     q["stream_tiles"] = sql(SMALL, f"""SELECT * FROM {tiled('small_t')}""")
     q["stream_lod"] = sql(SMALL, """SELECT trace_id, signal_id, cycle // 32000 * 32000 AS window_start, max(cycle) AS cycle,
   arg_max(raw_bits, cycle) AS raw_bits, arg_max(state, cycle) AS state FROM small_t GROUP BY ALL""")
+    q["stream_lod_levels"] = sql(SMALL, """SELECT trace_id, signal_id, level::INTEGER AS level, bucket, cycle // bucket * bucket AS window_start, max(cycle) AS cycle,
+  arg_max(raw_bits, cycle) AS raw_bits, arg_max(state, cycle) AS state
+FROM small_t, (SELECT level, (256 * 5 ** level)::BIGINT AS bucket FROM range(7) l(level)) GROUP BY ALL""")
+    q["stream_lifecycle"] = sql([RAW, layout(2), """life AS (
+  SELECT trace_id, signal_id, signal_id % 3 * 200000 AS since, signal_id % 4 AS initial, CASE WHEN signal_id % 4 = 1 THEN 1500000 + signal_id END AS until FROM layout)""",
+                                 """happened AS (
+  SELECT l.trace_id, l.signal_id, r.cycle, r.seq, CASE WHEN r.state = 0 THEN r.raw_bits % 4 ELSE r.raw_bits END AS raw_bits, r.state
+  FROM raw r JOIN life l ON l.signal_id = r.storage_id WHERE r.cycle >= since AND (until IS NULL OR r.cycle <= until)
+  UNION ALL SELECT trace_id, signal_id, since, -1, initial, 0 FROM life
+  UNION ALL SELECT trace_id, signal_id, until, 9223372036854775807, 0, 1 FROM life WHERE until IS NOT NULL)""",
+                                 """written AS (
+  SELECT trace_id, signal_id, cycle, arg_max(raw_bits, seq) AS raw_bits, arg_max(state, seq) AS state FROM happened GROUP BY ALL)"""],
+                                f"""SELECT trace_id, signal_id AS storage_id, cycle, raw_bits, state::TINYINT AS state FROM written
+QUALIFY lag(state) OVER ({by}) IS NULL OR lag(state) OVER ({by}) <> state OR lag(raw_bits) OVER ({by}) <> raw_bits""")
     return q

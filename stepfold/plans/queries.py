@@ -843,14 +843,40 @@ def stream_tiles(spark: SparkSession, d: str) -> DataFrame:
         "trace_id", "signal_id", "cycle", "raw_bits", "state", F.col("time_block").cast("bigint"), F.col("signal_chunk").cast("bigint"))
 
 
-@query
-def stream_lod(spark: SparkSession, d: str) -> DataFrame:
+def _windows(spark: SparkSession, d: str, levels: int, base: int) -> DataFrame:
     rows = _small(spark, d).select(*TRANSITIONS.names)
     path = _slices(spark, rows, "changes")
-    end = fx.meta(_raw(spark, d)).first()
-    marks = [sinks.end_mark(end["trace_id"], end["end"], 32_000)] if end else []
-    spark.createDataFrame(marks, TRANSITIONS).coalesce(1).write.mode("append").parquet(path)
-    source = ingest.replay(spark, path, TRANSITIONS, 4)
+    sinks.end_marks(rows, fx.meta(_raw(spark, d))).select(*TRANSITIONS.names).repartition(4).write.mode("append").parquet(path)
     out = scratch(spark, "windows")
-    sinks.stream_lod(source, 32_000, out, scratch(spark, "progress")).awaitTermination()
-    return spark.read.parquet(out)
+    sinks.stream_lod(ingest.replay(spark, path, TRANSITIONS, 4), out, scratch(spark, "progress"), levels, base).awaitTermination()
+    return sinks.read_lod(spark, out)
+
+
+@query
+def stream_lod(spark: SparkSession, d: str) -> DataFrame:
+    return _windows(spark, d, 1, 32_000).drop("level", "bucket")
+
+
+@query
+def stream_lod_levels(spark: SparkSession, d: str) -> DataFrame:
+    """All levels while recording: the same rows as the pyramid of the whole trace."""
+    return _windows(spark, d, overview.LEVELS, overview.BASE_CYCLES)
+
+
+def _lives(spark: SparkSession, d: str) -> DataFrame:
+    """Signals that start from a value of their own, two in three of them later than the trace; one in four is removed."""
+    i, n = F.col("signal_id"), F.col("signal_id") % 3
+    return fx.layout(spark, d, 2).select(
+        "trace_id", "signal_id", "storage_id", (n * 200_000).alias("since_cycle"), (i % 4).alias("initial_bits"),
+        F.when(i % 4 == 1, F.lit(1_500_000).cast("bigint") + i).alias("until_cycle"), F.lit(False).alias("storage_only"))
+
+
+@query
+def stream_lifecycle(spark: SparkSession, d: str) -> DataFrame:
+    """Changes of a stream whose signals are added and removed while it runs."""
+    rows = fx.small(_raw(spark, d)).select(*SAMPLES.names).withColumn("event", F.lit(None).cast("string"))
+    rows = rows.unionByName(ingest.lifecycle_events(_lives(spark, d)))
+    out = scratch(spark, "lives")
+    source = ingest.replay(spark, _slices(spark, rows, "updates"), ingest.UPDATES, 4)
+    ingest.stream_changes(source, out, declared=True).awaitTermination()
+    return ingest.read_changes(spark, out)

@@ -1,34 +1,29 @@
 """Streaming ingest: guard the updates, emit changes only, set late and bad rows aside.
 
-The work of a micro-batch is a batch job on the same operators as everywhere else, so a signal that
-holds a third of a batch is split over tasks. What has to survive between batches, the last value
-of each signal, is a small table written next to the output: a batch reads the one its predecessor
-wrote and writes its own. Outputs are keyed by batch id and overwritten when a batch is retried, so
-each batch takes effect once.
+The last value of each signal is Spark's keyed state, committed with the query's checkpoint: a batch that is killed is repeated from the
+same state, and the sink's log shows each batch once. Rows that can be judged by themselves are, before they move; all others go to their
+signal's state. A batch brings the rows of a signal into one task, so its size bounds that task; limit it with the source's rate.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from stepfold.operators.blocks import SPANS, prev, scan, spread_join
-from stepfold.operators.changes import last_writes
 from stepfold.operators.checks import known_storages, update_rules
-from stepfold.schema import KNOWN, same
+from stepfold.schema import SAMPLES
+from stepfold.streaming.state import ADDED, REMOVED, LastValues, keyed_state
 
 KEY = ["trace_id", "storage_id"]
-LAST = T.StructType([
-    T.StructField("trace_id", T.StringType()), T.StructField("storage_id", T.LongType()),
-    T.StructField("cycle", T.LongType()), T.StructField("raw_bits", T.LongType()),
-    T.StructField("state", T.ByteType()), T.StructField("batch", T.LongType())])
-# A batch reads the table of the batch before and writes its own, so three places are enough.
-PLACES = 3
+#: Updates and the events in the life of their signals.
+UPDATES = T.StructType([*SAMPLES.fields, T.StructField("event", T.StringType())])
 ALL_THERE_IS = {"availableNow": True}
+_OUT = "trace_id string, storage_id long, cycle long, seq long, raw_bits long, state byte, reason string, missing int"
 
 
 def replay(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1) -> DataFrame:
@@ -36,88 +31,68 @@ def replay(spark: SparkSession, path: str, schema: T.StructType, files_per_trigg
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def _last_values(spark: SparkSession, path: str, batch: int) -> DataFrame:
-    if batch < 0:
-        return spark.createDataFrame([], LAST)
-    return spark.read.schema(LAST).parquet(f"{path}/last/{batch % PLACES}").where(F.col("batch") == batch)
+def lifecycle_events(signals: DataFrame) -> DataFrame:
+    """The events of signals (trace_id, storage_id, since_cycle, initial_bits, until_cycle) as rows of UPDATES.
 
-
-def guard(rows: DataFrame, last: DataFrame, streams: DataFrame | None) -> DataFrame:
-    """Add ``reason`` to each update, null when it is accepted.
-
-    ``streams`` (see ``known_storages``) turns the layout rules on. A row is late when its signal
-    already has a value at or after its cycle; of several writes in one cycle the last is accepted.
+    A signal is added at ``since_cycle``, 0 if that is null, before that cycle's updates, and removed at ``until_cycle``, if there is one, after them.
     """
-    seen = last.select(*KEY, F.col("cycle").alias("last_cycle"))
-    checked = spread_join(rows, seen, KEY, "cycle", how="left")
-    rules: dict[str, Column] = {}
-    if streams is not None:
-        checked = spread_join(checked, streams, KEY, "cycle", how="left")
-        rules = {name: test for name, test in update_rules().items() if name != "state_not_known"}
-    rules["late"] = F.coalesce(F.col("cycle") <= F.col("last_cycle"), F.lit(False))
-    broken = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in rules.items()]))
-    first = F.get(broken, F.lit(0))
-    judged = checked.withColumn("reason", first).select(*rows.columns, "reason")
-    winner = judged.where(F.col("reason").isNull()).groupBy(*KEY, "cycle").agg(F.max("seq").alias("last_seq"))
-    joined = judged.join(winner, [*KEY, "cycle"], "left")
-    overtaken = F.col("reason").isNull() & (F.col("seq") < F.col("last_seq"))
-    return joined.withColumn("reason", F.when(overtaken, "duplicate_in_cycle").otherwise(F.col("reason"))).drop("last_seq")
-
-
-def changes_after(accepted: DataFrame, last: DataFrame, spans: Sequence[int] = SPANS, starts: DataFrame | None = None) -> DataFrame:
-    """Changes in ``accepted`` given each signal's last value.
-
-    A first value equal to the declared start is no change: that of ``starts`` (trace_id, storage_id, initial_bits), else zero.
-    """
-    rows = last_writes(accepted).withColumn("new", F.lit(True))
-    touched = last.join(rows.select(*KEY).distinct(), KEY, "left_semi").select(
-        *KEY, "cycle", "raw_bits", "state", F.lit(False).alias("new"))
-    scanned = scan(rows.unionByName(touched), KEY, "cycle",
-                   [prev("raw_bits", "prev_bits"), prev("state", "prev_state")], spans)
-    if starts is None:
-        scanned = scanned.withColumn("initial_bits", F.lit(0).cast("bigint"))
-    else:
-        scanned = spread_join(scanned, starts, KEY, "cycle", "left")
-    initial = F.coalesce("initial_bits", F.lit(0).cast("bigint"))
-    implied = F.col("prev_state").isNull() & (F.col("state") == KNOWN) & (F.col("raw_bits") == initial)
-    repeat = F.col("prev_state").isNotNull() & same(
-        F.col("raw_bits"), F.col("state"), F.col("prev_bits"), F.col("prev_state"))
-    return scanned.where(F.col("new") & ~implied & ~repeat).select(*KEY, "cycle", "raw_bits", "state")
+    def rows(cycle: Column, seq: int, bits: Column, event: str) -> DataFrame:
+        return signals.select(*KEY, cycle.cast("bigint").alias("cycle"), F.lit(seq).cast("bigint").alias("seq"), bits.cast("bigint").alias("raw_bits"),
+                              F.lit(0).cast("tinyint").alias("state"), F.lit(event).alias("event"))
 
+    zero = F.lit(0)
+    added = rows(F.coalesce("since_cycle", zero), -1, F.coalesce("initial_bits", zero), ADDED)
+    return added.unionByName(rows(F.col("until_cycle"), (1 << 63) - 1, zero, REMOVED).where("cycle IS NOT NULL"))
 
-def stream_changes(updates: DataFrame, path: str, signals: DataFrame | None = None, clocks: DataFrame | None = None,
-                   spans: Sequence[int] = SPANS, trigger: Mapping[str, object] = ALL_THERE_IS) -> StreamingQuery:
-    """Run updates (trace_id, storage_id, cycle, seq, raw_bits, state) into tables under ``path``.
 
-    ``path/changes`` gets the changes, ``path/quarantine`` the refused rows with their reason. With
-    ``signals`` and ``clocks`` the layout rules apply as well, and a stream starts from its declared value.
+def judged(updates: DataFrame, signals: DataFrame | None = None, clocks: DataFrame | None = None, declared: bool = False) -> DataFrame:
+    """Changes (``reason`` null, no ``seq``) and refused rows of a stream of updates.
+
+    Refused are, with the first reason that holds: rows with a null (incomplete), those that break the layout rules if ``signals`` and
+    ``clocks`` are given, those before their signal's declared ``since_cycle`` (not_added), and what ``judge_updates`` refuses.
+    """
+    rows = updates if "event" in updates.columns else updates.withColumn("event", F.lit(None).cast("string"))
+    named = ["trace_id", "storage_id", "cycle", "seq", "raw_bits", "state"]
+    missing = reduce(Column.__add__, [F.when(F.col(c).isNull(), 1 << i).otherwise(0) for i, c in enumerate(named)])
+    rows = rows.withColumn("missing", missing)
+    rules: dict[str, Column] = {"incomplete": F.col("missing") != 0}
+    update = F.col("event").isNull()
+    if signals is not None:
+        layout = signals.groupBy(*KEY).agg(F.max("initial_bits").alias("initial_bits"), F.min(F.coalesce("since_cycle", F.lit(0))).alias("since_cycle"))
+        if clocks is not None:
+            layout = layout.join(known_storages(signals, clocks), KEY)
+            rules |= {name: test & update for name, test in update_rules().items() if name != "state_not_known"}
+        rows = rows.join(layout, KEY, "left")
+        rules["not_added"] = update & F.coalesce(F.col("cycle") < F.col("since_cycle"), F.lit(False))
+    else:
+        rows = rows.withColumn("initial_bits", F.lit(None).cast("bigint"))
+    reason = F.get(F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in rules.items()])), F.lit(0))
+    # Without nulls in numbers, so that all 64 bits survive the way to Python; ``missing`` tells where they were.
+    kinds = {f.name: f.dataType for f in SAMPLES}
+    filled = [F.coalesce(c, F.lit("" if c == "trace_id" else 0).cast(kinds[c])).alias(c) for c in named]
+    rows = rows.select(*filled, "event", "missing", F.coalesce("initial_bits", F.lit(0).cast("bigint")).alias("initial_bits"), reason.alias("reason"))
+    out = rows.groupBy(*KEY).transformWithStateInPandas(LastValues(declared), _OUT, outputMode="Append", timeMode="None")
+    restored = [F.when(F.col("missing").bitwiseAND(1 << i) == 0, F.col(c)).alias(c) for i, c in enumerate(named)]
+    return out.select(*restored, "reason")
+
+
+def stream_changes(updates: DataFrame, path: str, signals: DataFrame | None = None, clocks: DataFrame | None = None, declared: bool = False,
+                   trigger: Mapping[str, object] = ALL_THERE_IS) -> StreamingQuery:
+    """Run updates (trace_id, storage_id, cycle, seq, raw_bits, state and, optionally, event) into changes and refused rows under ``path``.
+
+    ``event`` adds a signal with its starting value or removes it (see ``lifecycle_events``); with ``declared``, signals are absent until added. With
+    ``signals`` and ``clocks`` the layout rules apply as well, and a stream that isn't added starts from its declared value.
     ``trigger`` is that of ``DataStreamWriter.trigger``: all there is, or for instance every few seconds.
     """
-    streams = None if signals is None else known_storages(signals, clocks)
-    starts = None if signals is None else signals.groupBy(*KEY).agg(F.max("initial_bits").alias("initial_bits"))
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        last = _last_values(spark, path, batch_id - 1)
-        judged = guard(batch, last, streams).persist()
-        accepted = judged.where(F.col("reason").isNull()).drop("reason")
-        found = changes_after(accepted, last, spans, starts)
-        found.write.mode("overwrite").parquet(f"{path}/changes/batch={batch_id}")
-        judged.where(F.col("reason").isNotNull()).write.mode("overwrite").parquet(f"{path}/quarantine/batch={batch_id}")
-        newest = last.select(*KEY, "cycle", "raw_bits", "state").unionByName(last_writes(accepted)).groupBy(*KEY).agg(
-            F.max_by("raw_bits", "cycle").alias("raw_bits"), F.max_by("state", "cycle").alias("state"),
-            F.max("cycle").alias("cycle"))
-        newest.withColumn("batch", F.lit(batch_id).cast("bigint")).select(*LAST.names).write.mode("overwrite").parquet(
-            f"{path}/last/{batch_id % PLACES}")
-        judged.unpersist()
-
-    return (updates.writeStream.foreachBatch(handle).option("checkpointLocation", f"{path}/checkpoint")
-            .trigger(**trigger).start())
+    rows = judged(updates, signals, clocks, declared).withColumn("refused", F.col("reason").isNotNull())
+    with keyed_state(updates.sparkSession):
+        return (rows.writeStream.outputMode("append").format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint")
+                .partitionBy("refused").trigger(**trigger).start())
 
 
 def read_changes(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/changes").drop("batch")
+    return spark.read.parquet(f"{path}/rows").where("NOT boolean(refused)").select(*KEY, "cycle", "raw_bits", "state")
 
 
 def read_quarantine(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/quarantine").drop("batch")
+    return spark.read.parquet(f"{path}/rows").where("boolean(refused)").drop("refused")

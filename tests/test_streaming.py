@@ -1,22 +1,27 @@
-"""Streams give the batch result, set late rows aside, and survive a restart."""
+"""Streams give the batch result, set late and bad rows aside without losing any, and survive a restart."""
 
 import random
 
-from stepfold.operators import changes
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from stepfold.operators import changes, overview
 from stepfold.plans.lineage import scratch
-from stepfold.schema import SAMPLES
-from stepfold.streaming import ingest
+from stepfold.schema import SAMPLES, TRANSITIONS
+from stepfold.streaming import ingest, sinks, state
 from tests import models
 
 ROW = "trace_id string, storage_id bigint, cycle bigint, seq bigint, raw_bits bigint, state tinyint"
+EVENT = ROW + ", event string"
 
 
-def put(spark, path, rows):
-    spark.createDataFrame(rows, ROW).coalesce(1).write.mode("append").parquet(path)
+def put(spark, path, rows, schema=ROW):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
 
 
-def run(spark, source, out):
-    ingest.stream_changes(ingest.replay(spark, source, SAMPLES), out, spans=(3,)).awaitTermination()
+def run(spark, source, out, schema=SAMPLES, **more):
+    ingest.stream_changes(ingest.replay(spark, source, schema), out, **more).awaitTermination()
 
 
 def test_stream_equals_batch_over_a_restart(spark):
@@ -40,9 +45,94 @@ def test_stream_equals_batch_over_a_restart(spark):
     assert batch >= len(got)
 
 
-def test_declared_start(spark):
+def test_signals_come_and_go_over_a_restart(spark):
+    """Absent before it is added, from its own start value, Z when removed, added again; every update is accepted or refused."""
+    batches = [
+        [("t", 1, 10, -1, 7, 0, "added"), ("t", 1, 4, 1, 5, 0, None), ("t", 1, 12, 2, 7, 0, None), ("t", 1, 13, 3, -(1 << 63), 0, None), ("t", 2, 0, -1, 0, 0, "added"), ("t", 9, 3, 4, 1, 0, None)],
+        [("t", 1, 20, 99, 0, 0, "removed"), ("t", 1, 20, 5, 8, 0, None), ("t", 1, 21, 6, 9, 0, None), ("t", 2, 5, 7, 0, 0, None), ("t", 2, 6, 8, 1, 1, None), ("t", 1, 12, 9, 1, 0, None),
+         ("t", 2, 7, 10, None, 0, None), (None, 2, 7, 11, 1, 0, None)],
+        [("t", 1, 30, -1, 3, 0, "added"), ("t", 1, 30, 12, 4, 0, None), ("t", 1, 25, 13, 6, 0, None), ("t", 2, 40, -1, 1, 0, "added"), ("t", 9, 50, 99, 0, 0, "removed")],
+    ]
+    source, out = scratch(spark, "in"), scratch(spark, "out")
+    for rows in batches:
+        put(spark, source, rows, EVENT)
+        run(spark, source, out, ingest.UPDATES, declared=True)
+    got = sorted((r.storage_id, r.cycle, r.raw_bits, r.state) for r in ingest.read_changes(spark, out).collect())
+    assert got == [(1, 10, 7, 0), (1, 13, -(1 << 63), 0), (1, 20, 0, 1), (1, 30, 4, 0), (2, 0, 0, 0), (2, 6, 1, 1)]
+    refused = sorted((r.seq, r.reason) for r in ingest.read_quarantine(spark, out).collect())
+    assert refused == [(-1, "already_added"), (1, "not_added"), (4, "not_added"), (5, "duplicate_in_cycle"), (6, "not_added"), (9, "late"), (10, "incomplete"), (11, "incomplete"),
+                       (13, "not_added"), (99, "not_added")]
+    assert {(r.trace_id, r.raw_bits) for r in ingest.read_quarantine(spark, out).where("seq IN (10, 11)").collect()} == {("t", None), (None, 1)}
+
+
+def test_lifecycle_events_equal_the_batch(spark):
+    signals = spark.createDataFrame([("t", 1, 1, 0, 0, None), ("t", 2, 2, 30, 2, None), ("t", 3, 3, 40, 0, 70), ("t", 4, 4, None, None, None)],
+                                    "trace_id string, signal_id bigint, storage_id bigint, since_cycle bigint, initial_bits bigint, until_cycle bigint").withColumn("storage_only", F.lit(False))
+    rows = models.random_samples(random.Random(5), 4, 200, 90)
+    events = ingest.lifecycle_events(signals)
+    source, out = scratch(spark, "in"), scratch(spark, "out")
+    both = spark.createDataFrame(rows, ROW).withColumn("event", F.lit(None).cast("string")).unionByName(events)
+    for part in range(3):
+        both.where(f"least(cycle div 30, 2) = {part}").coalesce(1).write.mode("append").parquet(source)
+    run(spark, source, out, ingest.UPDATES, declared=True)
+    inside = spark.createDataFrame(rows, ROW).join(signals.select("storage_id", F.coalesce("since_cycle", F.lit(0)).alias("s"), F.coalesce("until_cycle", F.lit(1000)).alias("u")), "storage_id").where("cycle >= s AND cycle < u")
+    removed = events.where("event = 'removed'").selectExpr("trace_id", "storage_id AS signal_id", "cycle", "0L AS raw_bits", "cast(1 AS tinyint) AS state")
+    batch = changes.implicit_zero(changes.compact_changes(inside, spans=(3,)).withColumnRenamed("storage_id", "signal_id").unionByName(removed, allowMissingColumns=True).select(*TRANSITIONS.names), signals, spans=(3,))
+    assert sorted(map(tuple, ingest.read_changes(spark, out).select("storage_id", "cycle", "raw_bits", "state").collect())) == sorted(map(tuple, batch.select("signal_id", "cycle", "raw_bits", "state").collect()))
+    accepted = ingest.read_quarantine(spark, out).where("seq >= 0").count()
+    assert 0 < accepted < len(rows)
+
+
+def frame(*rows):
+    return pd.DataFrame(rows, columns=["cycle", "seq", "raw_bits", "state", "event", "initial_bits", "reason"]).astype({"event": object, "reason": object}).assign(missing=0)
+
+
+def test_declared_start():
     """A first value equal to the start that is declared is no change; a first zero after another start is one."""
-    start = spark.createDataFrame([("t", 1, 7), ("t", 2, 7)], "trace_id string, storage_id bigint, initial_bits bigint")
-    rows = spark.createDataFrame([("t", 1, 3, 0, 7, 0), ("t", 1, 4, 1, 8, 0), ("t", 2, 3, 2, 0, 0), ("t", 3, 3, 3, 0, 0), ("t", 3, 5, 4, 1, 0)], ROW)
-    found = ingest.changes_after(rows, spark.createDataFrame([], ingest.LAST), (3,), start)
-    assert sorted((r.storage_id, r.cycle, r.raw_bits) for r in found.collect()) == [(1, 4, 8), (2, 3, 0), (3, 5, 1)]
+    def changed(rows, last=None):
+        out, new = state.judge_updates(rows, last, False)
+        return [(r.cycle, r.raw_bits) for r in out.itertuples() if r.reason is None], new
+
+    assert changed(frame((3, 0, 7, 0, None, 7, None), (4, 1, 8, 0, None, 7, None))) == ([(4, 8)], (4, 8, 0, True))
+    assert changed(frame((3, 2, 0, 0, None, 7, None))) == ([(3, 0)], (3, 0, 0, True))
+    assert changed(frame((3, 3, 0, 0, None, 0, None), (5, 4, 1, 0, None, 0, None))) == ([(5, 1)], (5, 1, 0, True))
+    assert changed(frame((3, 0, 7, 0, None, 0, None)), (2, 7, 0, True)) == ([], (3, 7, 0, True))
+
+
+def plain_windows(rows, buckets):
+    """(signal, level, window): last change, one after the other."""
+    out = {}
+    for signal, cycle, bits, st in rows:
+        for level, bucket in enumerate(buckets):
+            out[signal, level, cycle // bucket * bucket] = (cycle, bits, st)
+    return out
+
+
+@pytest.mark.parametrize("restart", [False, True])
+def test_all_levels_of_one_stream(spark, restart):
+    """Signals far behind the others lose nothing; what is late for its own signal is set aside: accepted and refused are all."""
+    rng = random.Random(7)
+    rows = sorted({(s, rng.randrange(4000)) for s in range(5) for _ in range(200)}, key=lambda r: r[1])
+    rows = [(s, c, rng.choice([0, 3, -1]), rng.choice([0, 0, 1])) for s, c in rows]
+    lag = {s: s * 600 for s in range(5)}  # signal 4 arrives long after the others
+    source, out, progress = scratch(spark, "in"), scratch(spark, "out"), scratch(spark, "progress")
+    parts = [[r for r in rows if (r[1] + lag[r[0]]) // 1700 == k] for k in range(4)]
+    parts[2] += [(0, 17, 9, 0), (3, 1, 9, 0)]  # late for their own signals
+    parts[3] += [(s, 5000, None, None) for s in range(4)] + [(2, 5001, 9, 0), (4, None, 1, 0)]
+    def go():
+        sinks.stream_lod(ingest.replay(spark, source, TRANSITIONS), out, progress, 3, 100, 5).awaitTermination()
+
+    for part in parts:
+        put(spark, source, [("t", *r) for r in part], TRANSITIONS)
+        if restart:
+            go()
+    if not restart:
+        go()
+    put(spark, source, [("t", 4, 5000, None, None)], TRANSITIONS)
+    go()
+    late = {(r.signal_id, r.cycle, r.reason) for r in sinks.read_late(spark, out).collect()}
+    assert late == {(0, 17, "late"), (3, 1, "late"), (2, 5001, "after_end"), (4, None, "incomplete")}
+    got = {(r.signal_id, r.level, r.window_start): (r.cycle, r.raw_bits, r.state) for r in sinks.read_lod(spark, out).collect()}
+    assert got == plain_windows(rows, [100, 500, 2500])
+    batch = overview.lod_pyramid(spark.createDataFrame([("t", *r) for r in rows], TRANSITIONS), 3, 100, 5)
+    assert sorted(map(str, sinks.read_lod(spark, out).collect())) == sorted(map(str, batch.select(*sinks.read_lod(spark, out).columns).collect()))
