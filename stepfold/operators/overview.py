@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepfold.functions.bits import unsigned_order
-from stepfold.operators.blocks import SPANS, next_, prev, scan, spread_join
+from stepfold.operators.blocks import SPANS, ahead, next_, peak, prev, scan, spread_join, total
 from stepfold.plans.lineage import cut
 from stepfold.schema import ABSENT, HIGH_Z, SEEN_ABSENT, SEEN_NONZERO, SEEN_Z, SEEN_ZERO, SIGNAL_KEY
 
@@ -79,6 +79,39 @@ def select_lod_levels(pyramid: DataFrame, counts: DataFrame, min_transitions: in
     return joined.select(*SIGNAL_KEY, F.inline(F.aggregate("found", start, keep, lambda acc: acc["kept"])))
 
 
+def budgeted_pyramid(transitions: DataFrame, levels: int = LEVELS, base: int = BASE_CYCLES, ratio: int = LEVEL_RATIO,
+                     share: int = LEVEL_RATIO, spans: Sequence[int] = SPANS) -> DataFrame:
+    """``lod_pyramid`` under a running budget: what a recorder keeps that may never hold more than 1/share of its source.
+
+    A window is closed by the first transition outside it, and kept if, with it, the level holds at most a ``share``-th of what its source
+    holds by then: of level 0, the transitions; of another level, the kept windows of the level below and its open one. The
+    last window of each level is still open, and always there. Transitions before cycle 0 don't count.
+
+    Taken one after the other, a level has kept a' = a + 1 windows if a < q and a' = a if not, where the quota q never falls. From 0, that is
+    n - max(0, greatest of j - q_j for j <= n) after n windows: a count and a running maximum, both carried over blocks.
+    """
+    rows = scan(transitions.where("cycle >= 0").withColumn("__one", F.lit(1)), SIGNAL_KEY, "cycle",
+                [prev("cycle", "p_cycle"), prev("raw_bits", "p_bits"), prev("state", "p_state"), total("__one", "__before"), next_("cycle", "__after")], spans)
+    rows = cut(rows.select(*SIGNAL_KEY, "cycle", "raw_bits", "state", "p_cycle", "p_bits", "p_state", (F.col("__before") + 1).alias("source"),
+                           F.col("__after").isNull().alias("last")))
+    out, events, cycles = None, rows.where("p_cycle IS NOT NULL").drop("last"), base
+    for level in range(levels):
+        closing = events.where(window_start(F.col("cycle"), cycles) != window_start(F.col("p_cycle"), cycles)).withColumn("__one", F.lit(1))
+        ranked = scan(closing, SIGNAL_KEY, "cycle", [total("__one", "n")], spans).withColumn("n", F.col("n") + 1)
+        ranked = ranked.withColumn("over", F.col("n") - F.call_function("div", F.col("source"), F.lit(share).cast("bigint")))
+        found = scan(cut(ranked.drop("__one")), SIGNAL_KEY, "cycle", [peak("over", "top")], spans)
+        least = F.greatest(F.coalesce("top", F.lit(0)), F.lit(0))
+        kept = F.col("n") - F.greatest(least, F.col("over"))
+        events = cut(found.select(*SIGNAL_KEY, "cycle", "p_cycle", "p_bits", "p_state", (kept > F.col("n") - 1 - least).alias("accepted"), (kept + 1).alias("source")))
+        size = F.lit(cycles).cast("bigint").alias("bucket")
+        part = events.where("accepted").select(*SIGNAL_KEY, F.lit(level).alias("level"), size, window_start(F.col("p_cycle"), cycles).alias("window_start"),
+                                               F.col("p_cycle").alias("cycle"), F.col("p_bits").alias("raw_bits"), F.col("p_state").alias("state"))
+        open_ = rows.where("last").select(*SIGNAL_KEY, F.lit(level).alias("level"), size, window_start(F.col("cycle"), cycles).alias("window_start"), "cycle", "raw_bits", "state")
+        out = part.unionByName(open_) if out is None else out.unionByName(part).unionByName(open_)
+        events, cycles = events.drop("accepted"), cycles * ratio
+    return out
+
+
 def state_mask(bits: Column, state: Column) -> Column:
     return (F.when(state == ABSENT, SEEN_ABSENT).when(state == HIGH_Z, SEEN_Z)
             .when(bits == 0, SEEN_ZERO).otherwise(SEEN_NONZERO))
@@ -151,6 +184,43 @@ def downsample(transitions: DataFrame, t0: int, t1: int, target: int = 1000) ->
     return carry.select(*SIGNAL_KEY, *columns).unionByName(ends)
 
 
+def hops(transitions: DataFrame, t0: int, t1: int, stride: int, parity: bool = False, spans: Sequence[int] = SPANS) -> DataFrame:
+    """Samples of ``[t0, t1]`` reached by hops of ``stride`` cycles or more, and the sample before each landing.
+
+    A hop goes from a sample to the first one at least ``stride`` cycles later; with ``parity``, to the first such one whose place among the
+    signal's samples is of the other parity, so that an alternating bit is seen at both values. The first sample of the window is the first
+    of the chain, its last sample always among the result. The sample in force at ``t0`` comes before, as in ``downsample``.
+
+    Every sample refers to the one it would hop to, found for all in one scan. References are then doubled (each to that of its target), so a chain
+    of n samples is walked in log2(n) joins by (signal, cycle), which a hot signal spreads over all tasks.
+    """
+    at = [*SIGNAL_KEY, "cycle"]
+    inside = transitions.where((F.col("cycle") >= t0) & (F.col("cycle") <= t1)).select(*at, "raw_bits", "state").withColumn("__one", F.lit(1))
+    placed = cut(scan(inside, SIGNAL_KEY, "cycle", [prev("cycle", "before"), next_("cycle", "after"), total("__one", "place")], spans))
+    sides = (0, 1) if parity else (None,)
+    # A target is the first sample at or after cycle + stride, so it is asked for one cycle earlier; samples and questions that share a cycle are one row.
+    samples = placed.select(*at, *[F.when(F.lit(True) if side is None else F.col("place") % 2 == side, F.col("cycle")).alias(f"here_{i}") for i, side in enumerate(sides)], F.lit(None).cast("bigint").alias("asked"))
+    asked = placed.select(*SIGNAL_KEY, (F.col("cycle") + (stride - 1)).alias("cycle"), *[F.lit(None).cast("bigint").alias(f"here_{i}") for i in range(len(sides))], F.col("cycle").alias("asked"))
+    found = scan(samples.unionByName(asked), SIGNAL_KEY, "cycle", [ahead(f"here_{i}", f"to_{i}") for i in range(len(sides))], spans,
+                 fold=[F.max(c).alias(c) for c in (*[f"here_{i}" for i in range(len(sides))], "asked")])
+    targets = found.where("asked IS NOT NULL").select(*SIGNAL_KEY, F.col("asked").alias("cycle"), *[f"to_{i}" for i in range(len(sides))])
+    joined = placed.join(targets, at)
+    to = F.col("to_0") if not parity else F.when(F.col("place") % 2 == 0, F.col("to_1")).otherwise(F.col("to_0"))
+    jumps = cut(joined.select(*at, to.alias("to")).where("to IS NOT NULL"))
+    reached = placed.where("before IS NULL").select(*at)
+    while not jumps.isEmpty():
+        reached = cut(reached.unionByName(reached.join(jumps, at).select(*SIGNAL_KEY, F.col("to").alias("cycle"))))
+        further = jumps.select(*SIGNAL_KEY, F.col("cycle").alias("to"), F.col("to").alias("__to"))
+        jumps = cut(jumps.join(further, [*SIGNAL_KEY, "to"]).select(*at, F.col("__to").alias("to")))
+    # Landings, the samples before them, and the last sample; each once.
+    landed = placed.join(reached, at, "left_semi")
+    wanted = landed.select(*at).unionByName(landed.where("before IS NOT NULL").select(*SIGNAL_KEY, F.col("before").alias("cycle"))).unionByName(
+        placed.where("after IS NULL").select(*at)).distinct()
+    carry = transitions.where(F.col("cycle") < t0).groupBy(*SIGNAL_KEY).agg(
+        F.max("cycle").alias("cycle"), F.max_by("raw_bits", "cycle").alias("raw_bits"), F.max_by("state", "cycle").alias("state"))
+    return carry.select(*at, "raw_bits", "state").unionByName(placed.join(wanted, at, "left_semi").select(*at, "raw_bits", "state"))
+
+
 def lod_ranges(pyramid: DataFrame, spans: Sequence[int] = SPANS) -> DataFrame:
     """Ranges in which a level is usable: windows merge while their gap is small.
 
@@ -224,4 +294,4 @@ def tile_report(index: DataFrame, tile_times: DataFrame) -> DataFrame:
 
 
 __all__ = ["lod_pyramid", "select_lod_levels", "transition_counts", "lod_buckets", "viewport_raster", "downsample",
-           "lod_ranges", "overview", "tile_report"]
+           "budgeted_pyramid", "hops", "lod_ranges", "overview", "tile_report"]

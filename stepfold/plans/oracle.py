@@ -393,6 +393,11 @@ def oracle() -> dict[str, str]:
   SELECT * FROM small_t UNION ALL
   SELECT trace_id, signal_id, 0, 0, CAST(0 AS TINYINT) FROM layout
   WHERE signal_id NOT IN (SELECT signal_id FROM small_t WHERE cycle = 0))""", no_repeats("z", "seeded")], "SELECT * FROM z")
+    lives = f"""life AS (SELECT trace_id, signal_id, signal_id % 3 * 200000 AS since, signal_id % 4 AS initial FROM layout)"""
+    q["implicit_start"] = sql([*SMALL, layout(2), lives, "begun AS (SELECT s.* FROM small_t s JOIN life USING (trace_id, signal_id) WHERE cycle >= since)", """seeded AS (
+  SELECT trace_id, signal_id, cycle, raw_bits, state FROM begun UNION ALL
+  SELECT trace_id, signal_id, since, initial, CAST(0 AS TINYINT) FROM life ANTI JOIN (SELECT signal_id, cycle AS since FROM begun) USING (signal_id, since))""",
+                               no_repeats("z", "seeded")], "SELECT * FROM z")
     q["change_times"] = sql([RAW, SMALL_RAW, last_writes("w", "small_raw")],
                             f"SELECT trace_id, signal_id, cycle FROM w QUALIFY {changed('trace_id, signal_id')} "
                             f"AND lag(state) OVER ({by}) IS NOT NULL")
@@ -433,11 +438,11 @@ FROM (SELECT DISTINCT * FROM probes) p ASOF LEFT JOIN full_t t ON p.signal_id =
                              f"filled AS (SELECT trace_id, group_id, cycle, {both.rstrip(',')} FROM merged)"],
                             f"""SELECT *, coalesce(lag(bits_0) {gw}, 0) AS prev_bits_0, coalesce(lag(state_0) {gw}, CAST(2 AS TINYINT)) AS prev_state_0,
   coalesce(lag(bits_1) {gw}, 0) AS prev_bits_1, coalesce(lag(state_1) {gw}, CAST(2 AS TINYINT)) AS prev_state_1 FROM filled""")
-    early = "(SELECT signal_id FROM probes WHERE cycle < 86400)"
+    early = "(SELECT signal_id FROM probes)"
     q["select_semi"] = sql([*FULL, PROBES], f"SELECT * FROM full_t WHERE signal_id IN {early}")
     q["tiles_for"] = sql([*FULL, PROBES, layout(16), tile_index("full_t", "layout")],
                          f"""SELECT trace_id, time_block, signal_chunk, records FROM idx
-WHERE signal_chunk IN (SELECT (signal_id - 1) // {CHUNK} FROM probes WHERE cycle < 86400)""")
+WHERE signal_chunk IN (SELECT (signal_id - 1) // {CHUNK} FROM probes)""")
     q["clip_regions"] = sql([*FULL, PROBES, META, f"""z AS (
   SELECT trace_id, signal_id, cycle AS s, e FROM (
     SELECT *, least(coalesce(lead(cycle) OVER ({by}), tend), tend) AS e FROM full_t JOIN meta USING (trace_id))
@@ -505,12 +510,51 @@ FROM compared c JOIN rerun_t t ON t.signal_id = c.source_id WHERE c.side = 'b'""
     q["viewport_raster_zoomed"] = sql([*SMALL, *raster("small_t", LO, HI, 500)], RASTER_BODY)
     q["lod_ranges"] = sql([*FULL, pyramid(), *RANGES], "SELECT * FROM ranges")
     width, span = 200, "(SELECT tend FROM meta)"
-    q["overview_rows"] = sql([*FULL, META, pyramid(), *RANGES, f"""chosen AS (
+    q["overview_rows"] = sql([*FULL, META, pyramid(), *RANGES, f"""chosen AS MATERIALIZED (
   SELECT trace_id, signal_id, coalesce(max(level) FILTER (bucket <= ceil({span} / {max(64, width // 2)}.0)), min(level)) AS level
   FROM ranges WHERE "end" > 0 AND "start" < {span} GROUP BY ALL)"""], f"""SELECT trace_id, signal_id, level, cycle, raw_bits, state
 FROM pyramid JOIN chosen USING (trace_id, signal_id, level) WHERE cycle < {span}
-UNION ALL SELECT trace_id, signal_id, -1, cycle, raw_bits, state FROM full_t
-WHERE cycle < {span} AND signal_id NOT IN (SELECT signal_id FROM chosen)""")
+UNION ALL SELECT trace_id, signal_id, -1, cycle, raw_bits, state FROM full_t ANTI JOIN chosen USING (trace_id, signal_id) WHERE cycle < {span}""")
+    q["overview_rows_raw"] = sql(FULL, f"SELECT trace_id, signal_id, -1 AS level, cycle, raw_bits, state FROM full_t WHERE cycle >= {LO} AND cycle < {HI}")
+    coarse = "coarse AS MATERIALIZED (SELECT * FROM pyramid WHERE level >= 4)"
+    q["overview_rows_finest"] = sql([*FULL, pyramid(), coarse, *[part.replace("FROM pyramid", "FROM coarse") for part in RANGES], """chosen AS MATERIALIZED (
+  SELECT trace_id, signal_id, coalesce(max(level) FILTER (bucket <= 4000), min(level)) AS level
+  FROM ranges WHERE "end" > 0 AND "start" < 2000000 GROUP BY ALL)"""], """SELECT trace_id, signal_id, level, cycle, raw_bits, state
+FROM coarse JOIN chosen USING (trace_id, signal_id, level) WHERE cycle < 2000000
+UNION ALL SELECT trace_id, signal_id, -1, cycle, raw_bits, state FROM full_t ANTI JOIN chosen USING (trace_id, signal_id) WHERE cycle < 2000000""")
+    budget, cycles, source = [*FULL, f"""r AS MATERIALIZED (
+  SELECT *, lag(cycle) OVER w AS p_cycle, lag(raw_bits) OVER w AS p_bits, lag(state) OVER w AS p_state, row_number() OVER w AS source, lead(cycle) OVER w IS NULL AS is_last
+  FROM full_t WHERE cycle >= 0 WINDOW w AS ({by}))"""], 8192, "r"
+    kept = []
+    for k in range(7):
+        budget.append(f"""closed_{k} AS (SELECT * EXCLUDE (source), source, row_number() OVER ({by}) AS n FROM {source}
+  WHERE p_cycle IS NOT NULL AND cycle // {cycles} <> p_cycle // {cycles})""")
+        budget.append(f"""held_{k} AS (SELECT *, n - greatest(0, max(n - source // 5) OVER ({by})) AS held FROM closed_{k})""")
+        budget.append(f"""event_{k} AS MATERIALIZED (SELECT trace_id, signal_id, cycle, p_cycle, p_bits, p_state, held + 1 AS source,
+  held > coalesce(lag(held) OVER ({by}), 0) AS accepted FROM held_{k})""")
+        kept.append(f"""SELECT trace_id, signal_id, {k} AS level, {cycles}::BIGINT AS bucket, p_cycle // {cycles} * {cycles} AS window_start, p_cycle AS cycle, p_bits AS raw_bits, p_state AS state
+FROM event_{k} WHERE accepted
+UNION ALL SELECT trace_id, signal_id, {k}, {cycles}::BIGINT, cycle // {cycles} * {cycles}, cycle, raw_bits, state FROM r WHERE is_last""")
+        source, cycles = f"event_{k}", cycles * 5
+    q["budgeted_pyramid"] = sql(budget, "\nUNION ALL ".join(kept))
+
+    def hopped(trace: str, place: str, target: str) -> str:
+        """Chains by recursion: the next sample at least 50,000 cycles later, ``target`` of those of either parity."""
+        near = " ".join(f"ASOF LEFT JOIN (SELECT signal_id, cycle AS c{i} FROM i WHERE {place.format(i)}) b{i} ON b{i}.signal_id = a.signal_id AND b{i}.c{i} >= a.cycle + 50000"
+                        for i in (0, 1))
+        return sql([*trace, f"""i AS MATERIALIZED (
+  SELECT *, row_number() OVER w - 1 AS place, lag(cycle) OVER w AS before, lead(cycle) OVER w AS after FROM {"full_t" if trace is FULL else "flag_t"}
+  WHERE cycle BETWEEN 86400 AND 2000000 WINDOW w AS ({by}))""", f"jumps AS MATERIALIZED (SELECT a.signal_id, a.cycle, {target} AS goal FROM i a {near})",
+                    """chain AS (SELECT signal_id, min(cycle) AS cycle FROM i GROUP BY ALL
+  UNION ALL SELECT j.signal_id, j.goal FROM chain c JOIN jumps j ON j.signal_id = c.signal_id AND j.cycle = c.cycle WHERE goal IS NOT NULL)""",
+                    """wanted AS (SELECT signal_id, cycle FROM chain UNION SELECT i.signal_id, i.before FROM i JOIN chain USING (signal_id, cycle)
+  UNION SELECT signal_id, cycle FROM i WHERE after IS NULL)"""],
+                   f"""SELECT trace_id, signal_id, cycle, raw_bits, state FROM i JOIN wanted USING (signal_id, cycle)
+UNION ALL SELECT trace_id, signal_id, max(cycle), arg_max(raw_bits, cycle), arg_max(state, cycle) FROM {"full_t" if trace is FULL else "flag_t"}
+WHERE cycle < 86400 GROUP BY ALL""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+    q["hops"] = hopped(FULL, "TRUE", "c0")
+    q["hops_alternating"] = hopped(FLAG, "place % 2 = {}", "CASE WHEN a.place % 2 = 0 THEN c1 ELSE c0 END")
     t0, t1, target = 86_400, 2_000_000, 20
     q["downsample"] = sql([*FULL, f"""carry AS (
   SELECT trace_id, signal_id, max(cycle) AS cycle, arg_max(raw_bits, cycle) AS raw_bits, arg_max(state, cycle) AS state
@@ -554,6 +598,11 @@ FROM layout l LEFT JOIN (SELECT signal_id, count(*) AS n FROM full_t GROUP BY 1)
   SELECT CAST(n_nationkey + 9001 AS BIGINT) AS signal_id, n_nationkey % 2 AS first, CAST(n_nationkey * 3600 + 1800 AS BIGINT) AS p FROM nation)"""],
                                """SELECT 't' AS trace_id, signal_id, k * p AS cycle, CAST((first + k) % 2 AS BIGINT) AS raw_bits, CAST(0 AS TINYINT) AS state
 FROM (SELECT *, unnest(range(0, least(tend, 2000000) // p + 1)) AS k FROM c, meta)""")
+    q["value_at_tiles"] = q["value_at"]
+    q["block_entries"] = sql([*FULL, f"blocks AS (SELECT unnest(range(0, max(cycle) // {SPAN} + 2)) AS time_block FROM full_t)",
+                              "ids AS (SELECT DISTINCT trace_id, signal_id FROM full_t)"], f"""SELECT i.trace_id, i.signal_id, time_block::BIGINT AS time_block,
+  (i.signal_id - 1) // {CHUNK} AS signal_chunk, raw_bits, state
+FROM blocks CROSS JOIN ids i ASOF JOIN full_t f ON f.trace_id = i.trace_id AND f.signal_id = i.signal_id AND f.cycle < time_block * {SPAN}""")
     q["block_snapshots"] = sql([*FULL, f"""e AS (
   SELECT trace_id, signal_id, cycle // {SPAN} AS time_block, max(cycle) AS last_cycle, arg_max(raw_bits, cycle) AS last_bits,
          arg_max(state, cycle) AS last_state FROM full_t GROUP BY ALL)"""], """SELECT *,

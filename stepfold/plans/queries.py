@@ -12,9 +12,9 @@ from stepfold.functions.names import classify_signals, display_names
 from stepfold.functions.values import ABSENT_TEXT, format_values, normalize_values
 from stepfold.operators import blocks, changes, checks, compare, derive, joins, overview, periodic, search, tree
 from stepfold.plans import fixtures as fx
-from stepfold.plans.lineage import scratch
+from stepfold.plans.lineage import cut, scratch
 from stepfold.schema import HIGH_Z, KNOWN, SAMPLES, TRANSITIONS, state
-from stepfold.sources import json_trace, synthetic, tiles
+from stepfold.sources import json_trace, store, synthetic, tiles
 from stepfold.streaming import ingest, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,6 +113,14 @@ def implicit_zero(spark: SparkSession, d: str) -> DataFrame:
     return changes.implicit_zero(_small(spark, d), fx.layout(spark, d, 2))
 
 
+@query
+def implicit_start(spark: SparkSession, d: str) -> DataFrame:
+    """Signals that start from declared values, most of them later than the trace."""
+    lives = _lives(spark, d)
+    begun = _small(spark, d).join(lives.select("trace_id", "signal_id", "since_cycle"), ["trace_id", "signal_id"]).where("cycle >= since_cycle").drop("since_cycle")
+    return changes.implicit_zero(begun, lives)
+
+
 @query
 def change_times(spark: SparkSession, d: str) -> DataFrame:
     return changes.change_times(changes.last_writes(fx.as_signals(fx.small(_raw(spark, d))), "signal_id"))
@@ -191,13 +199,13 @@ def merge_states(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def select_semi(spark: SparkSession, d: str) -> DataFrame:
-    buyers = fx.order_probes(spark, d).where("cycle < 86400").select("trace_id", "signal_id").distinct()
+    buyers = fx.order_probes(spark, d).select("trace_id", "signal_id").distinct()
     return joins.select_semi(_full(spark, d), buyers)
 
 
 @query
 def tiles_for(spark: SparkSession, d: str) -> DataFrame:
-    buyers = fx.order_probes(spark, d).where("cycle < 86400").select("trace_id", F.col("signal_id").alias("storage_id"))
+    buyers = fx.order_probes(spark, d).select("trace_id", F.col("signal_id").alias("storage_id"))
     index = tiles.tile_index(_full(spark, d), fx.layout(spark, d, 16), span=SPAN, chunk=CHUNK)
     return joins.tiles_for(index, buyers, CHUNK).select("trace_id", "time_block", "signal_chunk", "records")
 
@@ -391,6 +399,36 @@ def overview_rows(spark: SparkSession, d: str) -> DataFrame:
     return overview.overview(_pyramid(spark, d), _full(spark, d), *_extent(_raw(spark, d)), 200)
 
 
+@query
+def overview_rows_raw(spark: SparkSession, d: str) -> DataFrame:
+    """A view narrow enough for the transitions themselves."""
+    return overview.overview(_pyramid(spark, d), _full(spark, d), *WINDOW, 1000)
+
+
+@query
+def overview_rows_finest(spark: SparkSession, d: str) -> DataFrame:
+    """A view finer than every stored level, with ranges worked out beforehand: the finest usable level, or the transitions."""
+    coarse = _pyramid(spark, d).where("level >= 4")
+    ranges = cut(overview.lod_ranges(coarse))
+    return overview.overview(coarse, _full(spark, d), 0, 2_000_000, 1000, ranges)
+
+
+@query
+def budgeted_pyramid(spark: SparkSession, d: str) -> DataFrame:
+    return overview.budgeted_pyramid(_full(spark, d), base=8192)
+
+
+@query
+def hops(spark: SparkSession, d: str) -> DataFrame:
+    return overview.hops(_full(spark, d), 86_400, 2_000_000, 50_000)
+
+
+@query
+def hops_alternating(spark: SparkSession, d: str) -> DataFrame:
+    """Hops of a flag, which land on samples of either parity by turns."""
+    return overview.hops(_flag(spark, d), 86_400, 2_000_000, 50_000, parity=True)
+
+
 @query
 def downsample(spark: SparkSession, d: str) -> DataFrame:
     return overview.downsample(_full(spark, d), 86_400, 2_000_000, 20)
@@ -494,15 +532,37 @@ def load_signals(spark: SparkSession, d: str) -> DataFrame:
 @query
 def load_selected(spark: SparkSession, d: str) -> DataFrame:
     """Selection given as a table instead of a list."""
-    buyers = fx.order_probes(spark, d).where("cycle < 86400").select("trace_id", "signal_id").distinct()
+    buyers = fx.order_probes(spark, d).select("trace_id", "signal_id").distinct()
     return tiles.load_signals(_tiled(spark, d), buyers, *WINDOW, span=SPAN, chunk=CHUNK).select(
         "trace_id", "signal_id", "cycle", "raw_bits", "state")
 
 
+def _store(spark: SparkSession, d: str) -> store.Store:
+    """The 16-bit trace in a store, recorded in three batches of whole blocks."""
+    path, rows = scratch(spark, "store"), _full(spark, d)
+    for lo, hi in ((0, 3), (3, 7), (7, 1 << 40)):
+        store.append_blocks(rows.where((F.col("cycle") >= lo * SPAN) & (F.col("cycle") < hi * SPAN)), path, SPAN, CHUNK)
+    opened = store.open_store(spark, path)
+    if opened is None:  # a table without events
+        return store.Store(rows.limit(0), rows.limit(0), 0, 0, SPAN, CHUNK)
+    return opened
+
+
 @query
 def load_window_carry_in(spark: SparkSession, d: str) -> DataFrame:
-    snapshots = tiles.block_snapshots(_full(spark, d), SPAN)
-    return tiles.load_window_carry_in(_tiled(spark, d), None, *WINDOW, snapshots, span=SPAN, chunk=CHUNK)
+    return store.load_window(_store(spark, d), *WINDOW)
+
+
+@query
+def value_at_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """The same as ``value_at``, from the tiles that the probes fall into."""
+    return store.value_at_tiles(_store(spark, d), fx.order_probes(spark, d))
+
+
+@query
+def block_entries(spark: SparkSession, d: str) -> DataFrame:
+    """The values that every block is entered with, as the store keeps them."""
+    return _store(spark, d).entries.select("trace_id", "signal_id", "time_block", "signal_chunk", "raw_bits", "state")
 
 
 @query
