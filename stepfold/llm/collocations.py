@@ -9,17 +9,19 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepfold.llm.text import column, each_text
-from stepfold.operators.numbering import dense_number
+from stepfold.llm.text import column, each_text, mix
 from stepfold.plans.lineage import cut
 
-SHARD = 1 << 22  # words and ends of pieces in a shard
+SHARD = 1 << 21  # words and ends of pieces in a shard
 SLICE = 1 << 20  # bytes of a text that are cut into words at once
-LONGEST = 5  # words of a phrase; shards pack phrases into so many columns
+BUCKETS, WITHIN = 1 << 12, 19  # of words by hash, and bits of a word's number in its bucket: ids have 31 bits
+SUMMED = 1 << 20  # phrases of all shards whose counts are added up in one task, about
+LONGEST = 5  # words of a phrase
 
 _MARK = b"."  # one of the bytes that end pieces, so no word holds it
 _FOLD = bytearray(range(256))
@@ -187,15 +189,73 @@ def _shards(docs: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "shard long, size int, ids binary, lang string, word string, local int, n long")
 
 
-def _renumbered(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """A shard's sequence in ids from 1 of its frequent words, with 0 for all others, and the words' global ids by those."""
+BLOCKS = pa.schema([("range", pa.int32()), ("shard", pa.int64()), ("words", pa.int32()), ("n", pa.int32()), ("data", pa.binary())])
+
+
+def _blocks(shard: int, found: Iterator[tuple[np.ndarray, np.ndarray]], ranges: int) -> pa.Table:
+    """Phrases (a matrix of global ids) and their counts in a shard as packed blocks, one for each range of the phrases' hashes."""
+    out: list[list] = [[], [], [], [], []]
+    for ids, counts in found:
+        hashed = np.zeros(len(ids), np.uint64)
+        for column_ in ids.T:
+            hashed = mix(hashed ^ column_.astype(np.uint64))
+        where = (hashed % np.uint64(ranges)).astype(np.int32)
+        order = np.lexsort((*ids.T[::-1], where))
+        ids, counts, where = ids[order], counts[order], where[order]
+        edges = np.append(np.flatnonzero(np.append(True, where[1:] != where[:-1])), len(where)) if len(where) else np.zeros(1, np.int64)
+        for begin, end in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            block = np.column_stack([ids[begin:end], counts[begin:end]])
+            for values, value in zip(out, (int(where[begin]), shard, ids.shape[1], end - begin, _packed(block.T.ravel()))):
+                values.append(value)
+    return pa.table([pa.array(v, f.type) for v, f in zip(out, BLOCKS)], schema=BLOCKS)
+
+
+def _summed(blocks: DataFrame, least: int) -> DataFrame:
+    """Phrases with a sum of ``least`` (ids, f), and for each shard and range those that it has (shard, words, n, data)."""
+    schema = pa.schema([("ids", pa.list_(pa.int64())), ("f", pa.int64()), *[BLOCKS.field(c) for c in ("shard", "words", "n", "data")]])
+
+    def add(table: pa.Table) -> pa.Table:
+        shard, words, n, data = (table.column(c).to_pylist() for c in ("shard", "words", "n", "data"))
+        parts = []
+        for size in sorted(set(words)):
+            mine = [k for k, w in enumerate(words) if w == size]
+            rows = np.concatenate([_unpacked(data[k], n[k] * (size + 1)).reshape(size + 1, n[k]) for k in mine], axis=1)
+            ids, counts = rows[:-1], rows[-1].astype(np.int64)
+            order = np.lexsort(ids[::-1])
+            new = np.append(True, (ids[:, order[1:]] != ids[:, order[:-1]]).any(axis=0))
+            first = np.flatnonzero(new)
+            sums = np.add.reduceat(counts[order], first)
+            often = sums >= least
+            kept = np.zeros(len(order), bool)
+            kept[order] = often[np.cumsum(new) - 1]
+            flat = ids[:, order[first[often]]].T.astype(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * size), pa.array(flat.ravel()))
+            parts.append(pa.table([lists, pa.array(sums[often]), *[pa.nulls(len(flat), f.type) for f in list(schema)[2:]]], schema=schema))
+            if size == 2:
+                at = np.append(0, np.cumsum([n[k] for k in mine]))
+                held = [(shard[k], ids[:, a:b][:, kept[a:b]]) for k, a, b in zip(mine, at[:-1], at[1:]) if kept[a:b].any()]
+                parts.append(pa.table([pa.nulls(len(held), schema.field("ids").type), pa.nulls(len(held), pa.int64()), pa.array([k for k, _ in held], pa.int64()),
+                                       pa.array([size] * len(held), pa.int32()), pa.array([x.shape[1] for _, x in held], pa.int32()),
+                                       pa.array([_packed(x.ravel()) for _, x in held], pa.binary())], schema=schema))
+        return pa.concat_tables(parts) if parts else schema.empty_table()
+
+    return blocks.groupBy("range").applyInArrow(add, "ids array<long>, f long, shard long, words int, n int, data binary")
+
+
+def _renumbered(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A shard's sequence in ids from 1 of its frequent words, with 0 for all others, the words' global ids by those, and its pairs (a key each)."""
     size, data = left.column("size")[0].as_py(), left.column("ids")[0].as_py()
-    x, y, pair = (right.column(c).to_numpy() for c in ("x", "y", "pair"))
-    names = np.append(0, np.sort(y[~pair]))
+    is_word = right.column("data").is_null()
+    x, y = (right.filter(is_word).column(c).to_numpy() for c in ("x", "y"))
+    names = np.append(0, np.sort(y))
     ids = _unpacked(data, size)
     new = np.zeros(int(ids.max(initial=0)) + 1, np.int32)
-    new[x[~pair]] = np.searchsorted(names, y[~pair])
-    return _pieces(new[ids]), names
+    new[x] = np.searchsorted(names, y)
+    pairs = [np.zeros((2, 0), np.int64)]
+    for r in right.filter(pc.invert(is_word)).select(["n", "data"]).to_pylist():
+        pairs.append(np.searchsorted(names, _unpacked(r["data"], 2 * r["n"]).reshape(2, r["n"])))
+    first, second = np.concatenate(pairs, axis=1)
+    return _pieces(new[ids]), names, first * len(names) + second
 
 
 def _of_frequent_pairs(seq: np.ndarray, pairs: np.ndarray, most: int) -> np.ndarray:
@@ -218,51 +278,39 @@ def counted(docs: DataFrame, least: int = 100) -> tuple[DataFrame, DataFrame, Da
 
     A phrase is frequent only if its words are, and all pairs of neighbours in it. So shards are searched twice: for pairs of frequent
     words, then, where frequent pairs follow one another, for longer phrases. Each time a shard's FM-index enumerates its phrases
-    with counts, and sums over the shards decide. What a shard has to know of the others' sums comes to it as rows of its own words and pairs.
+    with counts, and sums over the shards decide. Phrases move as packed blocks by ranges of their hashes. What a shard has to know of the
+    others' sums comes to it as rows of its own words and blocks of its own pairs.
     """
     found = cut(_shards(docs))
     words = found.filter("word IS NOT NULL")
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    total = F.sum("n").over(Window.partitionBy("lang", "word"))
-    kept = cut(words.select("lang", "word", "shard", "local", total.alias("f")).filter(F.col("f") >= least))
-    vocabulary = dense_number(kept.select("lang", "word", "f").distinct(), ["lang", "word"], "id")
-    own = cut(kept.join(vocabulary.select("lang", "word", "id"), ["lang", "word"]).select("shard", F.col("local").cast("long").alias("x"), F.col("id").alias("y"), F.lit(False).alias("pair")))
+    # One shuffle and one sort give a word's sum and its id: the words of a bucket stand together, in order.
+    dealt = words.withColumn("bucket", F.pmod(F.xxhash64("lang", "word"), F.lit(BUCKETS))).repartition("bucket")
+    summed = dealt.withColumn("f", F.sum("n").over(Window.partitionBy("bucket", "lang", "word"))).filter(F.col("f") >= least)
+    nth = F.dense_rank().over(Window.partitionBy("bucket").orderBy("lang", "word"))
+    within = F.when(nth < 1 << WITHIN, nth).otherwise(F.raise_error(F.lit("too many frequent words for their ids")))
+    kept = cut(summed.select("lang", "word", "f", "shard", F.col("local").cast("long").alias("x"), (F.shiftleft("bucket", WITHIN) + within).alias("y")))
+    vocabulary = kept.select(F.col("y").alias("id"), "lang", "word", "f").distinct()
+    own = kept.select("shard", "x", "y", F.lit(None).cast("int").alias("n"), F.lit(None).cast("binary").alias("data"))
     sequences = found.filter("ids IS NOT NULL").select(F.col("shard").alias("name"), "size", "ids")
-
-    def search(known: DataFrame, run, schema: str) -> DataFrame:
-        return sequences.groupBy("name").cogroup(known.groupBy("shard")).applyInArrow(run, schema)
-
-    pair_rows = pa.schema([("shard", pa.int64()), ("pair", pa.int64()), ("n", pa.int64())])
-
-    def pairs(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pair_rows.empty_table()
-        seq, names = _renumbered(left, right)
-        ids, n = next(WordIndex(seq, 2).phrases())
-        return pa.table([pa.array(np.full(len(n), left.column("name")[0].as_py())), pa.array(names[ids[:, 0]] << 32 | names[ids[:, 1]]), pa.array(n)], schema=pair_rows)
-
-    sums = F.sum("n").over(Window.partitionBy("pair"))
-    frequent = cut(search(own, pairs, "shard long, pair long, n long").select("shard", "pair", sums.alias("f")).filter(F.col("f") >= least))
-    columns = [f"w{k}" for k in range(LONGEST)]
-    phrase_rows = pa.schema([*((c, pa.int64()) for c in columns), ("n", pa.int64())])
-
-    def longer(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return phrase_rows.empty_table()
-        seq, names = _renumbered(left, right)
-        x, y, pair = (right.column(c).to_numpy() for c in ("x", "y", "pair"))
-        allowed = np.searchsorted(names, x[pair]) * len(names) + np.searchsorted(names, y[pair])
-        index = WordIndex(_of_frequent_pairs(seq, allowed, len(names)), LONGEST)
-        rows = [np.column_stack([names[ids], np.zeros((len(ids), LONGEST - ids.shape[1]), np.int64), n]) for ids, n in index.phrases() if ids.shape[1] > 2]
-        return pa.table([pa.array(c) for c in np.concatenate(rows).T], schema=phrase_rows)
-
-    first, second = F.shiftright("pair", 32), F.col("pair").bitwiseAND(F.lit((1 << 32) - 1))
-    known = own.union(frequent.select("shard", first.alias("x"), second.alias("y"), F.lit(True).alias("pair")))
-    long_ones = search(known, longer, ", ".join(f"{c} long" for c in [*columns, "n"])).groupBy(*columns).agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
-    ids = F.filter(F.array(*columns), lambda x: x > 0)
-    phrases = (vocabulary.select(F.array("id").alias("ids"), "f")
-               .union(frequent.groupBy("pair").agg(F.max("f").alias("f")).select(F.array(first, second).alias("ids"), "f"))
-               .union(long_ones.select(ids.alias("ids"), "f")))
+    ranges = int(sequences.agg(F.sum(F.col("size").cast("long"))).first()[0] or 0) // SUMMED + 1
+
+    def search(known: DataFrame, depth: int) -> DataFrame:
+        """Phrases of two words, or of frequent pairs up to ``depth`` words."""
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            if not left.num_rows or not right.num_rows:
+                return BLOCKS.empty_table()
+            seq, names, pairs = _renumbered(left, right)
+            index = WordIndex(seq if depth == 2 else _of_frequent_pairs(seq, pairs, len(names)), depth)
+            return _blocks(left.column("name")[0].as_py(), ((names[ids], n) for ids, n in index.phrases() if depth == 2 or ids.shape[1] > 2), ranges)
+
+        both = sequences.groupBy("name").cogroup(known.groupBy("shard"))
+        return _summed(both.applyInArrow(run, "range int, shard long, words int, n int, data binary"), least)
+
+    pairs = cut(search(own, 2))
+    held = pairs.filter("data IS NOT NULL").select("shard", F.lit(None).cast("long").alias("x"), F.lit(None).cast("long").alias("y"), "n", "data")
+    longer = search(own.union(held), LONGEST)
+    phrases = vocabulary.select(F.array("id").alias("ids"), "f").union(pairs.filter("ids IS NOT NULL").select("ids", "f")).union(longer.filter("ids IS NOT NULL").select("ids", "f"))
     return vocabulary, cut(phrases), totals
 
 

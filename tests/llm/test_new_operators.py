@@ -188,7 +188,7 @@ def test_collocations(spark, monkeypatch, shard):
 
 
 def test_collocations_of_odd_rows(spark, edge, clashing, none):
-    odd = clashing.withColumns({c: F.lit("x") for c in ("shard", "ids", "word", "pair", "f", "n", "id", "name")})
+    odd = clashing.withColumns({c: F.lit("x") for c in ("shard", "ids", "word", "range", "data", "f", "n", "id", "name")})
     want = plain_collocations([(r[2], r[1]) for r in ROWS], 2, 2000)
     for docs in (edge, odd):
         assert {tuple(r) for r in collocations.collocations(docs, 2).collect()} == want
