@@ -19,8 +19,10 @@ from stepfold.llm.text import column, each_text, in_batches
 SAMPLE = 16_000
 #: Of them, one in so many is kept for the thresholds.
 CALIBRATION = 4
+FIGURES = 5  # of a text
 WINDOW = 8  # words
 ORDINARY_BYTES, TOXIC_BYTES = 65_536, 8_192  # of the dictionaries
+BEGINNINGS = (5, 6, 7, 8)  # bytes of words that count as well, as languages build words from stems
 LEAST_EVIDENCE = 20.0  # likelihood ratio statistic of a word of the toxic dictionary
 LEAST_RATIO = 8.0  # how much more often it stands in toxic text
 
@@ -29,11 +31,11 @@ _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 @dataclass(frozen=True)
 class Model:
-    """Both dictionaries, and the weights of a text's figures: bias, largest gain, sum of gains."""
+    """Both dictionaries, and the weights of a text's figures: bias, largest gain, sum of gains, that in proportion to the text, its length."""
 
     ordinary: bytes
     toxic: bytes
-    weights: tuple[float, float, float]
+    weights: tuple[float, ...]
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -50,22 +52,24 @@ def windows(text: bytes) -> Iterator[bytes]:
         yield b" " + b" ".join(words[i:i + WINDOW]) + b" "
 
 
-def gains(texts: pa.Array, ordinary: bytes, toxic: bytes) -> Iterator[tuple[int, int]]:
-    """Of each text, the largest number of bytes that the toxic dictionary saves in a window, and the sum of what it saves."""
+def gains(texts: pa.Array, ordinary: bytes, toxic: bytes) -> Iterator[tuple[int, int, int]]:
+    """Of each text, the largest number of bytes that the toxic dictionary saves in a window, the sum of what it saves, and the number of windows."""
     a, b = _compressor(ordinary), _compressor(toxic)
     for text in each_text(texts):
-        most = total = 0
+        most = total = n = 0
         for window in windows(text):
+            n += 1
             gain = len(a.compress(window)) - len(b.compress(window))
             if gain > 0:
                 total += gain
                 most = max(most, gain)
-        yield most, total
+        yield most, total, n
 
 
-def _figures(most: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """What the weights apply to; an array of three columns."""
-    return np.stack([np.ones(len(most)), np.minimum(most, 16) / 4.0, np.log1p(total)], axis=1)
+def _figures(found: np.ndarray) -> np.ndarray:
+    """What the weights apply to, from rows of ``gains``: an array of FIGURES columns."""
+    most, total, n = found.T
+    return np.stack([np.ones(len(found)), np.minimum(most, 16) / 4.0, np.log1p(total), np.log1p(16.0 * total / np.maximum(n, 1)), np.log1p(n) / 4.0], axis=1)
 
 
 def _fit(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 0.1) -> tuple[float, ...]:
@@ -83,7 +87,7 @@ def _fit(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 0.1) ->
 
 
 def _support(texts: DataFrame) -> DataFrame:
-    """(word, toxic, support): how many different words stand before a word in texts of either kind.
+    """(word, t, o): how many different words stand before a word, or a beginning of words, in texts of either kind.
 
     Copies of a text repeat its pairs of words, so a family of near copies supports its words once.
     """
@@ -94,7 +98,8 @@ def _support(texts: DataFrame) -> DataFrame:
             found: set[tuple[int, bytes, bytes]] = set()
             for toxic, text in zip(column(batch, "toxic").to_pylist(), each_text(column(batch, "text")), strict=True):
                 words = _WORD.findall(text.lower())
-                found.update((toxic, a, b) for a, b in zip([b"", *words], words))
+                for a, b in zip([b"", *words], words):
+                    found.update((toxic, a, b[:n]) for n in (*BEGINNINGS, len(b)) if n <= len(b))
             rows = list(zip(*found, strict=True)) if found else [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
 
@@ -151,16 +156,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(gains(column(batch, "text"), ordinary, toxic))
-            yield pa.RecordBatch.from_arrays([column(batch, "toxic"), pa.array([m for m, _ in found], pa.int64()), pa.array([t for _, t in found], pa.int64())],
-                                             names=["toxic", "most", "total"])
+            found = np.array(list(gains(column(batch, "text"), ordinary, toxic)), np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([column(batch, "toxic"), *map(pa.array, found.T)], names=["toxic", "most", "total", "windows"])
 
-    seen = in_batches(texts.filter(held).select("text", "toxic")).mapInArrow(measure, "toxic int, most long, total long").collect()  # sample / CALIBRATION rows
-    most, total, y = (np.array([r[c] for r in seen], float) for c in ("most", "total", "toxic"))
+    seen = in_batches(texts.filter(held).select("text", "toxic")).mapInArrow(measure, "toxic int, most long, total long, windows long").collect()  # sample / CALIBRATION rows
+    found, y = np.array([tuple(r)[1:] for r in seen], float).reshape(-1, 3), np.array([r["toxic"] for r in seen], float)
     if not len(seen) or y.min() == y.max():
         share = (y.sum() + 1) / (len(y) + 2)
-        return Model(ordinary, ordinary, (math.log(share / (1 - share)), 0.0, 0.0))
-    return Model(ordinary, toxic, _fit(_figures(most, total), y))
+        return Model(ordinary, ordinary, (math.log(share / (1 - share)), *[0.0] * (FIGURES - 1)))
+    return Model(ordinary, toxic, _fit(_figures(found), y))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -173,8 +177,8 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array(list(gains(column(batch, "text"), model.ordinary, model.toxic)), float).reshape(-1, 2)
-            score = 1 / (1 + np.exp(-(_figures(found[:, 0], found[:, 1]) @ np.array(model.weights))))
+            found = np.array(list(gains(column(batch, "text"), model.ordinary, model.toxic)), float).reshape(-1, 3)
+            score = 1 / (1 + np.exp(-(_figures(found) @ np.array(model.weights))))
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32))], schema=schema)
 
     return in_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, score double, predicted int")
