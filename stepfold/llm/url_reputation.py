@@ -21,9 +21,20 @@ def path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def domain(name: Column, labels: int) -> Column:
-    """The last ``labels`` labels of a host."""
-    return F.substring_index(name, ".", -labels)
+#: Public suffixes of two labels, below which others register domains.
+SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "net.au", "org.au", "org.uk")
+
+
+def suffix(name: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
+    """The public suffix of a host: its last two labels if they are one, else the last label."""
+    two = F.substring_index(name, ".", -2)
+    return F.when(two.isin(list(suffixes)), two).otherwise(F.substring_index(name, ".", -1))
+
+
+def domain(name: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
+    """The registered domain of a host: its public suffix and the label before that, if there is one."""
+    two = F.substring_index(name, ".", -2)
+    return F.when(two.isin(list(suffixes)), F.substring_index(name, ".", -3)).otherwise(two)
 
 
 def rule_for(name: Column, where: Column, rules: Sequence[tuple[str, str]]) -> tuple[Column, Column]:
@@ -54,23 +65,25 @@ def reputation(hosts: DataFrame, strength: float = 20.0) -> DataFrame:
     """Posterior mean and deviation of each host's share of bad pages.
 
     ``hosts``: one row per host with ``n`` labelled pages, ``bad`` ones among them (0, 0 where nothing is labelled). The prior of
-    a host is the posterior mean of its registered domain (last two labels), that one's prior the suffix (the last label), and the
+    a host is the posterior mean of its registered domain, that one's prior the public suffix, and the
     suffix's prior the mean of all. An unlabelled host gets its domain's.
     """
-    named = hosts.select("host", domain(F.col("host"), 2).alias("domain"), domain(F.col("host"), 1).alias("suffix"), "n", "bad")
+    named = hosts.select("host", domain(F.col("host")).alias("domain"), suffix(F.col("host")).alias("suffix"), "n", "bad")
     by_domain = named.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     by_suffix = by_domain.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffix = _shrunk(by_suffix, None, "suffix", None, strength)
-    domains = _shrunk(by_domain, suffix, "domain", "suffix", strength)
+    suffixes = _shrunk(by_suffix, None, "suffix", None, strength)
+    domains = _shrunk(by_domain, suffixes, "domain", "suffix", strength)
     return _shrunk(named, domains, "host", "domain", strength)
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]] = (), strength: float = 20.0, z: float = 1.645,
-          most_bad: float = 0.5) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]] = (), strength: float = 20.0, z: float = 1.0,
+          lift: float = 1.0) -> DataFrame:
     """``pages`` with host, path, rule, verdict, and the host's posterior.
 
     ``outcomes``: (page_id, bad) of labelled pages; several for a page all count. A page that no rule fits is blocked if the lower
-    bound of its host's posterior, ``z`` deviations below the mean, exceeds ``most_bad``: only hosts known to be bad are lost.
+    bound of its host's posterior, ``z`` deviations below the mean, exceeds ``lift`` times the share of bad pages among all labelled ones (with one bad
+    and one good page added): hosts that are probably worse than the rest are lost. At 1 deviation, that is five in six, as a
+    normal distribution has it; a beta posterior of ``strength`` pages and more is near one.
     A null url, or one without ``://``, has an empty host and path, which no rule fits, and is judged as the host ``''``.
     Pages are summed by host before anything moves, and the hosts' table is joined back; Spark splits a hot host there.
     """
@@ -78,10 +91,11 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]
     seen = outcomes.groupBy("page_id").agg(F.count("bad").alias("__n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("__bad"))
     keyed = pages.select("page_id", host(F.col("url")).alias("host")).join(seen, "page_id", "left")
     hosts = keyed.groupBy("host").agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("n"), F.coalesce(F.sum("__bad"), F.lit(0)).alias("bad"))
-    known = reputation(hosts, strength).select(F.col("host").alias("__host"), "mean", "sd")
+    overall = hosts.agg(((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("overall"))  # a single row
+    known = reputation(hosts, strength).crossJoin(overall).select(F.col("host").alias("__host"), "mean", "sd", "overall")
     out = pages.select(*own, host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     rule, says = rule_for(F.col("host"), F.col("path"), rules)
-    learned = F.when(F.col("mean") - z * F.col("sd") > most_bad, "block").otherwise("allow")
+    learned = F.when(F.col("mean") - z * F.col("sd") > lift * F.col("overall"), "block").otherwise("allow")
     return (out.join(known, F.col("host") == F.col("__host"), "left")
             .select(*own, "host", "path", rule.alias("rule"), F.coalesce(says, learned).alias("verdict"),
                     F.col("mean").alias("host_mean"), F.col("sd").alias("host_sd")))
@@ -98,7 +112,11 @@ outcomes AS (SELECT page_id, CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 EN
     FROM pages JOIN labels ON doc_id = TRY_CAST(nullif(regexp_extract(url, '/([0-9]+)', 1), '') AS BIGINT)),
 seen AS (SELECT page_id, count(bad) AS n, sum(bad) AS bad FROM outcomes GROUP BY page_id),
 hosts AS (SELECT host, coalesce(sum(n), 0) AS n, coalesce(sum(bad), 0) AS bad FROM split LEFT JOIN seen USING (page_id) GROUP BY host),
-named AS (SELECT host, n, bad, regexp_extract(host, '([^.]*\.)?[^.]*$') AS domain, regexp_extract(host, '[^.]*$') AS suffix FROM hosts),
+named AS (SELECT host, n, bad, CASE WHEN two IN ('ac.uk', 'co.in', 'co.jp', 'co.kr', 'co.nz', 'co.uk', 'co.za', 'com.au', 'com.br', 'com.cn', 'com.mx', 'com.tr',
+        'gov.uk', 'net.au', 'org.au', 'org.uk') THEN regexp_extract(host, '([^.]*\.)?[^.]*\.[^.]*$') ELSE two END AS domain,
+    CASE WHEN two IN ('ac.uk', 'co.in', 'co.jp', 'co.kr', 'co.nz', 'co.uk', 'co.za', 'com.au', 'com.br', 'com.cn', 'com.mx', 'com.tr',
+        'gov.uk', 'net.au', 'org.au', 'org.uk') THEN two ELSE regexp_extract(host, '[^.]*$') END AS suffix
+    FROM (SELECT *, regexp_extract(host, '([^.]*\.)?[^.]*$') AS two FROM hosts)),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM named GROUP BY domain, suffix),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY suffix),
 top AS (SELECT suffix, (bad + 20.0 * p) / (n + 20.0) AS mean FROM suffixes, (SELECT (sum(bad) + 1.0) / (sum(n) + 2.0) AS p FROM suffixes)),
@@ -110,6 +128,6 @@ ruled AS (SELECT s.*, CASE
     WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
     WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM split s)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-    WHEN mean - 1.645 * sqrt(mean * (1 - mean) / (w + 1)) > 0.5 THEN 'block' ELSE 'allow' END AS verdict, mean AS host_mean
+    WHEN mean - 1.0 * sqrt(mean * (1 - mean) / (w + 1)) > (SELECT (sum(bad) + 1.0) / (sum(n) + 2.0) FROM hosts) THEN 'block' ELSE 'allow' END AS verdict, mean AS host_mean
 FROM ruled JOIN low USING (host)
 """

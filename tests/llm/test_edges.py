@@ -194,6 +194,29 @@ def test_urls(spark):
                    ("notexample.com", "/de/1", None, "block"), ("", "", None, "allow"), ("", "", None, "allow"), ("x.org", "/fr/a", "org/fr/", "allow"),
                    ("net", "/", "net/", "block"), ("net", "", None, "allow"), ("u:p@b.net:80", "", None, "allow"), ("b:", "//c/d", None, "allow"), ("\nx.net", "/\n/y", "net/", "block")]
     assert url_reputation.judge(pages.limit(0), bad.limit(0)).isEmpty()
+    # Repeated and null page ids, a very long url: a row each, judged by its host.
+    again = pages.union(pages).union(spark.createDataFrame([(None, "http://notexample.com/de/1"), (None, None), (99, "http://" + "a." * 500_000 + "org/fr/" + "b" * 500_000)], "page_id long, url string")
+                                     .withColumn("host", F.lit("x")).withColumn("rule", F.lit(1)))
+    rows = url_reputation.judge(again, bad, url_reputation.RULES).collect()
+    assert len(rows) == 2 * len(urls) + 3 and {r.verdict for r in rows if r.host == "notexample.com"} == {"block"} and [r.rule for r in rows if r.page_id == 99] == ["org/fr/"]
+
+
+def test_host_verdicts_follow_the_corpus(spark):
+    """A host is blocked where it is probably worse than the rest; its domain and public suffix lend their weight."""
+    groups = {"a.bad.co.uk": (40, 30), "b.bad.co.uk": (0, 0), "good.co.uk": (40, 4), "x.org": (60, 15), "y.org": (4, 2), "one.com": (1, 1)}
+    rows, seen = [], []
+    for host, (n, bad) in groups.items():
+        for k in range(max(1, n)):
+            rows.append((len(rows), f"http://{host}/{k}"))
+            if n:
+                seen.append((len(rows) - 1, int(k < bad)))
+    got = {r.host: r for r in url_reputation.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(seen, "page_id long, bad int")).collect()}
+    p = (52 + 1) / (145 + 2)
+    suffix = (34 + 20 * p) / (80 + 20)
+    domain = (30 + 20 * suffix) / (40 + 20)
+    host = (30 + 20 * domain) / (40 + 20)
+    assert got["a.bad.co.uk"].host_mean == pytest.approx(host) and got["b.bad.co.uk"].host_mean == pytest.approx(domain)
+    assert {h for h, r in got.items() if r.verdict == "block"} == {"a.bad.co.uk", "b.bad.co.uk"}
 
 
 def test_mixing_meets_its_targets(spark):
