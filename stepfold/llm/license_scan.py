@@ -38,6 +38,7 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 PHRASES: tuple[tuple[str, str], ...] = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
 #: Places of prefix words whose surroundings are looked at together, so that a batch full of them stays small.
+LOOSE = 2  # times the words of a template that a line or paragraph may have
 CHUNK = 1 << 14
 
 _WORD = np.zeros(256, bool)
@@ -201,8 +202,8 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, phra
     """License phrases and templates of each text.
 
     Words are runs of ASCII letters and digits and of anything beyond ASCII, in lower case. Phrases: all places where their words
-    follow each other. Templates: a block is a line, a paragraph (lines with words that follow each other), or a stretch of as many words
-    as the template has, across lines and paragraphs. ``blocks`` names each that holds ``percent`` of a template's distinct words, by the
+    follow each other. Templates: a block is a line or a paragraph (lines with words that follow each other) of at most LOOSE times as many words as the
+    template, or a stretch of as many as the template has, across lines and paragraphs. ``blocks`` names each that holds ``percent`` of a template's distinct words, by the
     line of the first of them, with the share; the largest share if several have the same line and label, and a paragraph only if nothing
     in it has its share. A first pass counts, over the whole corpus, the lines with each word of a template; the words of templates, rarest first, give
     the prefixes that the second pass looks for. Templates are a parameter, so the index has a fixed size. score: the largest share, 1
@@ -255,6 +256,8 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, phra
                     continue
                 own, i = place[b:e], int(text[b])
                 for k, share in match(own[own >= 0], len(np.unique(hashes[b:e])), of):
+                    if e - b > LOOSE * of.lengths[k]:
+                        continue
                     # A paragraph is named only where no line or stretch of words in it says as much.
                     if group is line or not any(x == of.labels[k] and begin <= at + top[i] <= end and y >= share for (at, x), y in shares[i].items()):
                         found(b + int(of.bits[k][own].any(axis=1).argmax()), of.labels[k], share)

@@ -15,7 +15,7 @@ def words_of(text):
 
 
 def found(text, percent=90):
-    """label: the largest share of a line, of a paragraph and of any stretch of words as long as the template."""
+    """label: the largest share of a line or paragraph that isn't far longer than the template, and of any stretch of words as long as it."""
     lines = [words_of(x) for x in text.split("\n")]
     blocks, paragraph = list(lines), []
     for x in [*lines, []]:
@@ -26,7 +26,7 @@ def found(text, percent=90):
     whole, out = words_of(text), {}
     for label, template in license_scan.TEMPLATES:
         own, n = set(words_of(template)), len(words_of(template))
-        for block in [*blocks, *(whole[i:i + n] for i in range(len(whole)))]:
+        for block in [*(x for x in blocks if len(x) <= license_scan.LOOSE * n), *(whole[i:i + n] for i in range(len(whole)))]:
             shared = len(own & set(block))
             if 100 * shared >= percent * len(own):
                 out[label] = max(out.get(label, 0.0), shared / len(own))
@@ -82,3 +82,15 @@ def test_templates_of_more_than_64_words():
     hashes, _, text, first, _ = license_scan.scan_words(texts)
     got = list(license_scan.windows(license_scan._places(hashes, words), text, first, of))
     assert sorted(got) == [(5, "long", 1.0), (157, "long", 149 / 150)]
+
+
+def test_scattered_words_are_no_license(spark):
+    """A line of 20,000 words that holds all words of a template far apart says nothing."""
+    r, texts = random.Random(5), []
+    for _, template in license_scan.TEMPLATES:
+        words = [f"w{r.randrange(5000)}" for _ in range(20_000)]
+        for k, word in enumerate(words_of(template)):
+            words[100 + k * 150 % 19_000] = word
+        texts.append(" ".join(words))
+    got = scanned(spark, texts)
+    assert all(not row.blocks and row.labels == row.base_labels for row in got.values())
