@@ -81,9 +81,8 @@ def segments(transitions: DataFrame, meta: DataFrame, window: tuple[int, int] |
     ``prev_state`` for users that draw the edge between two segments.
     """
     scanned = scan(transitions, SIGNAL_KEY, "cycle", [*PREV, next_("cycle", "end")], spans)
-    # Header rows: one per trace, joined on trace_id like any other table.
-    ends = meta.select("trace_id", F.col("end").alias("__trace_end"))
-    out = spread_join(scanned, ends, ["trace_id"], "cycle")
+    # Header rows, one per trace: Spark broadcasts a small table of them, and splits a hot trace where it is large.
+    out = scanned.join(meta.select("trace_id", F.col("end").alias("__trace_end")), "trace_id")
     out = out.withColumn("end", F.least(F.coalesce("end", "__trace_end"), "__trace_end")).drop("__trace_end")
     if window is not None:
         lo, hi = window

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stepfold.functions.bits import Bits, mask
 from stepfold.functions.names import strip_range
-from stepfold.operators.blocks import SPANS, spread_join
+from stepfold.operators.blocks import SPANS
 from stepfold.operators.joins import merge_states
 from stepfold.schema import HIGH_Z, KNOWN, state
 
@@ -29,7 +29,8 @@ def derive_signal(transitions: DataFrame, deps: DataFrame, meta: DataFrame, widt
     starts = groups.join(meta.select("trace_id", F.col("start").alias("cycle")), "trace_id")
     merged = merge_states(transitions, deps, slots, starts, spans)
 
-    at_start = spread_join(merged, meta.select("trace_id", F.col("start").alias("__start")), ["trace_id"], "cycle")
+    # Header rows, one per trace: Spark broadcasts a small table of them, and splits a hot trace where it is large.
+    at_start = merged.join(meta.select("trace_id", F.col("start").alias("__start")), "trace_id")
     rows = at_start.where(F.col("cycle") >= F.col("__start"))
 
     def evaluate(side: str) -> tuple[Column, Column]:

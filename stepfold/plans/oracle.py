@@ -727,6 +727,7 @@ QUALIFY NOT (lag(state) OVER ({by}) IS NULL AND state = 0 AND raw_bits = 0)""")
   FROM ruled r)"""], """SELECT trace_id, storage_id, cycle, seq, coalesce(rule, 'late') AS reason FROM timely
 WHERE rule IS NOT NULL OR cycle <= last""")
     q["stream_tiles"] = sql(SMALL, f"""SELECT * FROM {tiled('small_t')}""")
+    q["stream_tiles_rewritten"] = q["stream_tiles"]
     q["stream_lod"] = sql(SMALL, """SELECT trace_id, signal_id, cycle // 32000 * 32000 AS window_start, max(cycle) AS cycle,
   arg_max(raw_bits, cycle) AS raw_bits, arg_max(state, cycle) AS state FROM small_t GROUP BY ALL""")
     q["stream_lod_levels"] = sql(SMALL, """SELECT trace_id, signal_id, level::INTEGER AS level, bucket, cycle // bucket * bucket AS window_start, max(cycle) AS cycle,

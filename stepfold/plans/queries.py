@@ -15,7 +15,7 @@ from stepfold.plans import fixtures as fx
 from stepfold.plans.lineage import cut, scratch
 from stepfold.schema import HIGH_Z, KNOWN, SAMPLES, TRANSITIONS, state
 from stepfold.sources import json_trace, store, synthetic, tiles
-from stepfold.streaming import ingest, sinks
+from stepfold.streaming import compaction, ingest, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -39,13 +39,17 @@ def _raw(spark: SparkSession, d: str) -> DataFrame:
 _STORED: dict[tuple[str, str, str], str] = {}
 
 
-def _stored(spark: SparkSession, d: str, name: str, write: Callable[[str], None]) -> DataFrame:
+def _ingested_once(spark: SparkSession, d: str, name: str, write: Callable[[str], None]) -> str:
     key = (spark.sparkContext.applicationId, d, name)
     if key not in _STORED:
         path = scratch(spark, name)
         write(path)
         _STORED[key] = path
-    return spark.read.parquet(_STORED[key])
+    return _STORED[key]
+
+
+def _stored(spark: SparkSession, d: str, name: str, write: Callable[[str], None]) -> DataFrame:
+    return spark.read.parquet(_ingested_once(spark, d, name, write))
 
 
 def forget_stored() -> None:
@@ -62,6 +66,11 @@ def _trace(spark: SparkSession, d: str, name: str, raw: Callable[[], DataFrame])
     return _stored(spark, d, name, write).select(*TRANSITIONS.names)
 
 
+def _meta(spark: SparkSession, d: str) -> DataFrame:
+    """The header, which is a table of its own."""
+    return _stored(spark, d, "meta", lambda path: fx.meta(_raw(spark, d)).write.parquet(path))
+
+
 def _full(spark: SparkSession, d: str) -> DataFrame:
     """16-bit trace."""
     return _trace(spark, d, "full", lambda: _raw(spark, d))
@@ -96,6 +105,11 @@ def _pyramid(spark: SparkSession, d: str) -> DataFrame:
     return _stored(spark, d, "pyramid", lambda path: overview.lod_pyramid(_full(spark, d)).write.parquet(path))
 
 
+def _ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Where the levels of the pyramid are usable, stored beside it."""
+    return _stored(spark, d, "ranges", lambda path: overview.lod_ranges(_pyramid(spark, d)).write.parquet(path))
+
+
 def _plain_paths(spark: SparkSession, d: str) -> DataFrame:
     return _stored(spark, d, "paths", lambda path: tree.node_paths(fx.nodes(spark, d)).write.parquet(path))
 
@@ -129,14 +143,14 @@ def change_times(spark: SparkSession, d: str) -> DataFrame:
 @query
 def segments(spark: SparkSession, d: str) -> DataFrame:
     raw = _raw(spark, d)
-    return changes.segments(_small(spark, d), fx.meta(raw)).select(
+    return changes.segments(_small(spark, d), _meta(spark, d)).select(
         "trace_id", "signal_id", "start", "end", "raw_bits", "state")
 
 
 @query
 def segments_in_view(spark: SparkSession, d: str) -> DataFrame:
     raw = _raw(spark, d)
-    return changes.segments(_small(spark, d), fx.meta(raw), WINDOW).select(
+    return changes.segments(_small(spark, d), _meta(spark, d), WINDOW).select(
         "trace_id", "signal_id", "start", "end", "raw_bits", "state")
 
 
@@ -214,7 +228,7 @@ def tiles_for(spark: SparkSession, d: str) -> DataFrame:
 def clip_regions(spark: SparkSession, d: str) -> DataFrame:
     """Each Z interval of a signal against the day-long windows that start at every second day."""
     raw = _raw(spark, d)
-    z = changes.segments(_full(spark, d), fx.meta(raw)).where(F.col("state") == HIGH_Z)
+    z = changes.segments(_full(spark, d), _meta(spark, d)).where(F.col("state") == HIGH_Z)
     days = fx.order_probes(spark, d).select(
         "trace_id", (F.call_function("div", F.col("cycle"), F.lit(172_800).cast("bigint")) * 172_800).alias("start")).distinct()
     windows = days.withColumn("end", F.col("start") + 86_400)
@@ -380,13 +394,13 @@ def lod_buckets(spark: SparkSession, d: str) -> DataFrame:
 @query
 def viewport_raster(spark: SparkSession, d: str) -> DataFrame:
     raw = fx.one_bit(_raw(spark, d))
-    return overview.viewport_raster(changes.segments(_flag(spark, d), fx.meta(raw)), *_extent(raw), 1000)
+    return overview.viewport_raster(changes.segments(_flag(spark, d), _meta(spark, d)), *_extent(raw), 1000)
 
 
 @query
 def viewport_raster_zoomed(spark: SparkSession, d: str) -> DataFrame:
     raw = fx.small(_raw(spark, d))
-    return overview.viewport_raster(changes.segments(_small(spark, d), fx.meta(raw)), *WINDOW, 500)
+    return overview.viewport_raster(changes.segments(_small(spark, d), _meta(spark, d)), *WINDOW, 500)
 
 
 @query
@@ -396,7 +410,7 @@ def lod_ranges(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def overview_rows(spark: SparkSession, d: str) -> DataFrame:
-    return overview.overview(_pyramid(spark, d), _full(spark, d), *_extent(_raw(spark, d)), 200)
+    return overview.overview(_pyramid(spark, d), _full(spark, d), *_extent(_raw(spark, d)), 200, _ranges(spark, d))
 
 
 @query
@@ -538,10 +552,13 @@ def load_selected(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _store(spark: SparkSession, d: str) -> store.Store:
-    """The 16-bit trace in a store, recorded in three batches of whole blocks."""
-    path, rows = scratch(spark, "store"), _full(spark, d)
-    for lo, hi in ((0, 3), (3, 7), (7, 1 << 40)):
-        store.append_blocks(rows.where((F.col("cycle") >= lo * SPAN) & (F.col("cycle") < hi * SPAN)), path, SPAN, CHUNK)
+    """The 16-bit trace in a store, recorded once in three batches of whole blocks."""
+    def write(path: str) -> None:
+        for lo, hi in ((0, 3), (3, 7), (7, 1 << 40)):
+            store.append_blocks(rows.where((F.col("cycle") >= lo * SPAN) & (F.col("cycle") < hi * SPAN)), path, SPAN, CHUNK)
+
+    rows = _full(spark, d)
+    path = _ingested_once(spark, d, "store", write)
     opened = store.open_store(spark, path)
     if opened is None:  # a table without events
         return store.Store(rows.limit(0), rows.limit(0), 0, 0, SPAN, CHUNK)
@@ -833,7 +850,7 @@ def derive_signal(spark: SparkSession, d: str) -> DataFrame:
         return u.u_or(left, u.u_lt(a, b))
 
     raw = _raw(spark, d)
-    return derive.derive_signal(_full(spark, d), _pairs(spark, d), fx.meta(raw), [16, 16], expression)
+    return derive.derive_signal(_full(spark, d), _pairs(spark, d), _meta(spark, d), [16, 16], expression)
 
 
 @query
@@ -844,7 +861,7 @@ def derive_wide_signal(spark: SparkSession, d: str) -> DataFrame:
         return u.u_sub(u.u_div(product, u.u_lit(3)), u.u_mod(u.u_inv(b), a))
 
     raw = _raw(spark, d)
-    return derive.derive_signal(_wide(spark, d), _pairs(spark, d), fx.meta(raw), [64, 64], expression)
+    return derive.derive_signal(_wide(spark, d), _pairs(spark, d), _meta(spark, d), [64, 64], expression)
 
 
 # Streaming
@@ -903,10 +920,22 @@ def stream_tiles(spark: SparkSession, d: str) -> DataFrame:
         "trace_id", "signal_id", "cycle", "raw_bits", "state", F.col("time_block").cast("bigint"), F.col("signal_chunk").cast("bigint"))
 
 
+@query
+def stream_tiles_rewritten(spark: SparkSession, d: str) -> DataFrame:
+    """Tiles of a stream whose closed ones are rewritten after every stop."""
+    rows = _small(spark, d).select(*TRANSITIONS.names)
+    source, out, progress = scratch(spark, "changes"), scratch(spark, "tiled"), scratch(spark, "progress")
+    for i in range(4):
+        rows.where(_slice_of(F.col("cycle")) == i).repartition(4).write.mode("append").parquet(source)
+        compaction.stream_appended(ingest.replay(spark, source, TRANSITIONS, 4), out, progress, SPAN, CHUNK).awaitTermination()
+        compaction.rewrite_closed(spark, out, ended=i == 3)
+    return compaction.read_tiles(spark, out)
+
+
 def _windows(spark: SparkSession, d: str, levels: int, base: int) -> DataFrame:
     rows = _small(spark, d).select(*TRANSITIONS.names)
     path = _slices(spark, rows, "changes")
-    sinks.end_marks(rows, fx.meta(_raw(spark, d))).select(*TRANSITIONS.names).repartition(4).write.mode("append").parquet(path)
+    sinks.end_marks(rows, _meta(spark, d)).select(*TRANSITIONS.names).repartition(4).write.mode("append").parquet(path)
     out = scratch(spark, "windows")
     sinks.stream_lod(ingest.replay(spark, path, TRANSITIONS, 4), out, scratch(spark, "progress"), levels, base).awaitTermination()
     return sinks.read_lod(spark, out)

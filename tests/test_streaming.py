@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from stepfold.operators import changes, overview
 from stepfold.plans.lineage import scratch
 from stepfold.schema import SAMPLES, TRANSITIONS
-from stepfold.streaming import ingest, sinks, state
+from stepfold.streaming import compaction, ingest, sinks, state
 from tests import models
 
 ROW = "trace_id string, storage_id bigint, cycle bigint, seq bigint, raw_bits bigint, state tinyint"
@@ -136,3 +136,46 @@ def test_all_levels_of_one_stream(spark, restart):
     assert got == plain_windows(rows, [100, 500, 2500])
     batch = overview.lod_pyramid(spark.createDataFrame([("t", *r) for r in rows], TRANSITIONS), 3, 100, 5)
     assert sorted(map(str, sinks.read_lod(spark, out).collect())) == sorted(map(str, batch.select(*sinks.read_lod(spark, out).columns).collect()))
+
+
+def tiled_rows(spark, path):
+    return sorted(tuple(r)[:5] for r in compaction.read_tiles(spark, path).select(*TRANSITIONS.names).collect())
+
+
+def test_closed_tiles_are_rewritten_while_others_come(spark):
+    """One file for each closed tile, every row once at any time, also late ones; a killed rewrite and a killed batch are repeated."""
+    rng = random.Random(9)
+    rows = sorted({("t", rng.randint(1, 6), rng.randrange(90)) for _ in range(250)}, key=lambda r: r[2])
+    rows = [(*r, rng.randrange(5), 0) for r in rows]
+    source, path, progress = scratch(spark, "in"), scratch(spark, "tiles"), scratch(spark, "progress")
+    sent = []
+
+    def send(part):
+        sent.extend(part)
+        put(spark, source, part, TRANSITIONS)
+        compaction.stream_appended(ingest.replay(spark, source, TRANSITIONS), path, progress, 10, 4).awaitTermination()
+        assert tiled_rows(spark, path) == sorted(sent)
+
+    def files(blocks):
+        held = spark.read.parquet(f"{path}/closed").withColumn("file", F.input_file_name()).where(F.col("time_block").isin(blocks))
+        _, closed = compaction._last_rewrite(spark, path)
+        held = held.join(closed.selectExpr("time_block", "signal_chunk", "held_by AS rewrite"), ["time_block", "signal_chunk", "rewrite"])
+        return [r["n"] for r in held.groupBy("time_block", "signal_chunk").agg(F.count_distinct("file").alias("n")).collect()]
+
+    for k in range(4):
+        send([r for r in rows if k * 12 <= r[2] < k * 12 + 12])
+    before = compaction.read_tiles(spark, path)  # planned before the rewrite
+    assert compaction.rewrite_closed(spark, path) == 8 and compaction.rewrite_closed(spark, path) == 0
+    assert tiled_rows(spark, path) == sorted(sent) == sorted(tuple(r)[:5] for r in before.select(*TRANSITIONS.names).collect())
+    assert files([0, 1, 2, 3]) == [1] * 8
+    send([r for r in rows if 48 <= r[2] < 70] + [("t", 2, 5, 77, 0)])  # one for a tile that is closed
+    assert compaction.rewrite_closed(spark, path) == 2 * 2 + 1 and files(list(range(6))) == [1] * 12
+    assert tiled_rows(spark, path) == sorted(sent)
+    # A rewrite that dies before its log: what it wrote isn't read, and the next one replaces it.
+    spark.createDataFrame([("t", 1, 1, 1, 1)], TRANSITIONS).selectExpr("*", "0L AS time_block", "0L AS signal_chunk").write.partitionBy("time_block", "signal_chunk").parquet(f"{path}/closed/rewrite=2")
+    # So does a batch.
+    spark.createDataFrame([("t", 1, 1, 1, 1)], TRANSITIONS).selectExpr("*", "0L AS time_block", "0L AS signal_chunk").write.partitionBy("time_block", "signal_chunk").parquet(f"{path}/appended/batch=5")
+    assert tiled_rows(spark, path) == sorted(sent)
+    send([r for r in rows if r[2] >= 70])
+    assert compaction.rewrite_closed(spark, path, ended=True) == 2 * 3 and files(list(range(9))) == [1] * 18
+    assert tiled_rows(spark, path) == sorted(sent) == sorted(rows + [("t", 2, 5, 77, 0)])
