@@ -13,7 +13,9 @@ from stepfold.llm.tables import settle
 from stepfold.llm.text import column, hash_spans, in_batches, lowered, mix, raw, words
 
 WIDTH = 5  # words of a token; lines with fewer match by digest only
-BUCKETS = 1 << 16  # of words, when their frequencies are counted: 512 KiB whatever the input
+BUCKETS = 1 << 20  # of tokens, when their frequencies are counted: a table of ranks of 1 MiB whatever the input
+RANGE = 1 << 16  # of them are added up together
+LEAST_MARKS, MOST_MARKS = 20, 28  # of lines whose sets are compared, as powers of two: 32 MiB at most
 SEEN = 1_000_000  # lines that a task remembers, so as to send a repeated line's tokens once
 
 _RANDOM = np.random.Generator(np.random.PCG64(23))
@@ -57,26 +59,35 @@ class Lines:
             out.append(mix(sums[edges[1::2]] - sums[edges[::2]]).view(np.int64))
         return out[0], out[1]
 
+    def _hashed(self, at: np.ndarray) -> np.ndarray:
+        """The tokens that begin at these words."""
+        token = self.hashes[at] * _STEPS[0]
+        for k in range(1, WIDTH):
+            token += self.hashes[at + k] * _STEPS[k]
+        return mix(token)
+
+    def _places(self, take: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the tokens of the lines ``take`` begin, and how many each has."""
+        sizes = np.maximum(self.size[take] - WIDTH + 1, 0)
+        starts = np.append(0, np.cumsum(sizes))
+        return np.arange(starts[-1]) - np.repeat(starts[:-1] - self.first[take], sizes), sizes
+
+    def counts(self) -> np.ndarray:
+        """Tokens of all lines by bucket."""
+        at, _ = self._places(np.arange(len(self.first)))
+        return np.bincount((self._hashed(at) >> np.uint64(44)).astype(np.int64), minlength=BUCKETS)
+
     def tokens(self, rank: np.ndarray, take: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct tokens of the lines ``take`` in their global order, where each line's begin, and how many it has.
 
-        A token is WIDTH words in a row. The order is by the frequency rank of a token's rarest word, then by hash.
+        A token is WIDTH words in a row. The order is by the frequency rank of a token's bucket, then by hash.
         """
-        n = len(self.hashes) - WIDTH + 1
-        if n <= 0 or not len(take):
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        token = self.hashes[:n] * _STEPS[0]
-        word_rank = rank[(self.hashes >> np.uint64(48)).astype(np.int64)]
-        rarity = word_rank[:n].copy()
-        for k in range(1, WIDTH):
-            token += self.hashes[k:k + n] * _STEPS[k]
-            np.minimum(rarity, word_rank[k:k + n], out=rarity)
-        token = mix(token)
-        sizes = self.size[take] - WIDTH + 1
-        starts = np.append(0, np.cumsum(sizes))
-        at = np.arange(starts[-1]) - np.repeat(starts[:-1] - self.first[take], sizes)
-        token, line = token[at], np.repeat(np.arange(len(take), dtype=np.uint64), sizes)
-        packed = (line << np.uint64(40)) | (rarity[at].astype(np.uint64) << np.uint64(32)) | (token >> np.uint64(32))
+        at, sizes = self._places(take)
+        if not len(at):
+            return np.zeros(0, np.uint64), np.zeros(len(take), np.int64), np.zeros(len(take), np.int64)
+        token, line = self._hashed(at), np.repeat(np.arange(len(take), dtype=np.uint64), sizes)
+        rarity = rank[(token >> np.uint64(44)).astype(np.int64)].astype(np.uint64)
+        packed = (line << np.uint64(40)) | (rarity << np.uint64(32)) | (token >> np.uint64(32))
         order = np.argsort(packed)
         token, line = token[order], line[order].astype(np.int64)
         new = np.ones(len(token), bool)
@@ -87,42 +98,42 @@ class Lines:
 
 
 def _record(schema: pa.Schema, columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def _occurrences(docs: DataFrame, shortest: int) -> DataFrame:
-    """A row per line with enough words (doc_id, line, d1, d2), and per task one that holds the words' counts by bucket."""
+def _occurrences(docs: DataFrame) -> DataFrame:
+    """A row per line with a word (doc_id, line, d1, d2), and per task the counts of tokens by bucket (line: the range, counts)."""
     schema = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            lines = Lines(column(batch, "text"), shortest)
-            counts += np.bincount((lines.hashes >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
+            lines = Lines(column(batch, "text"), 1)
+            counts += lines.counts()
             d1, d2 = lines.digests()
             ids = column(batch, "doc_id").take(pa.array(lines.text, pa.int64()))
             yield _record(schema, [ids, lines.line.astype(np.int32), d1, d2, pa.nulls(len(d1), pa.binary())])
-        yield _record(schema, [[None], [None], [None], [None], [counts.tobytes()]])
+        for k in range(0, BUCKETS, RANGE):
+            if (part := counts[k:k + RANGE]).any():
+                yield _record(schema, [[None], [k // RANGE], [None], [None], [pa.compress(part.tobytes(), codec="zstd", asbytes=True)]])
 
     return in_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, line int, d1 long, d2 long, counts binary")
 
 
-def _add_up(rows: DataFrame) -> np.ndarray:
-    """Words of all texts by bucket: tables are added pairwise in tasks, so that few of them, each of a fixed size, reach the driver."""
+def _ranks(rows: DataFrame) -> np.ndarray:
+    """Frequencies of all buckets as ranks from 0 (rarest) to 255. Each range is added up in a task; BUCKETS bytes at most reach the driver."""
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for value in batch.column(0).to_pylist():
-                total += np.frombuffer(value, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counts"])
-
-    tables = rows.filter("counts is not null").select("counts").coalesce(16).mapInArrow(add, "counts binary").collect()
-    return sum((np.frombuffer(r["counts"], np.int64) for r in tables), np.zeros(BUCKETS, np.int64))
-
+            for k, value in zip(column(batch, "line").to_pylist(), column(batch, "counts").to_pylist(), strict=True):
+                total[k] = total.get(k, 0) + np.frombuffer(pa.decompress(value, 8 * RANGE, codec="zstd", asbytes=True), np.int64)
+        ranks = [np.minimum(255, np.log2(v + 1.0) * 6).astype(np.uint8).tobytes() for v in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(ranks, pa.binary())], names=["line", "counts"])
 
-def _ranks(counts: np.ndarray) -> np.ndarray:
-    """Frequencies as ranks from 0 (rarest) to 255."""
-    return np.minimum(255, np.log2(counts + 1.0) * 6).astype(np.uint8)
+    out = np.zeros(BUCKETS, np.uint8)
+    for r in rows.filter("counts IS NOT NULL").select("line", "counts").repartition(BUCKETS // RANGE, "line").mapInArrow(add, "line int, counts binary").collect():
+        out[r["line"] * RANGE:(r["line"] + 1) * RANGE] = np.frombuffer(r["counts"], np.uint8)
+    return out
 
 
 def _prefixes(docs: DataFrame, rank: np.ndarray, percent: int) -> DataFrame:
@@ -136,15 +147,18 @@ def _prefixes(docs: DataFrame, rank: np.ndarray, percent: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(rank)  # BUCKETS bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             lines = Lines(column(batch, "text"))
-            d1, _ = lines.digests()
-            _, one = np.unique(d1, return_index=True)
-            take = np.array([i for i, d in zip(one.tolist(), d1[one].tolist(), strict=True) if d not in seen], np.int64)
-            if len(seen) + len(take) > SEEN:
+            d1, d2 = lines.digests()
+            if len(seen) > SEEN:
                 seen.clear()
-            seen.update(d1[take].tolist())
+            take = []
+            for i, key in enumerate(zip(d1.tolist(), d2.tolist(), strict=True)):
+                if key not in seen:
+                    seen.add(key)
+                    take.append(i)
+            take = np.array(take, np.int64)
             token, begin, count = lines.tokens(shared.value, take)
             length = count - (percent * count + 99) // 100 + 1
             each = np.append(0, np.cumsum(length))
@@ -189,23 +203,83 @@ def _met(prefixes: DataFrame) -> DataFrame:
     return prefixes.repartition("token").sortWithinPartitions("token", "d1").mapInArrow(run, "token long, d1 long, size int, at int")
 
 
+def _place(columns: list[np.ndarray], bits: int) -> np.ndarray:
+    """Where each row of whole numbers stands in a table of 2^bits marks."""
+    out = np.zeros(len(columns[0]), np.uint64)
+    for values in columns:
+        out = mix(out ^ values.astype(np.int64).view(np.uint64))
+    return (out >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _marked(columns: list[np.ndarray], marks: np.ndarray, bits: int) -> np.ndarray:
+    at = _place(columns, bits)
+    return marks[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
+
+
+def _whole(batch: pa.RecordBatch | pa.Table, names: list[str]) -> list[np.ndarray]:
+    return [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
+
+
+def _marks(rows: DataFrame) -> tuple[np.ndarray, int]:
+    """A table of bits in which those of ``rows``, whose columns are whole numbers, are set: 64 bits for each row, from 2^LEAST_MARKS to 2^MOST_MARKS.
+
+    Its parts are made in tasks, each from the rows whose marks it holds; 32 MiB at most reach the driver.
+    """
+    bits = min(MOST_MARKS, max(LEAST_MARKS, (64 * rows.count()).bit_length() - 1))
+    schema = pa.schema([("part", pa.int64()), ("at", pa.int32())])
+    names = rows.columns
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(_place(_whole(batch, names), bits))
+            yield _record(schema, [at >> LEAST_MARKS, (at & ((1 << LEAST_MARKS) - 1)).astype(np.int32)])
+
+    def pack(table: pa.Table) -> pa.Table:
+        part = np.zeros(1 << LEAST_MARKS, bool)
+        part[table.column("at").to_numpy()] = True
+        return pa.table({"part": table.column("part")[:1], "bits": pa.array([np.packbits(part, bitorder="little").tobytes()], pa.binary())})
+
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    size = 1 << (LEAST_MARKS - 3)
+    for r in rows.mapInArrow(place, "part long, at int").groupBy("part").applyInArrow(pack, "part long, bits binary").collect():
+        out[r["part"] * size:(r["part"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
+    return out, bits
+
+
+def _marked_lines(doc_ids: pa.Array, texts: pa.Array, marks: np.ndarray, bits: int) -> pa.Array:
+    """The lines of texts that are marked, each as a text of its own; only these are cut into words."""
+    data, at = raw(texts)
+    ends = np.flatnonzero(data == 0x0A)
+    n = np.bincount(np.searchsorted(at, ends, side="right") - 1, minlength=len(at) - 1) + 1  # lines of each text
+    begins = np.sort(np.concatenate([at[:-1], ends + 1]), kind="stable")  # an empty text, and what follows a last line end, is a line, too
+    ends = np.sort(np.concatenate([ends, at[1:]]), kind="stable")
+    text = np.repeat(np.arange(len(at) - 1), n)
+    line = np.arange(len(begins)) - np.repeat(np.cumsum(n) - n, n)
+    took = np.flatnonzero(_marked([doc_ids.to_numpy(zero_copy_only=False)[text], line], marks, bits))
+    return pa.array([data[b:e].tobytes() for b, e in zip(begins[took].tolist(), ends[took].tolist(), strict=True)], pa.binary()).cast(pa.string())
+
+
 def _token_sets(docs: DataFrame, chosen: DataFrame, rank: np.ndarray) -> DataFrame:
-    """(d1, own): all tokens of the chosen lines (doc_id, line, d1), from their texts."""
-    schema = pa.schema([("d1", pa.int64()), ("own", pa.list_(pa.int64()))])
-    shared = docs.sparkSession.sparkContext.broadcast(rank)
+    """(d1, d2, own): all tokens of the chosen lines (doc_id, line), worked out where the texts are read.
+
+    The chosen lines are marked in a table of bits, so no text moves. A few others that share a mark are among the result; with far more chosen lines
+    than marks, most lines are.
+    """
+    schema = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("own", pa.list_(pa.int64()))])
+    marks, bits = _marks(chosen)
+    shared = docs.sparkSession.sparkContext.broadcast((rank, marks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank, marks = shared.value
         for batch in batches:
-            lines = Lines(column(batch, "text"))
-            wanted = [set(x) for x in column(batch, "wanted").to_pylist()]
-            take = np.array([i for i, (t, n) in enumerate(zip(lines.text.tolist(), lines.line.tolist(), strict=True)) if n in wanted[t]], np.int64)
-            token, begin, count = lines.tokens(shared.value, take)
-            token = token.view(np.int64)
-            yield _record(schema, [lines.digests()[0][take], [token[b:b + n] for b, n in zip(begin.tolist(), count.tolist(), strict=True)]])
+            lines = Lines(_marked_lines(column(batch, "doc_id"), column(batch, "text"), marks, bits))
+            take = np.arange(len(lines.first))
+            token, begin, count = lines.tokens(rank, take)
+            d1, d2 = lines.digests()
+            own = pa.ListArray.from_arrays(pa.array(np.append(begin, len(token)).astype(np.int32)), pa.array(token.view(np.int64)))
+            yield _record(schema, [d1, d2, own])
 
-    per_doc = chosen.groupBy("doc_id").agg(F.collect_set("line").alias("wanted"))
-    texts = docs.select("doc_id", "text").join(per_doc.hint("merge"), "doc_id")
-    return in_batches(texts).mapInArrow(run, "d1 long, own array<bigint>")
+    return in_batches(docs.select("doc_id", "text")).mapInArrow(run, "d1 long, d2 long, own array<bigint>")
 
 
 def _enough(percent: int):
@@ -217,58 +291,76 @@ def _enough(percent: int):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    first = pairs.join(sets.select(F.col("d1"), F.col("own").alias("__a")), "d1")
-    both = first.join(sets.select(F.col("d1").alias("other"), F.col("own").alias("__b")), "other")
-    shared = F.size(F.array_intersect("__a", "__b"))
-    return both.filter(100 * shared >= percent * (F.size("__a") + F.size("__b") - shared)).select("d1", "other")
+    """The pairs (d1, d2, other, other_d2) whose sets are similar; pairs come by first digests, and all lines that have one are compared.
+
+    Only the sets that the pairs name, by marks, move to them.
+    """
+    marks, bits = _marks(pairs.select("d1").union(pairs.select("other")))
+    shared = pairs.sparkSession.sparkContext.broadcast(marks)
 
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_marked(_whole(batch, ["d1"]), shared.value, bits)))
+
+    needed = in_batches(sets).mapInArrow(named, "d1 long, d2 long, own array<bigint>")
+    first = pairs.join(needed.select("d1", "d2", F.col("own").alias("__a")), "d1")
+    both = first.join(needed.select(F.col("d1").alias("other"), F.col("d2").alias("other_d2"), F.col("own").alias("__b")), "other")
+    common = F.size(F.array_intersect("__a", "__b"))
+    return both.filter(100 * common >= percent * (F.size("__a") + F.size("__b") - common)).select("d1", "d2", "other", "other_d2")
 
-def later_matches(docs: DataFrame, percent: int = 75, shortest: int = WIDTH) -> DataFrame:
+
+def later_matches(docs: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, line, first_doc, first_line): lines that match an earlier one, and that one. Lines count from 0.
 
     Earlier is by doc_id, then line. A line matches if its words are the same, or if the Jaccard similarity of its tokens (five words
-    in a row) is at least ``percent``, whether or not the earlier line is itself removed. A line of one to four words is a single token, its whole sequence, so it matches
-    equal lines only. Lines of fewer than ``shortest`` words never match; 1 leaves out blank lines alone.
+    in a row) is at least ``percent``, whether or not the earlier line is itself removed. A line of one to four words is a single token, its whole
+    sequence, so it matches equal lines only; blank lines never match.
 
-    Equal lines are one by digest. Each line sends the prefix of its tokens, rarest first. Of the earliest lines that have its
+    Equal lines are one by two digests. Each line sends the prefix of its tokens, rarest first. Of the earliest lines that have its
     prefix tokens, a line is compared with the one that shares most of them, then, if that is not similar, with all earlier
-    lines that pass the length and position filters. Full sets decide. A dense group costs a comparison each, not all its pairs.
+    lines that pass the length and position filters. Full sets decide. Tokens that many lines have stand last in their order, so
+    lines that share a common passage meet only where little else is left of either.
     Rows with a null doc_id are left alone; a repeated doc_id counts as one document with the rows' lines.
     """
-    rows = settle(_occurrences(docs.filter("doc_id is not null"), max(1, shortest)))
-    rank = _ranks(_add_up(rows))
+    docs = docs.filter("doc_id is not null")
+    rows = settle(_occurrences(docs))
+    rank = _ranks(rows)
     occurrence = rows.filter("d1 is not null").drop("counts")
     classes = settle(occurrence.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "line")).alias("first")))
-    met = settle(_met(_prefixes(docs.filter("doc_id is not null"), rank, percent)))
-    firsts = classes.groupBy("d1").agg(F.min("first").alias("first"))
+    met = settle(_met(_prefixes(docs, rank, percent)))
+    # Different lines with one first digest keep together until their sets are compared.
+    firsts = classes.groupBy("d1").agg(F.min("first").alias("first"), F.max("first").alias("last"))
     live = settle(met.join(firsts, "d1"))
-    lines = live.select("d1", "first").distinct()
-    sets = settle(_token_sets(docs, lines.select("first.doc_id", "first.line", "d1"), rank))
+    lines = settle(live.select("d1").distinct().join(classes, "d1").select("first.doc_id", "first.line"))
+    sets = settle(_token_sets(docs, lines, rank))
 
     head = live.groupBy("token").agg(F.min(F.struct("first", "d1", "size", "at")).alias("h"))
-    nearest = live.join(head, "token").filter(F.col("h.first") < F.col("first")).withColumns({"__size": F.col("h.size"), "__at": F.col("h.at")})
+    nearest = live.join(head, "token").filter(F.col("h.first") < F.col("last")).withColumns({"__size": F.col("h.size"), "__at": F.col("h.at")})
     counted = nearest.filter(_enough(percent)).groupBy("d1", F.col("h.d1").alias("other")).agg(F.count("*").alias("n"))
     pairs = settle(counted.groupBy("d1").agg(F.max_by("other", F.struct("n", "other")).alias("other")))
     found = settle(_verified(pairs, sets, percent))
-    left = live.join(found.select("d1").distinct(), "d1", "left_anti")
+    done = found.select(F.col("d1").alias("__done")).distinct()
+    left = live.join(done, (F.col("d1") == F.col("__done")) & (F.col("first") == F.col("last")), "left_anti").drop("first")
     other = live.select("token", F.col("d1").alias("other"), F.col("first").alias("__first"), F.col("size").alias("__size"), F.col("at").alias("__at"))
     low, high = F.least("size", "__size"), F.greatest("size", "__size")
-    shared = left.join(other, "token").filter((F.col("__first") < F.col("first")) & (100 * low >= percent * high)).groupBy("d1", "other").agg(
+    least = F.ceil(F.lit(percent) * (F.col("size") + F.col("__size")) / (100 + percent))  # tokens that similar lines share
+    # Of the first token that two lines share, nothing before it is shared, so enough must be left from it on, in both.
+    rest = F.least(F.col("size") - F.col("at"), F.col("__size") - F.col("__at"))
+    shared = left.join(other, "token").filter((F.col("__first") < F.col("last")) & (100 * low >= percent * high) & (rest >= least)).groupBy("d1", "other").agg(
         F.count("*").alias("n"), F.max("at").alias("at"), F.max("__at").alias("__at"), F.max("size").alias("size"), F.max("__size").alias("__size"))
-    # What comes before the last shared prefix token is in both prefixes, so it is counted; after it no more than the shorter rest is shared.
-    after = F.least(F.col("size") - F.col("at"), F.col("__size") - F.col("__at")) - 1
-    rest = shared.filter(F.col("n") + after >= F.ceil(F.lit(percent) * (F.col("size") + F.col("__size")) / (100 + percent))).select("d1", "other")
-    more = settle(_verified(rest.join(pairs, ["d1", "other"], "left_anti"), sets, percent))
-    similar = (found.union(more).join(firsts.select(F.col("d1").alias("other"), F.col("first").alias("match")), "other")
-               .groupBy("d1").agg(F.min("match").alias("match")))
-    named = classes.join(similar, "d1", "left").select("d1", "d2", F.least("first", F.coalesce("match", "first")).alias("match"))
+    # What they share before the last such token is counted; after it no more than the shorter rest is shared.
+    close = shared.filter(F.col("n") + rest - 1 >= least).select("d1", "other")
+    more = settle(_verified(settle(close.join(pairs, ["d1", "other"], "left_anti")), sets, percent))
+    matches = classes.select(F.col("d1").alias("other"), F.col("d2").alias("other_d2"), F.col("first").alias("match"))
+    similar = found.union(more).join(matches, ["other", "other_d2"]).groupBy("d1", "d2").agg(F.min("match").alias("match"))
+    named = classes.join(similar, ["d1", "d2"], "left").select("d1", "d2", F.least("first", F.coalesce("match", "first")).alias("match"))
     return (occurrence.join(named, ["d1", "d2"]).filter(F.col("match") < F.struct("doc_id", "line"))
             .select("doc_id", "line", F.col("match.doc_id").alias("first_doc"), F.col("match.line").alias("first_line")))
 
 
 def removed_lines(docs: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, n_removed, lines, matches): of each document that loses lines, short ones too, their numbers in order and the earlier lines."""
-    found = later_matches(docs, percent, shortest=1).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("line", "first_doc", "first_line"))).alias("all"))
+    found = later_matches(docs, percent).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("line", "first_doc", "first_line"))).alias("all"))
     return found.select("doc_id", F.size("all").cast("long").alias("n_removed"), F.col("all.line").alias("lines"),
                         F.transform("all", lambda x: F.struct(x["first_doc"].alias("doc_id"), x["first_line"].alias("line"))).alias("matches"))
 

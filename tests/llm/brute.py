@@ -46,8 +46,9 @@ def near_groups(docs: list[tuple[int, str | None]], percent: int = 75) -> dict[i
 
 
 def line_tokens(line: str) -> frozenset:
+    """Five words in a row, or the whole line if it has fewer."""
     words = BLANK.findall(lower(line))
-    return frozenset(tuple(words[i:i + 5]) for i in range(len(words) - 4))
+    return frozenset(tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4)))
 
 
 def later_lines(docs: list[tuple[int, str | None]], percent: int = 75) -> dict[tuple[int, int], tuple[int, int]]:
@@ -56,7 +57,7 @@ def later_lines(docs: list[tuple[int, str | None]], percent: int = 75) -> dict[t
     for i, text in sorted((d for d in docs if d[0] is not None), key=lambda d: d[0]):
         for n, line in enumerate((text or "").split("\n")):
             words = tuple(BLANK.findall(lower(line)))
-            if len(words) >= 5:
+            if words:
                 lines.append(((i, n), words, line_tokens(line)))
     seen: dict = {}
     where: dict = {}
@@ -92,14 +93,3 @@ def license_base(text: str | None) -> tuple[int, int, int | None, int | None, st
                 starts.append(i)
                 labels.add(label)
     return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels))
-
-
-def license_blocks(text: str | None, templates, percent: int = 80) -> set[tuple[int, str]]:
-    found = set()
-    for n, line in enumerate((text or "").split("\n")):
-        words = set(_LICENSE_WORD.findall(lower(line)))
-        for label, template in templates:
-            own = set(_LICENSE_WORD.findall(lower(template)))
-            if 100 * len(own & words) >= percent * len(own):
-                found.add((n, label))
-    return found

@@ -6,26 +6,13 @@ from tests.llm import brute
 from tests.llm.test_queries import SF_DIR
 
 
-def later_lines(docs):
-    """(doc_id, line) of all lines that match an earlier one: similar ones, and equal ones of fewer than five words."""
-    out, seen = set(brute.later_lines(docs)), set()
-    for i, text in sorted((d for d in docs if d[0] is not None), key=lambda d: d[0]):
-        for n, line in enumerate((text or "").split("\n")):
-            words = tuple(brute.BLANK.findall(brute.lower(line)))
-            if 1 <= len(words) < 5:
-                if words in seen:
-                    out.add((i, n))
-                seen.add(words)
-    return out
-
-
 def test_short_lines(spark):
     docs = [(1, "Home\nAll rights reserved.\na b c d e\n\nc d"), (2, "HOME \nNews\n all  rights reserved.\na b c d\n\nd c"), (3, "News\n\n"), (None, "Home"),
             (4, "a b c d\nHome home\nc  d\na b c d e"), (5, "Home\nnew words")]
     frame = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "cast(length(text) as long) AS n_chars")
     got = {r.doc_id: list(zip(r.lines, ((m.doc_id, m.line) for m in r.matches))) for r in line_dedup.removed_lines(frame).collect()}
     assert got == {2: [(0, (1, 0)), (2, (1, 1))], 3: [(0, (2, 1))], 4: [(0, (2, 3)), (2, (1, 4)), (3, (1, 2))], 5: [(0, (1, 0))]}
-    assert {(i, n) for i, lines in got.items() for n, _ in lines} == later_lines(docs)
+    assert {(i, n) for i, lines in got.items() for n, _ in lines} == brute.later_lines(docs).keys()
     kept = {r.doc_id: (r.text, r.n_chars) for r in line_dedup.deduplicated(frame).collect()}
     assert kept == {1: (docs[0][1], len(docs[0][1])), 2: ("News\na b c d\n\nd c", 17), None: ("Home", 4), 4: ("Home home", 9), 5: ("new words", 9)}
 
@@ -33,4 +20,4 @@ def test_short_lines(spark):
 def test_query_takes_short_lines(spark):
     texts = [(r.doc_id, r.text) for r in table(spark, SF_DIR, "documents").collect()]
     got = {(r.doc_id, n) for r in REGISTRY["op9_line_dedup"](spark, SF_DIR).collect() for n in r.lines or ()}
-    assert got == later_lines(texts)
+    assert got == brute.later_lines(texts).keys()
