@@ -2,7 +2,7 @@
 
 The last value of each signal is Spark's keyed state, committed with the query's checkpoint: a batch that is killed is repeated from the
 same state, and the sink's log shows each batch once. Rows that can be judged by themselves are, before they move; all others go to their
-signal's state. A batch brings the rows of a signal into one task, so its size bounds that task; limit it with the source's rate.
+signal's state. A batch brings the rows of 256 signals with neighbouring ids into one call, so its size bounds that call; limit it with the source's rate.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from stepfold.operators.checks import known_storages, update_rules
 from stepfold.schema import SAMPLES
-from stepfold.streaming.state import ADDED, REMOVED, LastValues, keyed_state
+from stepfold.streaming.state import ADDED, REMOVED, SHARED_BITS, LastValues, keyed_state
 
 KEY = ["trace_id", "storage_id"]
 #: Updates and the events in the life of their signals.
@@ -49,7 +49,7 @@ def judged(updates: DataFrame, signals: DataFrame | None = None, clocks: DataFra
     """Changes (``reason`` null, no ``seq``) and refused rows of a stream of updates.
 
     Refused are, with the first reason that holds: rows with a null (incomplete), those that break the layout rules if ``signals`` and
-    ``clocks`` are given, those before their signal's declared ``since_cycle`` (not_added), and what ``judge_updates`` refuses.
+    ``clocks`` are given, those before their signal's declared ``since_cycle`` (not_added), and what ``judge_signals`` refuses.
     """
     rows = updates if "event" in updates.columns else updates.withColumn("event", F.lit(None).cast("string"))
     named = ["trace_id", "storage_id", "cycle", "seq", "raw_bits", "state"]
@@ -71,7 +71,7 @@ def judged(updates: DataFrame, signals: DataFrame | None = None, clocks: DataFra
     kinds = {f.name: f.dataType for f in SAMPLES}
     filled = [F.coalesce(c, F.lit("" if c == "trace_id" else 0).cast(kinds[c])).alias(c) for c in named]
     rows = rows.select(*filled, "event", "missing", F.coalesce("initial_bits", F.lit(0).cast("bigint")).alias("initial_bits"), reason.alias("reason"))
-    out = rows.groupBy(*KEY).transformWithStateInPandas(LastValues(declared), _OUT, outputMode="Append", timeMode="None")
+    out = rows.withColumn("shared", F.shiftright("storage_id", SHARED_BITS)).groupBy("trace_id", "shared").transformWithStateInPandas(LastValues(declared), _OUT, outputMode="Append", timeMode="None")
     restored = [F.when(F.col("missing").bitwiseAND(1 << i) == 0, F.col(c)).alias(c) for i, c in enumerate(named)]
     return out.select(*restored, "reason")
 

@@ -14,7 +14,7 @@ from stepfold.operators.overview import BASE_CYCLES, LEVEL_RATIO, LEVELS
 from stepfold.schema import SIGNAL_KEY, TILE_CYCLES, TILE_SIGNALS, TRANSITIONS
 from stepfold.sources.tiles import with_tiles
 from stepfold.streaming.ingest import ALL_THERE_IS
-from stepfold.streaming.state import OpenWindows, keyed_state
+from stepfold.streaming.state import SHARED_BITS, OpenWindows, keyed_state
 
 
 def stream_tiles(changes: DataFrame, path: str, checkpoint: str, signal: str = "signal_id", span: int = TILE_CYCLES,
@@ -63,7 +63,7 @@ def lod_windows(changes: DataFrame, levels: int = LEVELS, base: int = BASE_CYCLE
     rows = changes.withColumns({"missing": missing, "ends": ends, "reason": F.when(reduce(Column.__or__, needed), F.lit("incomplete"))})
     rows = rows.select(*[F.coalesce(f.name, F.lit("").cast("string") if f.name == "trace_id" else zero.cast(f.dataType)).alias(f.name) for f in TRANSITIONS],
                        "missing", "ends", "reason")
-    out = rows.groupBy(*SIGNAL_KEY).transformWithStateInPandas(
+    out = rows.withColumn("shared", F.shiftright("signal_id", SHARED_BITS)).groupBy("trace_id", "shared").transformWithStateInPandas(
         OpenWindows(buckets), "trace_id string, signal_id long, level int, window_start long, cycle long, raw_bits long, state byte, reason string, missing int",
         outputMode="Append", timeMode="None")
     bucket = F.when(F.col("level") >= 0, F.element_at(F.array(*[F.lit(b).cast("bigint") for b in buckets]), F.greatest("level", zero) + 1))

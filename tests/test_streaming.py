@@ -179,3 +179,42 @@ def test_closed_tiles_are_rewritten_while_others_come(spark):
     send([r for r in rows if r[2] >= 70])
     assert compaction.rewrite_closed(spark, path, ended=True) == 2 * 3 and files(list(range(9))) == [1] * 18
     assert tiled_rows(spark, path) == sorted(sent) == sorted(rows + [("t", 2, 5, 77, 0)])
+
+
+def test_neighbouring_signals_share_state(spark):
+    """600 signals are three entries of the state, in both streams, and each is judged by its own last value."""
+    rows = [("t", s, c, s * 10 + c, s % 3 + c, 0) for s in range(600) for c in range(2)]
+    source, out = scratch(spark, "in"), scratch(spark, "out")
+    put(spark, source, rows)
+    query = ingest.stream_changes(ingest.replay(spark, source, SAMPLES), out)
+    query.awaitTermination()
+    assert query.lastProgress.stateOperators[0].numRowsTotal == 3
+    put(spark, source, [("t", 5, 0, 9001, 7, 0), ("t", 6, 2, 9002, 1, 0), ("t", 599, 2, 9003, 9, 0)])
+    run(spark, source, out)
+    got = sorted((r.storage_id, r.cycle, r.raw_bits) for r in ingest.read_changes(spark, out).collect())
+    assert got == sorted([(s, c, s % 3 + c) for s in range(600) for c in range(2) if s % 3 + c] + [(599, 2, 9)])
+    assert [(r.storage_id, r.reason) for r in ingest.read_quarantine(spark, out).collect()] == [(5, "late")]
+    source, out = scratch(spark, "in"), scratch(spark, "out")
+    put(spark, source, [("t", s, c, s, 0) for s in range(600) for c in (0, 150)], TRANSITIONS)
+    query = sinks.stream_lod(ingest.replay(spark, source, TRANSITIONS), out, scratch(spark, "progress"), 1, 100, 5)
+    query.awaitTermination()
+    assert query.lastProgress.stateOperators[0].numRowsTotal == 3
+    assert sorted((r.signal_id, r.cycle) for r in sinks.read_lod(spark, out).collect()) == [(s, 0) for s in range(600)]
+
+
+@pytest.mark.parametrize("declared", [False, True])
+def test_signals_together_as_one_by_one(declared):
+    """Some signals in one call give what each gives alone, over several batches."""
+    rng = random.Random(11)
+    together, alone = state.held(None), {}
+    for batch in range(4):
+        rows = [(s, rng.randrange(batch * 10, batch * 10 + 15), i, rng.randrange(3), rng.choice([0, 0, 1]), rng.choice([None] * 5 + ["added", "removed"]), s % 2, rng.choice([None] * 6 + ["incomplete"]))
+                for i, s in enumerate(rng.choices(range(6), k=60))]
+        whole = frame(*[r[1:] for r in rows]).assign(storage_id=[r[0] for r in rows])
+        out, together = state.judge_signals(whole, together, declared)
+        want = []
+        for s in sorted({r[0] for r in rows}):
+            part, alone[s] = state.judge_updates(whole[whole["storage_id"] == s].drop(columns="storage_id"), alone.get(s), declared)
+            want += [(s, r.cycle, r.seq, r.raw_bits, r.state, r.reason) for r in part.itertuples()]
+        assert sorted(map(str, want)) == sorted(str((r.storage_id, r.cycle, r.seq, r.raw_bits, r.state, r.reason)) for r in out.itertuples())
+        assert {s: x for s, x in alone.items() if x} == {int(r[0]): tuple(x.item() for x in r[1:]) for r in zip(*together)}
