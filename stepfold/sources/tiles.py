@@ -11,6 +11,9 @@ from stepfold.functions.rounding import floor_div
 from stepfold.operators.blocks import SPANS, scan, prev
 from stepfold.schema import SIGNAL_KEY, TILE_CYCLES, TILE_SIGNALS
 
+#: For writes that count only once they are logged: each task moves its files into place, instead of the driver all of them.
+TASKS_COMMIT = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
+
 
 def time_block(cycle: Column, span: int = TILE_CYCLES) -> Column:
     return floor_div(cycle, span)

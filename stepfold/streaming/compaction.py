@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stepfold.schema import TILE_CYCLES, TILE_SIGNALS, TRANSITIONS
-from stepfold.sources.tiles import with_tiles
+from stepfold.sources.tiles import TASKS_COMMIT, with_tiles
 from stepfold.streaming.ingest import ALL_THERE_IS
 
 TILE = ["time_block", "signal_chunk"]
@@ -38,9 +38,12 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def _write_tiles(rows: DataFrame, path: str) -> None:
-    """One file for each tile, sorted by signal and cycle; what stood there before is replaced."""
+    """One file for each tile, sorted by signal and cycle; what stood there before is replaced.
+
+    Tasks put their own files into place: nobody reads them before the log, so the driver need not move each one at the end.
+    """
     (rows.repartition(*TILE).sortWithinPartitions(*TILE, "signal_id", "cycle").write.mode("overwrite")
-     .option("compression", "zstd").partitionBy(*TILE).parquet(path))
+     .option("compression", "zstd").options(**TASKS_COMMIT).partitionBy(*TILE).parquet(path))
 
 
 def stream_appended(changes: DataFrame, path: str, checkpoint: str, span: int = TILE_CYCLES, chunk: int = TILE_SIGNALS,
@@ -100,7 +103,9 @@ def rewrite_closed(spark: SparkSession, path: str, ended: bool = False) -> int:
     touched = tiles.join(known, TILE, "left").where(F.col("before").isNull() | (F.col("upto") > F.col("before"))).select(*TILE, "upto").cache()
     n = touched.count()
     if n:
-        whole = read_tiles(spark, path).join(touched.select(*TILE), TILE, "left_semi")
+        # Named, the blocks are a predicate on partitions: files of other blocks are not opened.
+        blocks = [r["time_block"] for r in touched.select("time_block").distinct().collect()]
+        whole = read_tiles(spark, path).where(F.col("time_block").isin(blocks)).join(touched.select(*TILE), TILE, "left_semi")
         _write_tiles(whole, f"{path}/closed/rewrite={number + 1}")
         new = touched.withColumn("held_by", F.lit(number + 1).cast("long")).select(*TILE, "held_by", "upto")
         kept = closed.join(touched.select(*TILE), TILE, "left_anti").select(*TILE, "held_by", "upto")

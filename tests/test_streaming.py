@@ -1,6 +1,7 @@
 """Streams give the batch result, set late and bad rows aside without losing any, and survive a restart."""
 
 import random
+from pathlib import Path
 
 import pandas as pd
 import pytest
@@ -218,3 +219,19 @@ def test_signals_together_as_one_by_one(declared):
             want += [(s, r.cycle, r.seq, r.raw_bits, r.state, r.reason) for r in part.itertuples()]
         assert sorted(map(str, want)) == sorted(str((r.storage_id, r.cycle, r.seq, r.raw_bits, r.state, r.reason)) for r in out.itertuples())
         assert {s: x for s, x in alone.items() if x} == {int(r[0]): tuple(x.item() for x in r[1:]) for r in zip(*together)}
+
+
+def test_rewrite_reads_the_blocks_it_rewrites(spark):
+    """Tiles that are closed and have no new rows are not opened by the next rewrite."""
+    source, path, progress = scratch(spark, "in"), scratch(spark, "tiles"), scratch(spark, "progress")
+    for k in range(3):
+        put(spark, source, [("t", s, c, c, 0) for s in (1, 2) for c in range(k * 20, k * 20 + 20)], TRANSITIONS)
+        compaction.stream_appended(ingest.replay(spark, source, TRANSITIONS), path, progress, 10, 4).awaitTermination()
+        assert compaction.rewrite_closed(spark, path) == (1 if k == 0 else 2)
+        if k == 0:
+            (file,) = Path(path, "closed/rewrite=0/time_block=0/signal_chunk=0").glob("*.parquet")
+            whole = file.read_bytes()
+            file.write_bytes(b"unreadable" * 20)
+            file.with_name(f".{file.name}.crc").unlink(missing_ok=True)
+    file.write_bytes(whole)
+    assert tiled_rows(spark, path) == sorted(("t", s, c, c, 0) for s in (1, 2) for c in range(60))
