@@ -20,6 +20,7 @@ TREES = 12  # a pair of similarity 0.75 shares no root branch with probability 0
 NODE = 4096  # members of a node that are compared exhaustively
 BRANCHES = 2  # paths by which a larger node is split: a pair of similarity 0.75 stays together with probability 0.94 per level and tree
 DEPTH = 4
+FEW = 16  # candidates that a member of a node sends as pairs in the second pass; with more, its full set comes to the node
 #: Agreeing bytes of a candidate in either pass: at similarity 0.75, fewer have a probability of about 1e-6.
 LEAST, LEAST_FINE = 32, 337
 
@@ -136,21 +137,32 @@ def _all(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _unlike(label: np.ndarray, marks: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Each member outside a node's largest component, with the candidates of other labels and their agreement; every pair once."""
+    names, place, size = np.unique(label, return_inverse=True, return_counts=True)
+    main = place == size.argmax()  # pairs of its members need no comparison
+    for i in np.flatnonzero(~main).tolist():
+        other = np.flatnonzero((main | (np.arange(len(label)) < i)) & (label != label[i]))
+        same = np.concatenate([np.count_nonzero(marks[other[j:j + 4096]] == marks[i], axis=1) for j in range(0, max(1, len(other)), 4096)])
+        yield i, other[same >= least], same[same >= least]
+
+
 def _compare(forest: bool, width: int, least: int):
-    """Candidates of each node. ``forest``: each member's nearest earlier and nearest later one; else all that differ in label."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("agree", pa.int32())])
+    """Candidates of each node. ``forest``: each member's nearest earlier and nearest later one; else all that differ in label.
 
-    def node(rep: np.ndarray, label: np.ndarray, marks: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    Of the latter, a member with more than FEW names no pairs. It and its candidates are rows (key, a) without b, each once a node, so
+    the rows of a node grow with its members and not with their pairs.
+    """
+    schema = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("agree", pa.int32())])
+
+    def node(rep: np.ndarray, label: np.ndarray, marks: np.ndarray, many: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         n, found = len(rep), []
-        if not forest:  # pairs of members of the largest component need no comparison
-            names, place, size = np.unique(label, return_inverse=True, return_counts=True)
-            main = place == size.argmax()
-            for i in np.flatnonzero(~main).tolist():
-                other = np.flatnonzero((main | (np.arange(n) < i)) & (label != label[i]))
-                for j in range(0, len(other), 4096):
-                    part = other[j:j + 4096]
-                    same = np.count_nonzero(marks[part] == marks[i], axis=1)
-                    part, same = part[same >= least], same[same >= least]
+        if not forest:
+            for i, part, same in _unlike(label, marks, least):
+                if len(part) > FEW:
+                    many[i] = True
+                    many[part] = True
+                else:
                     found.append((np.minimum(rep[part], rep[i]), np.maximum(rep[part], rep[i]), same))
             return found
         later_best, later_at = np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -177,11 +189,14 @@ def _compare(forest: bool, width: int, least: int):
         same = np.count_nonzero(marks[a] == marks[a + 1], axis=1) if len(a) else np.zeros(0, np.int64)
         ok = (same >= least) & (label[a] != label[a + 1]) & (rep[a] != rep[a + 1]) if len(a) else np.zeros(0, bool)
         found = [(rep[a[ok]], rep[a[ok] + 1], same[ok])] if len(a) else []
+        many = np.zeros(len(key), bool)
         for b, n in zip(at[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-            found += node(rep[b:b + n], label[b:b + n], marks[b:b + n])
+            found += node(rep[b:b + n], label[b:b + n], marks[b:b + n], many[b:b + n])
         columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3
         differ = columns[0] != columns[1]
-        return _batch(schema, [columns[0][differ], columns[1][differ], columns[2][differ].astype(np.int32)])
+        pairs = [pa.nulls(int(differ.sum()), pa.int64()), *[pa.array(c[differ], f.type) for c, f in zip(columns, list(schema)[1:], strict=True)]]
+        rest = [pa.array(key[many]), pa.array(rep[many]), pa.nulls(int(many.sum()), pa.int64()), pa.nulls(int(many.sum()), pa.int32())]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(pairs, rest, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last node may go on in the next batch
@@ -203,10 +218,10 @@ def _compare(forest: bool, width: int, least: int):
 
 
 def _candidates(rows: DataFrame, forest: bool) -> DataFrame:
-    """Pairs (a, b, agree), a < b."""
+    """Pairs (a, b, agree), a < b; in the second pass also (key, a) of the members that have many, and of those they have."""
     sent = rows.select("key", "rep", "label", "marks").repartition("key").sortWithinPartitions("key", "rep")
     width, least = (SKETCH, LEAST) if forest else (FINE, LEAST_FINE)
-    return sent.mapInArrow(_compare(forest, width, least), "a long, b long, agree int")
+    return sent.mapInArrow(_compare(forest, width, least), "key long, a long, b long, agree int")
 
 
 def _sets(docs: DataFrame, active: DataFrame) -> DataFrame:
@@ -231,13 +246,49 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * shared >= percent * union).select("a", "b")
 
 
+def _confirm_nodes(many: DataFrame, labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed pairs (a, b) of the nodes (key, a): all candidates of other labels are compared on the full sets that come to the node.
+
+    One pair joins two components, so later pairs of theirs need no comparison and a node gives a forest. Nodes are small (see ``_nodes``).
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def node(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        rep, label = table.column("rep").to_numpy(), table.column("label").to_numpy()
+        marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint8).reshape(-1, FINE)
+        own = table.column("own").chunk(0)
+        values, at = own.values.to_numpy().view(np.uint64), own.offsets.to_numpy()
+        sizes, joined, found = np.diff(at), label.copy(), []
+        for i, part, _ in _unlike(label, marks, LEAST_FINE):
+            mine = values[at[i]:at[i + 1]]
+            for j in range(0, len(part), 256):
+                other = part[j:j + 256]
+                other = other[joined[other] != joined[i]]
+                if not len(other):
+                    continue
+                theirs = np.concatenate([values[at[k]:at[k + 1]] for k in other.tolist()])
+                hit = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+                shared = np.add.reduceat(hit.astype(np.int64), np.append(0, np.cumsum(sizes[other])[:-1]))
+                for k in other[100 * shared >= percent * (len(mine) + sizes[other] - shared)].tolist():
+                    if joined[k] != joined[i]:
+                        found.append(sorted((int(rep[i]), int(rep[k]))))
+                        joined[joined == joined[k]] = joined[i]
+        return pa.table([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], schema=schema)
+
+    members = many.select("key", F.col("a").alias("rep")).distinct()
+    there = members.join(labelled.select("rep", "label", "marks"), "rep").join(sets, "rep")
+    return there.groupBy("key").applyInArrow(node, "a long, b long")
+
+
 def groups(docs: DataFrame, percent: int = 75, node: int = NODE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of ``docs``.
 
     Equal sets are one member, named by its smallest doc_id. Sets are sketched by minwise tokens, TREES trees branch by them (see
     ``_nodes``), and small nodes are compared exhaustively. A first pass takes the nearest earlier candidate of each member, confirms
     it on the full sets and joins components; a second compares what is still in different components, all of it, and
-    confirms again. So a dense group costs a forest, not all its pairs, and no link between components is left out.
+    confirms again: pairs one by one, and members with many candidates in their nodes. So a dense group costs a forest, not a row for
+    each of its pairs, and no link between components is left out.
 
     Null and empty texts, and those without words, are linked with nothing. Repeated rows get the same answer, each. A row with a null
     doc_id has a component only through others with the same set. ``kept``: doc_id = component_id, or there is no component.
@@ -257,8 +308,11 @@ def groups(docs: DataFrame, percent: int = 75, node: int = NODE) -> DataFrame:
     first = components(edges).select(F.col("node").alias("rep"), F.col("component").alias("label"))
 
     labelled = settle(active.join(first, "rep", "left").select("rep", F.coalesce("label", "rep").alias("label"), "sketch", F.col("fine").alias("marks")))
-    open_ = _candidates(_nodes(labelled, node, True), False).select("a", "b").distinct()
+    second = settle(_candidates(_nodes(labelled, node, True), False).select("key", "a", "b").distinct())
+    open_, many = second.filter("b IS NOT NULL").select("a", "b"), second.filter("b IS NULL").select("key", "a")
     more = settle(_confirm(open_.join(nearest, ["a", "b"], "left_anti"), sets, percent))
+    if not many.isEmpty():
+        more = settle(more.union(_confirm_nodes(many, labelled, sets, percent)))
     if not more.isEmpty():
         edges = edges.union(more)
         first = components(edges).select(F.col("node").alias("rep"), F.col("component").alias("label"))
