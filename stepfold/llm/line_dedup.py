@@ -246,8 +246,8 @@ def _marks(rows: DataFrame) -> tuple[np.ndarray, int]:
     return out, bits
 
 
-def _marked_lines(doc_ids: pa.Array, texts: pa.Array, marks: np.ndarray, bits: int) -> pa.Array:
-    """The lines of texts that are marked, each as a text of its own; only these are cut into words."""
+def _marked_lines(doc_ids: pa.Array, texts: pa.Array, marks: np.ndarray, bits: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The lines of texts that are marked, each as a text of its own, with their doc_ids and numbers; only these are cut into words."""
     data, at = raw(texts)
     ends = np.flatnonzero(data == 0x0A)
     n = np.bincount(np.searchsorted(at, ends, side="right") - 1, minlength=len(at) - 1) + 1  # lines of each text
@@ -255,31 +255,34 @@ def _marked_lines(doc_ids: pa.Array, texts: pa.Array, marks: np.ndarray, bits: i
     ends = np.sort(np.concatenate([ends, at[1:]]), kind="stable")
     text = np.repeat(np.arange(len(at) - 1), n)
     line = np.arange(len(begins)) - np.repeat(np.cumsum(n) - n, n)
-    took = np.flatnonzero(_marked([doc_ids.to_numpy(zero_copy_only=False)[text], line], marks, bits))
-    return pa.array([data[b:e].tobytes() for b, e in zip(begins[took].tolist(), ends[took].tolist(), strict=True)], pa.binary()).cast(pa.string())
+    ids = doc_ids.to_numpy(zero_copy_only=False)[text]
+    took = np.flatnonzero(_marked([ids, line], marks, bits))
+    cut = pa.array([data[b:e].tobytes() for b, e in zip(begins[took].tolist(), ends[took].tolist(), strict=True)], pa.binary()).cast(pa.string())
+    return cut, ids[took], line[took]
 
 
 def _token_sets(docs: DataFrame, chosen: DataFrame, rank: np.ndarray) -> DataFrame:
-    """(d1, d2, own): all tokens of the chosen lines (doc_id, line), worked out where the texts are read.
+    """(d1, d2, own, doc_id, line): all tokens of the chosen lines (doc_id, line), worked out where the texts are read.
 
     The chosen lines are marked in a table of bits, so no text moves. A few others that share a mark are among the result; with far more chosen lines
     than marks, most lines are.
     """
-    schema = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("own", pa.list_(pa.int64()))])
+    schema = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("own", pa.list_(pa.int64())), ("doc_id", pa.int64()), ("line", pa.int32())])
     marks, bits = _marks(chosen)
     shared = docs.sparkSession.sparkContext.broadcast((rank, marks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, marks = shared.value
         for batch in batches:
-            lines = Lines(_marked_lines(column(batch, "doc_id"), column(batch, "text"), marks, bits))
+            texts, ids, numbers = _marked_lines(column(batch, "doc_id"), column(batch, "text"), marks, bits)
+            lines = Lines(texts)
             take = np.arange(len(lines.first))
             token, begin, count = lines.tokens(rank, take)
             d1, d2 = lines.digests()
             own = pa.ListArray.from_arrays(pa.array(np.append(begin, len(token)).astype(np.int32)), pa.array(token.view(np.int64)))
-            yield _record(schema, [d1, d2, own])
+            yield _record(schema, [d1, d2, own, ids[lines.text], numbers[lines.text].astype(np.int32)])
 
-    return in_batches(docs.select("doc_id", "text")).mapInArrow(run, "d1 long, d2 long, own array<bigint>")
+    return in_batches(docs.select("doc_id", "text")).mapInArrow(run, "d1 long, d2 long, own array<bigint>, doc_id long, line int")
 
 
 def _enough(percent: int):
@@ -290,23 +293,28 @@ def _enough(percent: int):
     return (100 * low >= percent * high) & (rest + F.least("at", "__at") >= least)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (d1, d2, other, other_d2) whose sets are similar; pairs come by first digests, and all lines that have one are compared.
-
-    Only the sets that the pairs name, by marks, move to them.
-    """
-    marks, bits = _marks(pairs.select("d1").union(pairs.select("other")))
-    shared = pairs.sparkSession.sparkContext.broadcast(marks)
+def _named(rows: DataFrame, names: DataFrame, key: str, there: bool = True) -> DataFrame:
+    """The ``rows`` whose ``key`` is marked by ``names``, a few others with them; not ``there``: those that are surely not among the names."""
+    marks, bits = _marks(names)
+    shared = rows.sparkSession.sparkContext.broadcast(marks)
 
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(_marked(_whole(batch, ["d1"]), shared.value, bits)))
+            yield batch.filter(pa.array(_marked(_whole(batch, [key]), shared.value, bits) == there))
+
+    return in_batches(rows).mapInArrow(run, rows.schema)
 
-    needed = in_batches(sets).mapInArrow(named, "d1 long, d2 long, own array<bigint>")
-    first = pairs.join(needed.select("d1", "d2", F.col("own").alias("__a")), "d1")
-    both = first.join(needed.select(F.col("d1").alias("other"), F.col("d2").alias("other_d2"), F.col("own").alias("__b")), "other")
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(d1, d2, match): the lines (doc_id, line) whose sets are similar; pairs (d1, other) come by first digests, and all lines that have one are compared.
+
+    Only the sets that a side of the pairs names, by marks, move to it.
+    """
+    first = pairs.join(_named(sets, pairs.select("d1"), "d1").select("d1", "d2", F.col("own").alias("__a")), "d1")
+    others = _named(sets, pairs.select("other"), "d1").select(F.col("d1").alias("other"), F.struct("doc_id", "line").alias("match"), F.col("own").alias("__b"))
+    both = first.join(others, "other")
     common = F.size(F.array_intersect("__a", "__b"))
-    return both.filter(100 * common >= percent * (F.size("__a") + F.size("__b") - common)).select("d1", "d2", "other", "other_d2")
+    return both.filter(100 * common >= percent * (F.size("__a") + F.size("__b") - common)).select("d1", "d2", "match")
 
 
 def later_matches(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -331,7 +339,9 @@ def later_matches(docs: DataFrame, percent: int = 75) -> DataFrame:
     # Different lines with one first digest keep together until their sets are compared.
     firsts = classes.groupBy("d1").agg(F.min("first").alias("first"), F.max("first").alias("last"))
     live = settle(met.join(firsts, "d1"))
-    lines = settle(live.select("d1").distinct().join(classes, "d1").select("first.doc_id", "first.line"))
+    # Of lines that share a first digest, hardly ever any, all are asked for.
+    alike = settle(live.filter("first <> last").select("d1").distinct())
+    lines = settle(live.select("first.doc_id", "first.line").union(classes.join(alike, "d1", "left_semi").select("first.doc_id", "first.line")).distinct())
     sets = settle(_token_sets(docs, lines, rank))
 
     head = live.groupBy("token").agg(F.min(F.struct("first", "d1", "size", "at")).alias("h"))
@@ -340,7 +350,12 @@ def later_matches(docs: DataFrame, percent: int = 75) -> DataFrame:
     pairs = settle(counted.groupBy("d1").agg(F.max_by("other", F.struct("n", "other")).alias("other")))
     found = settle(_verified(pairs, sets, percent))
     done = found.select(F.col("d1").alias("__done")).distinct()
-    left = live.join(done, (F.col("d1") == F.col("__done")) & (F.col("first") == F.col("last")), "left_anti").drop("first")
+    # Most lines are surely not done by their marks, and need not move to be told so.
+    open_, maybe = (_named(live.select("d1", "token", "size", "at", F.col("first.doc_id").alias("__doc"), F.col("first.line").alias("__line"), F.col("last.doc_id").alias("__last_doc"),
+                                       F.col("last.line").alias("__last_line")), found.select("d1").distinct(), "d1", there) for there in (False, True))
+    last = F.struct(F.col("__last_doc").alias("doc_id"), F.col("__last_line").alias("line"))
+    one = (F.col("__doc") == F.col("__last_doc")) & (F.col("__line") == F.col("__last_line"))
+    left = open_.union(maybe.join(done, (F.col("d1") == F.col("__done")) & one, "left_anti")).select("d1", "token", "size", "at", last.alias("last"))
     other = live.select("token", F.col("d1").alias("other"), F.col("first").alias("__first"), F.col("size").alias("__size"), F.col("at").alias("__at"))
     low, high = F.least("size", "__size"), F.greatest("size", "__size")
     least = F.ceil(F.lit(percent) * (F.col("size") + F.col("__size")) / (100 + percent))  # tokens that similar lines share
@@ -351,8 +366,8 @@ def later_matches(docs: DataFrame, percent: int = 75) -> DataFrame:
     # What they share before the last such token is counted; after it no more than the shorter rest is shared.
     close = shared.filter(F.col("n") + rest - 1 >= least).select("d1", "other")
     more = settle(_verified(settle(close.join(pairs, ["d1", "other"], "left_anti")), sets, percent))
-    matches = classes.select(F.col("d1").alias("other"), F.col("d2").alias("other_d2"), F.col("first").alias("match"))
-    similar = found.union(more).join(matches, ["other", "other_d2"]).groupBy("d1", "d2").agg(F.min("match").alias("match"))
+    # The first line of a class is among the sets, so the least of them is what the class begins with.
+    similar = found.union(more).groupBy("d1", "d2").agg(F.min("match").alias("match"))
     named = classes.join(similar, ["d1", "d2"], "left").select("d1", "d2", F.least("first", F.coalesce("match", "first")).alias("match"))
     return (occurrence.join(named, ["d1", "d2"]).filter(F.col("match") < F.struct("doc_id", "line"))
             .select("doc_id", "line", F.col("match.doc_id").alias("first_doc"), F.col("match.line").alias("first_line")))
