@@ -16,10 +16,15 @@ WIDTH = 5  # words of a token; lines with fewer match by digest only
 BUCKETS = 1 << 20  # of tokens, when their frequencies are counted: a table of ranks of 1 MiB whatever the input
 RANGE = 1 << 16  # of them are added up together
 LEAST_MARKS, MOST_MARKS = 20, 28  # of lines whose sets are compared, as powers of two: 32 MiB at most
-SEEN = 1_000_000  # lines that a task remembers, so as to send a repeated line's tokens once
+SEEN = 200_000  # lines that a task remembers, so as to send a repeated line's tokens once
+RANGES = 1 << 12  # of tokens, by their first bits: what a prefix row is packed by
+PACKED = 1 << 19  # prefix rows that a task packs at once
+HELD = 1 << 21  # of a range, that a task looks at together
 
 _RANDOM = np.random.Generator(np.random.PCG64(23))
 _STEPS = _RANDOM.integers(1, 2**63, WIDTH, dtype=np.uint64) | np.uint64(1)
+_TO_RANGE = np.uint64(64 - RANGES.bit_length() + 1)
+_ROW = np.dtype([("token", "<u8"), ("d1", "<i8"), ("size", "<i4"), ("at", "<i4")])
 _TURN, _TURN2 = (_RANDOM.integers(1, 2**63, 2, dtype=np.uint64) | np.uint64(1))
 
 
@@ -136,18 +141,31 @@ def _ranks(rows: DataFrame) -> np.ndarray:
     return out
 
 
+def _packed(prefixes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(part, rows): rows of _ROW as one piece for each range of tokens that has some."""
+    for k in range(0, len(prefixes), PACKED):
+        rows = prefixes[k:k + PACKED]
+        rows = rows[np.argsort(rows["token"])]
+        edges = np.append(np.searchsorted(rows["token"], np.arange(RANGES, dtype=np.uint64) << _TO_RANGE), len(rows))
+        parts = np.flatnonzero(np.diff(edges))
+        offsets = (np.append(edges[parts], len(rows)) * _ROW.itemsize).astype(np.int32)
+        pieces = pa.BinaryArray.from_buffers(pa.binary(), len(parts), [None, pa.py_buffer(offsets), pa.py_buffer(rows.tobytes())])
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pieces], names=["part", "rows"])
+
+
 def _prefixes(docs: DataFrame, rank: np.ndarray, percent: int) -> DataFrame:
-    """(token, d1, size, at): the prefix of each line's ordered tokens; similar lines share at least one of theirs.
+    """(part, rows): the prefix of each line's ordered tokens as rows (token, d1, size, at), packed by range of tokens; similar lines share at least one of theirs.
 
     A set of n tokens with a partner of Jaccard ``percent`` shares at least ceil(percent * n) of them, so one of the first
     n - ceil(percent * n) + 1. Up to two tokens, only an equal set is similar enough, and equal lines are found by digest; but
-    sets of them may also be equal without the lines being so, hence they are sent, too.
+    sets of them may also be equal without the lines being so, hence they are sent, too. Most tokens are no other line's,
+    so their rows move in pieces and are never rows of a table.
     """
-    schema = pa.schema([("token", pa.int64()), ("d1", pa.int64()), ("size", pa.int32()), ("at", pa.int32())])
     shared = docs.sparkSession.sparkContext.broadcast(rank)  # BUCKETS bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
+        waiting, n = [], 0
         for batch in batches:
             lines = Lines(column(batch, "text"))
             d1, d2 = lines.digests()
@@ -163,44 +181,78 @@ def _prefixes(docs: DataFrame, rank: np.ndarray, percent: int) -> DataFrame:
             length = count - (percent * count + 99) // 100 + 1
             each = np.append(0, np.cumsum(length))
             inside = np.arange(each[-1]) - np.repeat(each[:-1], length)
-            at = np.repeat(begin, length) + inside
-            yield _record(schema, [token[at].view(np.int64), np.repeat(d1[take], length), np.repeat(count, length).astype(np.int32), inside.astype(np.int32)])
-
-    return in_batches(docs.select("text")).mapInArrow(run, "token long, d1 long, size int, at int")
-
-
-def _met(prefixes: DataFrame) -> DataFrame:
-    """The rows whose token another line has, too, once per token and line."""
+            rows = np.empty(len(inside), _ROW)
+            rows["token"], rows["d1"] = token[np.repeat(begin, length) + inside], np.repeat(d1[take], length)
+            rows["size"], rows["at"] = np.repeat(count, length), inside
+            waiting.append(rows)
+            n += len(rows)
+            if n >= PACKED:
+                yield from _packed(np.concatenate(waiting))
+                waiting, n = [], 0
+        if n:
+            yield from _packed(np.concatenate(waiting))
+
+    return in_batches(docs.select("text")).mapInArrow(run, "part int, rows binary")
+
+
+def _runs(token: np.ndarray) -> np.ndarray:
+    """Which of the ordered tokens stand more than once."""
+    same = token[1:] == token[:-1]
+    return np.append(False, same) | np.append(same, False) if len(token) else np.zeros(0, bool)
+
+
+def _split(rows: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of tokens that two lines have, or that are ``known``, once per token and line; and the other rows."""
+    rows = rows[np.argsort(rows["token"])]
+    several = _runs(rows["token"])
+    if len(known):
+        several |= np.isin(rows["token"], known)
+    some, alone = rows[several], rows[~several]
+    some = some[np.lexsort((some["d1"], some["token"]))]
+    some = some[np.append(True, (some["token"][1:] != some["token"][:-1]) | (some["d1"][1:] != some["d1"][:-1]))[:len(some)]]
+    met = _runs(some["token"])
+    if len(known):
+        met |= np.isin(some["token"], known)
+    return some[met], np.concatenate([alone, some[~met]])
+
+
+def _met(prefixes: DataFrame, most: int = HELD) -> DataFrame:
+    """The rows whose token another line has, too, once per token and line.
+
+    A range of tokens is looked at as a whole. When more than ``most`` of its rows wait, those that have met go on and only their tokens are
+    kept, so rows that wait are of lines that met none; such a token may send a line twice.
+    """
     schema = pa.schema([("token", pa.int64()), ("d1", pa.int64()), ("size", pa.int32()), ("at", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last row, which may be the first of its token
+        none = np.zeros(0, np.uint64)
+        held, n, last, known = [], 0, None, none  # of the last range so far
+
+        def shown(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for k in range(0, len(rows), PACKED):
+                part = rows[k:k + PACKED]
+                yield _record(schema, [np.ascontiguousarray(part["token"]).view(np.int64), *[np.ascontiguousarray(part[c]) for c in ("d1", "size", "at")]])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [column(batch, c).to_numpy() for c in ("token", "d1", "size", "at")]
-            if held is not None:
-                now = [np.append(h, c) for h, c in zip(held[0], now, strict=True)]
-            token, d1 = now[0], now[1]
-            same = np.append(False, token[1:] == token[:-1])
-            new = np.append(True, ~same[1:] | (d1[1:] != d1[:-1]))
-            unlike = same & new  # another line of the same token stands before
-            last = len(token) - 1
-            # All rows of a token with two lines: spread what is known over the run.
-            run_id = np.cumsum(~same)
-            many = np.zeros(run_id[-1] + 1, bool)
-            many[run_id[unlike]] = True
-            if held is not None and held[1]:
-                many[run_id[0]] = True
-            keep = many[run_id] & new
-            if held is not None and held[1]:
-                keep[0] = False  # already sent
-            # Rows of the last token wait as one row if they are all one line; else they are sent.
-            open_ = not many[run_id[last]]
-            yield _record(schema, [c[keep] for c in now])
-            held = ([c[last:] for c in now], not open_)
-
-    return prefixes.repartition("token").sortWithinPartitions("token", "d1").mapInArrow(run, "token long, d1 long, size int, at int")
+            data, at = raw(column(batch, "rows"))
+            rows, parts = np.frombuffer(data, _ROW), column(batch, "part").to_numpy()
+            # Pieces come by range, so all of the ranges before the batch's last one are there.
+            done = int(at[np.searchsorted(parts, parts[-1])]) // _ROW.itemsize
+            if last != parts[-1]:
+                yield from shown(_split(np.concatenate([*held, rows[:done]]), known)[0])
+                held, n, last, known = [], 0, parts[-1], none
+            held.append(rows[done:].copy())
+            n += len(held[-1])
+            if n > most:
+                found, rest = _split(np.concatenate(held), known)
+                yield from shown(found)
+                held, n, known = [rest], len(rest), np.union1d(known, found["token"])
+        if n:
+            yield from shown(_split(np.concatenate(held), known)[0])
+
+    return in_batches(prefixes.repartition("part").sortWithinPartitions("part")).mapInArrow(run, "token long, d1 long, size int, at int")
 
 
 def _place(columns: list[np.ndarray], bits: int) -> np.ndarray:

@@ -32,9 +32,9 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
 
 
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of all texts one after the other and the offsets of each; null counts as empty."""
+    """UTF-8 bytes of all texts one after the other and the offsets of each; null counts as empty. Binary values are taken as they are."""
     texts = texts.fill_null("") if texts.null_count else texts
-    texts = texts.cast(pa.large_string())
+    texts = texts.cast(pa.large_binary() if pa.types.is_binary(texts.type) else pa.large_string())
     _, offsets, data = texts.buffers()
     at = np.frombuffer(offsets, np.int64)[texts.offset:texts.offset + len(texts) + 1]
     if len(at) == 0:
