@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from stepfold.llm.tables import settle
 from stepfold.llm.text import column, hash_spans, in_batches, lowered, mix, raw, words
+from stepfold.llm.tokens import forget
 
 WIDTH = 5  # words of a token; lines with fewer match by digest only
 BUCKETS = 1 << 20  # of tokens, when their frequencies are counted: a table of ranks of 1 MiB whatever the input
@@ -111,6 +112,7 @@ def _occurrences(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         counts = np.zeros(BUCKETS, np.int64)
         for batch in batches:
             lines = Lines(column(batch, "text"), 1)
@@ -164,6 +166,7 @@ def _prefixes(docs: DataFrame, rank: np.ndarray, percent: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(rank)  # BUCKETS bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         seen: set[tuple[int, int]] = set()
         waiting, n = [], 0
         for batch in batches:
@@ -225,6 +228,7 @@ def _met(prefixes: DataFrame, most: int = HELD) -> DataFrame:
     schema = pa.schema([("token", pa.int64()), ("d1", pa.int64()), ("size", pa.int32()), ("at", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         none = np.zeros(0, np.uint64)
         held, n, last, known = [], 0, None, none  # of the last range so far
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from stepfold.llm.components import components
 from stepfold.llm.tables import settle
 from stepfold.llm.text import column, hash_spans, in_batches, lowered, mix, raw, words
+from stepfold.llm.tokens import forget
 
 WIDTH = 5  # words of a shingle
 SKETCH = 64  # minwise tokens of a set that trees branch by
@@ -70,6 +71,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                         ("fine", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             sizes, digests, marks, fine = [], [], [], []
             for own in shingle_sets(column(batch, "text")):

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import sys
 from array import array
 from functools import lru_cache
 
+import pyarrow as pa
+
 #: Words kept by a worker before the older half goes; bounds its memory, not the result.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 250_000
 #: Characters that are their own composed form and whose lower case is one character.
 _SIMPLE = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 #: Pieces that the tokenizer cuts a word of those into, after lower-casing: fixed by its file.
@@ -86,6 +89,14 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def forget() -> None:
+    """Drop the words that this worker keeps for texts of an earlier step, so that they don't lie beside another step's arrays."""
+    if word_encoder.cache_info().currsize:
+        word_encoder.cache_clear()
+        gc.collect()  # an encoder and its words refer to each other
+        pa.default_memory_pool().release_unused()
+
+
 @lru_cache(maxsize=2)
 def piece_model(path: str):
     from sentencepiece import SentencePieceProcessor
