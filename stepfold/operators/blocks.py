@@ -11,6 +11,10 @@ carries what crosses a block edge through a table of one row per non-empty block
 The bounds hold because ``order`` is unique per key. Rows are shuffled by (keys, block) and sorted
 once; the window and the join that brings the carry back both use that partitioning. The edges are
 aggregated from the input with a map-side half, so only one row per block and task moves for them.
+
+Where most keys have few rows, their blocks hold a few rows each and edges cost as much as rows. Then
+``dense_keys`` names the keys with more rows than a block may hold: only these are split, the others
+are one group each. Adaptive execution leaves the edges out where no key is dense.
 """
 
 from __future__ import annotations
@@ -97,27 +101,59 @@ def peak(value: str, out: str) -> Carry:
     return Carry("peak", value, out)
 
 
+def _present(keys: Sequence[str]) -> Column:
+    return reduce(Column.__and__, [F.col(c).isNotNull() for c in keys])
+
+
+def _block_name(order: str) -> str:
+    return f"__{order.strip('_')}_block"
+
+
+def _block(order: str, bits: int) -> Column:
+    return F.coalesce(F.shiftright(F.col(order).cast("bigint"), bits), F.lit(0).cast("bigint"))
+
+
+def dense_keys(rows: DataFrame, keys: Sequence[str], bits: int = SPANS[0]) -> DataFrame:
+    """Keys with more than ``2^bits`` rows: at most one for so many rows, so the table may be broadcast."""
+    counted = rows.where(_present(keys)).groupBy(*keys).agg(F.count("*").alias("__rows"))
+    return counted.where(F.col("__rows") > (1 << bits)).select(*keys)
+
+
+def _place(rows: DataFrame, keys: Sequence[str], order: str, dense: DataFrame, bits: int) -> DataFrame:
+    """Add the block of each row: of ``order`` where the key is dense, else 0."""
+    marked = rows.join(F.broadcast(dense.withColumn("__dense", F.lit(True))), list(keys), "left")
+    block = F.when(F.col("__dense"), _block(order, bits)).otherwise(F.lit(0).cast("bigint"))
+    return marked.withColumn(_block_name(order), block).drop("__dense")
+
+
 def scan(df: DataFrame, keys: Sequence[str], order: str, carries: Sequence[Carry],
-         spans: Sequence[int] = SPANS, fold: Sequence[Column] | None = None) -> DataFrame:
+         spans: Sequence[int] = SPANS, fold: Sequence[Column] | None = None, dense: DataFrame | None = None) -> DataFrame:
     """Add the ``carries`` to ``df``; ``(keys, order)`` must be unique and ``order`` a BIGINT.
 
     ``fold`` makes them unique: aggregates, aliased, for the rows of one (keys, order). They run in
     the block's own partition, after the only shuffle of the rows, and are meant for inputs with a
     small known number of rows per (keys, order); where that number has no bound, aggregate first.
+
+    With ``dense`` (see ``dense_keys``, with ``spans[0]``) only these keys are split into blocks. Rows
+    that ``spread_join`` has placed by the same table stay where they are.
     """
     keys = list(keys)
+    block = _block_name(order)
     if not spans:
         folded = df if fold is None else df.groupBy(*keys, order).agg(*fold)
-        return folded.withColumns({c.out: c.local(keys, order) for c in carries})
-    block = f"__{order.strip('_')}_block"
+        return folded.withColumns({c.out: c.local(keys, order) for c in carries}).drop(block)
     # The optimizer adds "key is not null" to the edges, whose keys are join keys. Stated here, and
     # with a block that cannot be null, both uses of the rows have the same plan and share shuffles.
-    present = reduce(Column.__and__, [F.col(c).isNotNull() for c in keys])
-    blocked = df.where(present).withColumn(block, F.coalesce(F.shiftright(order, spans[0]), F.lit(0).cast("bigint")))
+    blocked = df.where(_present(keys))
+    if dense is None:
+        blocked = blocked.withColumn(block, _block(order, spans[0]))
+    elif block not in df.columns:
+        blocked = _place(blocked, keys, order, dense, spans[0])
     if fold is not None:
         blocked = blocked.repartition(*keys, block).groupBy(*keys, block, order).agg(*fold)
     inner = blocked.withColumns({c.out: c.local([*keys, block], order) for c in carries})
-    edges = blocked.groupBy(*keys, block).agg(*[c.edge(order).alias(f"__e_{c.out}") for c in carries])
+    split = blocked if dense is None else blocked.join(F.broadcast(dense), keys)
+    edges = split.groupBy(*keys, block).agg(*[c.edge(order).alias(f"__e_{c.out}") for c in carries])
     above = scan(edges, keys, block, [Carry(c.kind, f"__e_{c.out}", f"__c_{c.out}") for c in carries],
                  spans[1:])
     above = above.select(*keys, block, *[f"__c_{c.out}" for c in carries])
@@ -127,16 +163,26 @@ def scan(df: DataFrame, keys: Sequence[str], order: str, carries: Sequence[Carry
 
 
 def spread_join(rows: DataFrame, lookup: DataFrame, on: Sequence[str], spread_by: str, how: str = "inner",
-                bits: int = SPANS[0]) -> DataFrame:
+                bits: int = SPANS[0], dense: DataFrame | None = None, keep: bool = False) -> DataFrame:
     """Join many rows to a lookup when one key may hold a large share of the rows.
 
     The distinct (key, block of ``spread_by``) pairs of the rows, found with a map-side half, take what the
     lookup has for their key; the rows then meet them by (key, block). So rows never move by the key
     alone, and the lookup is repeated only for blocks that exist. ``how``: inner, left, left_semi, left_anti.
+
+    With ``dense`` (see ``dense_keys``, with ``bits``) only these keys are spread; ``keep`` leaves the rows'
+    block in place for a ``scan`` along ``spread_by`` with the same keys.
     """
     on = list(on)
-    block = F.coalesce(F.shiftright(F.col(spread_by).cast("bigint"), bits), F.lit(0).cast("bigint"))
-    blocked = rows.withColumn("__part", block)
+    if dense is not None:
+        block, few = _block_name(spread_by), F.broadcast(dense)
+        named = lookup.select(*on) if how in ("left_semi", "left_anti") else lookup
+        blocked = _place(rows, on, spread_by, dense, bits)
+        crowded = blocked.join(few, on).select(*on, block).distinct().join(named, on)
+        placed = named.join(few, on, "left_anti").withColumn(block, F.lit(0).cast("bigint")).unionByName(crowded)
+        joined = blocked.join(placed, [*on, block], how)
+        return joined if keep else joined.drop(block)
+    blocked = rows.withColumn("__part", _block(spread_by, bits))
     pairs = blocked.select(*on, "__part").distinct()
     if how in ("left_semi", "left_anti"):
         placed = pairs.join(lookup.select(*on), on, "left_semi")

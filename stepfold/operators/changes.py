@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepfold.functions.bits import mask_of, slice_bits
-from stepfold.operators.blocks import SPANS, next_, prev, scan, spread_join
+from stepfold.operators.blocks import SPANS, dense_keys, next_, prev, scan, spread_join
 from stepfold.schema import HIGH_Z, KNOWN, SIGNAL_KEY, same, state
 
 PREV = [prev("raw_bits", "prev_bits"), prev("state", "prev_state")]
@@ -42,8 +42,19 @@ def compact_changes(samples: DataFrame, signal: str = "storage_id",
     """Raw updates in any order to changes: last write per cycle, repeats dropped.
 
     The result is the normal form: no row equals its predecessor, even after a same-cycle rewrite.
+    Writes of a cycle collapse before the shuffle where a signal has more samples than a block may
+    hold; other signals move once, as they are, and collapse beside their neighbours.
     """
-    return drop_repeats(last_writes(samples, signal), signal, spans)
+    if not spans:
+        return drop_repeats(last_writes(samples, signal), signal, spans)
+    key = ["trace_id", signal]
+    rows = samples.select(*key, "cycle", "seq", "raw_bits", "state")
+    dense = dense_keys(rows, key, spans[0])
+    last = [F.max_by("raw_bits", "seq").alias("raw_bits"), F.max_by("state", "seq").alias("state")]
+    many = rows.join(F.broadcast(dense), key).groupBy(*key, "cycle").agg(F.max("seq").alias("seq"), *last)
+    few = rows.join(F.broadcast(dense), key, "left_anti")
+    scanned = scan(few.unionByName(many), key, "cycle", PREV, spans, fold=last, dense=dense)
+    return scanned.where(_is_change()).drop("prev_bits", "prev_state")
 
 
 def starting_values(signals: DataFrame) -> DataFrame:

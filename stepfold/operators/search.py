@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepfold.functions.bits import lit64, mask_of
-from stepfold.operators.blocks import SPANS, ahead, held, prev, scan, spread_join, total
+from stepfold.operators.blocks import SPANS, ahead, dense_keys, held, prev, scan, spread_join, total
+from stepfold.plans.lineage import cut
 from stepfold.schema import KNOWN, SIGNAL_KEY
 
 
@@ -58,10 +59,12 @@ def find_value(transitions: DataFrame, signals: DataFrame, text: str,
                spans: Sequence[int] = SPANS) -> DataFrame:
     """Start of every run of samples equal to the target, one hit per run."""
     wanted = searched_signals(signals, text).where("target IS NOT NULL").select(*SIGNAL_KEY, "width", "target")
-    rows = spread_join(transitions, wanted, SIGNAL_KEY, "cycle")
+    # Rows meet their target in the block in which they are scanned, so they move once.
+    dense = cut(dense_keys(transitions, SIGNAL_KEY, spans[0])) if spans else None
+    rows = spread_join(transitions, wanted, SIGNAL_KEY, "cycle", bits=spans[0] if spans else SPANS[0], dense=dense, keep=True)
     hit = (F.col("state") == KNOWN) & (F.col("raw_bits").bitwiseAND(mask_of(F.col("width"))) == F.col("target"))
-    rows = rows.select(*SIGNAL_KEY, "cycle", hit.cast("int").alias("hit"), F.lit(1).cast("bigint").alias("one"))
-    ranked = scan(rows, SIGNAL_KEY, "cycle", [prev("hit", "was_hit"), total("one", "sample_index")], spans)
+    rows = rows.withColumns({"hit": hit.cast("int"), "one": F.lit(1).cast("bigint")}).drop("raw_bits", "state", "width", "target")
+    ranked = scan(rows, SIGNAL_KEY, "cycle", [prev("hit", "was_hit"), total("one", "sample_index")], spans, dense=dense)
     return ranked.where("hit = 1 AND coalesce(was_hit, 0) = 0").select(*SIGNAL_KEY, "cycle", "sample_index")
 
 
