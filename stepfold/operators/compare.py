@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepfold.functions.names import side_path
-from stepfold.operators.blocks import SPANS, held, next_, scan, spread_join
+from stepfold.operators.blocks import SPANS, dense_keys, held, next_, scan, spread_join
 from stepfold.operators.joins import common_signals
 from stepfold.operators.numbering import dense_number
 from stepfold.plans.lineage import cut
@@ -41,12 +42,20 @@ def diff_traces(a: DataFrame, signals_a: DataFrame, meta_a: DataFrame,
     mismatched = common.where(~comparable).select("trace_id", "path", F.col("lo").alias("start"), F.col("hi").alias("end"))
     pairs = common.where(comparable).select("trace_id", "b_trace_id", "path", "a_signal_id", "b_signal_id", "lo", "hi", "a_end", "b_end")
 
+    # A pair is split where one of its signals is dense; both sides of another have at most twice a block's rows.
+    bits = spans[0] if spans else SPANS[0]
+    crowded = {own: cut(dense_keys(rows, SIGNAL_KEY, bits)) for own, rows in (("a", a), ("b", b))} if spans else {}
+    split = reduce(DataFrame.unionByName, [
+        pairs.join(F.broadcast(keys.withColumnsRenamed({"trace_id": "of", "signal_id": "id"})),
+                   (F.col("trace_id" if own == "a" else "b_trace_id") == F.col("of")) & (F.col(f"{own}_signal_id") == F.col("id")), "left_semi")
+        .select("trace_id", F.col("a_signal_id").alias("pair")) for own, keys in crowded.items()]).distinct() if spans else None
+
     # The pair is keyed by the left signal's id, which is cheaper to shuffle than its path.
     def side(rows: DataFrame, own: str) -> DataFrame:
         other = "b" if own == "a" else "a"
         ids = pairs.select(F.col("trace_id" if own == "a" else "b_trace_id").alias("trace_id"), F.col(f"{own}_signal_id").alias("signal_id"),
                            F.col("trace_id").alias("of"), F.col("a_signal_id").alias("pair"), F.col(f"{own}_end").alias("own_end"))
-        kept = spread_join(rows, ids, SIGNAL_KEY, "cycle").where("cycle < own_end").select(
+        kept = spread_join(rows, ids, SIGNAL_KEY, "cycle", bits=bits, dense=crowded.get(own)).where("cycle < own_end").select(
             F.col("of").alias("trace_id"), "pair", "cycle", "raw_bits", "state")
         ended = pairs.where(F.col(f"{own}_end") < F.col("hi")).select(
             "trace_id", F.col("a_signal_id").alias("pair"), F.col(f"{own}_end").alias("cycle"),
@@ -58,7 +67,7 @@ def diff_traces(a: DataFrame, signals_a: DataFrame, meta_a: DataFrame,
     columns = ["a_bits", "a_state", "b_bits", "b_state"]
     # A cycle has at most one row of each side.
     seen = scan(side(a, "a").unionByName(side(b, "b")), ["trace_id", "pair"], "cycle", [held(c, f"held_{c}") for c in columns],
-                spans, fold=[F.max(c).alias(c) for c in columns])
+                spans, fold=[F.max(c).alias(c) for c in columns], dense=split)
 
     zero, absent = F.lit(0).cast("bigint"), state(ABSENT)
 
@@ -72,10 +81,11 @@ def diff_traces(a: DataFrame, signals_a: DataFrame, meta_a: DataFrame,
     # The intervals between rows tile time, so merged regions are the runs of "differs": they begin
     # and end where it flips, and what it was before a row is known from the held values.
     flips = seen.withColumns({"now": now, "before": before}).where("now <> before").select("trace_id", "pair", "cycle", "now")
-    flips = cut(flips)
-    runs = scan(flips, ["trace_id", "pair"], "cycle", [next_("cycle", "until")], spans).where("now")
-    regions = spread_join(runs, pairs.select("trace_id", F.col("a_signal_id").alias("pair"), "path", "lo", "hi"),
-                          ["trace_id", "pair"], "cycle")
+    flips, key = cut(flips), ["trace_id", "pair"]
+    many = cut(dense_keys(flips, key, bits)) if spans else None
+    runs = scan(flips, key, "cycle", [next_("cycle", "until")], spans, dense=many).where("now")
+    regions = spread_join(runs, pairs.select("trace_id", F.col("a_signal_id").alias("pair"), "path", "lo", "hi"), key, "cycle",
+                          bits=bits, dense=many)
     clipped = regions.select("trace_id", "path", F.greatest("cycle", "lo").alias("start"),
                              F.least(F.coalesce("until", "hi"), "hi").alias("end")).where("end > start")
     return clipped.unionByName(mismatched)

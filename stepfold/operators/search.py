@@ -110,13 +110,13 @@ def _neighbour(marks: DataFrame, probes: DataFrame, forward: bool, inclusive: bo
                spans: Sequence[int]) -> DataFrame:
     """For each probe (trace_id, cycle) the nearest mark after or before it; none gives no row."""
     at = ["trace_id", "cycle"]
-    rows = (marks.select(*at, F.lit(1).alias("mark"), F.lit(None).cast("int").alias("asked"))
-            .unionByName(probes.select(*at, F.lit(None).cast("int").alias("mark"), F.lit(1).alias("asked")))
-            .groupBy(*at).agg(F.max("mark").alias("mark"), F.max("asked").alias("asked"))
-            .withColumn("at", F.when(F.col("mark") == 1, F.col("cycle"))))
+    # One column tells marks (bit 0) from probes (bit 1), so rows and edges of the scan share an aggregate.
+    rows = (marks.select(*at, F.lit(1).alias("kind")).unionByName(probes.select(*at, F.lit(2).alias("kind")))
+            .groupBy(*at).agg(F.bit_or("kind").alias("kind"))
+            .withColumn("at", F.when(F.col("kind").bitwiseAND(1) > 0, F.col("cycle"))))
     near = scan(rows, ["trace_id"], "cycle", [(ahead if forward else held)("at", "near")], spans)
     target = F.coalesce("at", "near") if inclusive else F.col("near")
-    return near.where("asked = 1").select(*at, target.alias("target")).where("target IS NOT NULL")
+    return near.where(F.col("kind") >= 2).select(*at, target.alias("target")).where("target IS NOT NULL")
 
 
 def _changes(transitions: DataFrame) -> DataFrame:

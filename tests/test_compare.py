@@ -4,7 +4,9 @@ import random
 
 import pytest
 
-from stepfold.operators import compare
+from stepfold.operators import changes, compare, search
+from stepfold.plans.lineage import cut
+from stepfold.schema import TRANSITIONS
 from tests import models
 
 META = "trace_id string, title string, timescale string, start bigint, end bigint"
@@ -82,3 +84,22 @@ def test_three_traces_per_side(spark):
     heads = compare.compared_meta(left[1], right[1], left[0], right[0], found, traces)
     assert sorted((r.trace_id, r.title, r.end, r.status) for r in heads.collect()) == [
         ("x", "Compare_x_vs_X", 50, "no_difference"), ("y", "Compare_y_vs_Y", 50, "ok"), ("z", "Compare_z_vs_Z", 50, "ok")]
+
+
+def test_comparison_splits_only_dense_pairs(spark):
+    """Edges of blocks are left out where all signals are thin; dense, thin and one-sided pairs give the same regions."""
+    def run(seed):
+        rows = [("t", s, c, (c * seed + s) % 5 % 3, 0) for s, n in ((1, 120), (2, 4), (3, 30 * seed)) for c in range(s, n)]
+        return changes.drop_repeats(spark.createDataFrame(rows, TRANSITIONS), spans=())
+
+    signals = spark.createDataFrame([("t", s, f"p{s}", "bus", 2) for s in (1, 2, 3, 4)], "trace_id string, signal_id bigint, path string, kind string, width int")
+    meta = spark.createDataFrame([("t", 0, 140)], "trace_id string, start bigint, end bigint")
+    a, b = cut(run(1)), cut(run(3))
+    want = sorted(map(tuple, compare.diff_traces(a, signals, meta, b, signals, meta, ()).collect()))
+    for spans in ((4, 2), (17, 16)):
+        assert want == sorted(map(tuple, compare.diff_traces(a, signals, meta, b, signals, meta, spans).collect()))
+    found = search.prev_diff(compare.diff_traces(a, signals, meta, b, signals, meta), spark.createDataFrame([("t", 50), ("t", 0)], "trace_id string, cycle bigint"))
+    rows = sorted(map(tuple, found.collect()))
+    starts = {r[2] for r in want}
+    assert rows == sorted(("t", c, max(x for x in starts if x <= c)) for c in (0, 50) if any(x <= c for x in starts))
+    assert "__e_until" not in found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
