@@ -119,11 +119,11 @@ def dense_keys(rows: DataFrame, keys: Sequence[str], bits: int = SPANS[0]) -> Da
     return counted.where(F.col("__rows") > (1 << bits)).select(*keys)
 
 
-def _place(rows: DataFrame, keys: Sequence[str], order: str, dense: DataFrame, bits: int) -> DataFrame:
-    """Add the block of each row: of ``order`` where the key is dense, else 0."""
+def place(rows: DataFrame, keys: Sequence[str], order: str, dense: DataFrame, bits: int) -> tuple[DataFrame, str]:
+    """The rows with their block, of ``order`` where the key is dense, else 0, and that column's name."""
     marked = rows.join(F.broadcast(dense.withColumn("__dense", F.lit(True))), list(keys), "left")
     block = F.when(F.col("__dense"), _block(order, bits)).otherwise(F.lit(0).cast("bigint"))
-    return marked.withColumn(_block_name(order), block).drop("__dense")
+    return marked.withColumn(_block_name(order), block).drop("__dense"), _block_name(order)
 
 
 def scan(df: DataFrame, keys: Sequence[str], order: str, carries: Sequence[Carry],
@@ -148,7 +148,7 @@ def scan(df: DataFrame, keys: Sequence[str], order: str, carries: Sequence[Carry
     if dense is None:
         blocked = blocked.withColumn(block, _block(order, spans[0]))
     elif block not in df.columns:
-        blocked = _place(blocked, keys, order, dense, spans[0])
+        blocked, _ = place(blocked, keys, order, dense, spans[0])
     if fold is not None:
         blocked = blocked.repartition(*keys, block).groupBy(*keys, block, order).agg(*fold)
     inner = blocked.withColumns({c.out: c.local([*keys, block], order) for c in carries})
@@ -175,9 +175,9 @@ def spread_join(rows: DataFrame, lookup: DataFrame, on: Sequence[str], spread_by
     """
     on = list(on)
     if dense is not None:
-        block, few = _block_name(spread_by), F.broadcast(dense)
+        few = F.broadcast(dense)
         named = lookup.select(*on) if how in ("left_semi", "left_anti") else lookup
-        blocked = _place(rows, on, spread_by, dense, bits)
+        blocked, block = place(rows, on, spread_by, dense, bits)
         crowded = blocked.join(few, on).select(*on, block).distinct().join(named, on)
         placed = named.join(few, on, "left_anti").withColumn(block, F.lit(0).cast("bigint")).unionByName(crowded)
         joined = blocked.join(placed, [*on, block], how)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepfold.functions.bits import mask_of, slice_bits
-from stepfold.operators.blocks import SPANS, dense_keys, next_, prev, scan, spread_join
+from stepfold.operators.blocks import SPANS, dense_keys, next_, place, prev, scan, spread_join
 from stepfold.schema import HIGH_Z, KNOWN, SIGNAL_KEY, same, state
 
 PREV = [prev("raw_bits", "prev_bits"), prev("state", "prev_state")]
@@ -53,7 +53,13 @@ def compact_changes(samples: DataFrame, signal: str = "storage_id",
     last = [F.max_by("raw_bits", "seq").alias("raw_bits"), F.max_by("state", "seq").alias("state")]
     many = rows.join(F.broadcast(dense), key).groupBy(*key, "cycle").agg(F.max("seq").alias("seq"), *last)
     few = rows.join(F.broadcast(dense), key, "left_anti")
-    scanned = scan(few.unionByName(many), key, "cycle", PREV, spans, fold=last, dense=dense)
+    placed, block = place(few.unionByName(many), key, "cycle", dense, spans[0])
+    # The order by (cycle, seq) that finds a cycle's last write serves the scan, too.
+    ordered = Window.partitionBy(*key, block).orderBy("cycle", "seq")
+    later = placed.withColumns({"__more": F.lead(F.lit(True)).over(ordered), "__after": F.lead("cycle").over(ordered)})
+    kept = later.where(F.col("__more").isNull() | ~F.col("cycle").eqNullSafe(F.col("__after")))
+    written = kept.withColumns({c: F.when(F.col("seq").isNotNull(), F.col(c)) for c in ("raw_bits", "state")})
+    scanned = scan(written.drop("seq", "__more", "__after"), key, "cycle", PREV, spans, dense=dense)
     return scanned.where(_is_change()).drop("prev_bits", "prev_state")
 
 
